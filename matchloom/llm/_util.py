@@ -48,13 +48,14 @@ def short_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
 
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-_S1, _S2 = np.uint64(29), np.uint64(32)
+_S1 = np.uint64(32)
 
 
 def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """64-bit hashes of the ordered pairs (a, b)."""
-    x = (a * _M1) ^ (b + (a >> _S1))
-    x ^= x >> _S2
+    x = a * _M1
+    x += b
+    x ^= x >> _S1
     x *= _M2
     x ^= x >> _S1
     return x
@@ -73,6 +74,69 @@ def window_hashes(words: np.ndarray, length: int) -> np.ndarray:
     return have
 
 
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_BASE = 0xD6E8FEB86659FD93
+#: Bytes that are hashed at once, and the length from which a word is hashed on its own.
+_PIECE, _LONG = 1 << 18, 64
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _up_to(n: int) -> list[np.ndarray]:
+    if len(_powers[0]) <= n:
+        size = 1 << n.bit_length()
+        for i, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            p = np.full(size, base, np.uint64)
+            p[0] = 1
+            _powers[i] = np.cumprod(p)
+    return _powers
+
+
+def word_hashes(raw: bytes) -> np.ndarray:
+    """64-bit hashes of the words of a text: runs of anything but ASCII white space.
+
+    Polynomial hashes from prefix sums, finalised, for all words of a piece at once; long words, on which such hashes are weak, by XXH3.
+    """
+    out = []
+    at, n = 0, len(raw)
+    while at < n:
+        end = min(n, at + _PIECE)
+        while end < n and not _SPACE[raw[end]]:  # no word is cut
+            end += 1
+        out.append(_piece(raw, at, end))
+        at = end
+    return out[0] if len(out) == 1 else np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
+def _piece(raw: bytes, at: int, end: int) -> np.ndarray:
+    b = np.frombuffer(raw, np.uint8, end - at, at)
+    edge = np.empty(len(b) + 2, np.int8)
+    edge[0] = edge[-1] = 0
+    edge[1:-1] = ~_SPACE[b]
+    change = np.flatnonzero(edge[1:] != edge[:-1])
+    first, last = change[::2], change[1::2]
+    if not len(first):
+        return np.zeros(0, np.uint64)
+    return hash_spans(raw, at, b, first, last)
+
+
+def hash_spans(raw: bytes, at: int, b: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Hashes of the spans [first, last) of the bytes ``b``, which are those of ``raw`` from ``at``."""
+    power, inverse = _up_to(len(b))
+    power, inverse = _up_to(len(b))
+    total = np.zeros(len(b) + 1, np.uint64)
+    np.cumsum(b * power[: len(b)], out=total[1:])
+    length = last - first
+    h = mix((total[last] - total[first]) * inverse[first], length.astype(np.uint64))
+    long = np.flatnonzero(length >= _LONG)
+    if len(long):
+        from xxhash import xxh3_64_intdigest
+
+        for i in long.tolist():
+            h[i] = xxh3_64_intdigest(raw[at + int(first[i]) : at + int(last[i])])
+    return h
+
+
 class WordHashes(dict):
     """Word (bytes) -> 64-bit hash; forgets all when it holds ``most`` words, so its memory is bounded."""
 

@@ -15,13 +15,14 @@ is joined by a shuffle.
 from __future__ import annotations
 
 import re
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import short_batches, window_hashes, written
+from ._util import hash_spans, short_batches, window_hashes, written
 
 WORDS, SIMILARITY = 5, 0.8
 #: Most benchmark windows that are broadcast: 48 bytes each.
@@ -38,52 +39,85 @@ UNITS = frozenset(
 )
 _NUMBER = re.compile(r"[-+]?[$€£]?[0-9][0-9.,:/]*%?")
 _PARTS = re.compile(r"([-+]?[$€£]?[0-9][0-9.,:/]*)([^\W\d]+|%)")
-_EDGE = ".,;:!?\"'()[]{}<>«»“”‘’"
 
 LITERAL, NUMBER, UNIT, NAME = 0, 1, 2, 3
 #: What a placeholder hashes as.
 _PLACEHOLDER = np.array([0, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
 
-
-class _Shapes(dict):
-    """Word -> (hash of what it says, hash of its literal form, kind, may be a name, may be a unit, ends a sentence); bounded like WordHashes."""
-
-    most = 200_000
-
-    def __missing__(self, word: str) -> tuple:
-        from xxhash import xxh3_64_intdigest
-
-        if len(self) >= self.most:
-            self.clear()
-        bare = word.strip(_EDGE) or word
-        low = bare.lower()
-        number = _NUMBER.fullmatch(bare) or ((m := _PARTS.fullmatch(bare)) and m[2].lower() in UNITS)
-        value = xxh3_64_intdigest(low.encode("utf-8", "replace"))
-        got = (value, value, NUMBER if number else LITERAL, bare[:1].isupper() and bare[1:] != bare[1:].upper() and not number, low in UNITS, word[-1] in ".!?")
-        self[word] = got
-        return got
-
-
-def template(words: list[str], shapes: _Shapes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Template hash, kind and value hash of each word. A name is a capitalised word, not all in capitals, that starts no sentence; a unit is a unit word after a number."""
-    n = len(words)
-    rows = list(map(shapes.__getitem__, words))
-    value = np.fromiter((r[0] for r in rows), np.uint64, n)
-    kind = np.fromiter((r[2] for r in rows), np.int8, n)
-    flag = np.fromiter((r[3] + 2 * r[4] + 4 * r[5] for r in rows), np.int8, n)
+_SPACE = np.zeros(256, bool)
+_SPACE[list(b" \t\n\r\v\f")] = True
+_EDGE = _SPACE.copy()
+_EDGE[list(b".,;:!?\"'`()[]{}<>*#&")] = True
+_END = np.zeros(256, bool)
+_END[list(b".!?")] = True
+_WIDTH = np.array([1] * 0xC0 + [2] * 0x20 + [3] * 0x10 + [4] * 0x10, np.int64)
+_QUOTES = str.maketrans("«»“”„‘’", "\"\"\"\"\"''")
+_QUOTE = re.compile("[«»“”„‘’]")
+
+
+@cache
+def _uneven() -> tuple[re.Pattern, dict[int, str]]:
+    """Letters that lower case makes longer or shorter: they stay as they are."""
+    odd = [chr(i) for i in range(128, 0x110000) if not 0xD800 <= i < 0xE000 and len(chr(i).lower().encode()) != len(chr(i).encode())]
+    return re.compile(f"[{''.join(odd)}]"), dict.fromkeys(map(ord, odd), "_")
+
+
+def template(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Template hash, kind and value hash of each word (a run of anything but ASCII white space, without the punctuation at its ends, in lower case).
+
+    A number is made of digits, with a currency sign, a percent sign or a unit; a unit is a unit word after a number; a name is a
+    capitalised word, not all in capitals, that starts no sentence. All words of the text are judged at once, on its bytes.
+    """
+    if not text.isascii():
+        text = text.translate(_QUOTES) if _QUOTE.search(text) else text
+        odd, stay = _uneven()
+        text = text.translate(stay) if odd.search(text) else text
+    raw, low = text.encode("utf-8", "replace"), text.lower().encode("utf-8", "replace")
+    b, c = np.frombuffer(raw, np.uint8), np.frombuffer(low, np.uint8)
+    inside = np.zeros(len(c) + 2, np.int8)
+    inside[1:-1] = ~_SPACE[c]
+    change = np.flatnonzero(inside[1:] != inside[:-1])
+    first, last = change[::2], change[1::2]
+    n = len(first)
+    if not n:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int8), np.zeros(0, np.uint64)
+    core = np.flatnonzero(~_EDGE[c])  # what is neither space nor punctuation
+    bare = np.searchsorted(core, first), np.searchsorted(core, last)
+    some = bare[1] > bare[0]
+    if len(core):
+        a = np.where(some, core[np.minimum(bare[0], len(core) - 1)], first)
+        z = np.where(some, core[np.maximum(bare[1] - 1, 0)] + 1, last)
+    else:
+        a, z = first, last
+    value = hash_spans(low, 0, c, a, z)
+    kind = np.zeros(n, np.int8)
     starts = np.ones(n, bool)
-    starts[1:] = flag[:-1] & 4 > 0
-    after_number = np.zeros(n, bool)
-    after_number[1:] = kind[:-1] == NUMBER
-    kind[(flag & 2 > 0) & after_number & (kind == LITERAL)] = UNIT
-    kind[(flag & 1 > 0) & ~starts & (kind == LITERAL)] = NAME
+    starts[1:] = _END[c[last[:-1] - 1]]
+    changed = b != c
+    if changed.any():
+        upper = np.concatenate([[0], np.cumsum(changed)])
+        letter = np.concatenate([[0], np.cumsum(((b >= 97) & (b <= 122)) | (b >= 0xC0))])  # small ASCII letters, and letters beyond ASCII
+        beyond = np.concatenate([[0], np.cumsum(changed & (b >= 0x80))])
+        rest = np.minimum(a + _WIDTH[b[a]], z)
+        name = (upper[rest] > upper[a]) & (letter[z] - letter[rest] > beyond[z] - beyond[rest])
+        kind[name & ~starts] = NAME
+    digit = (c >= 48) & (c <= 57)
+    if digit.any():
+        held = np.unique(np.searchsorted(first, np.flatnonzero(digit), side="right") - 1)
+        for i in held.tolist():
+            word = low[a[i] : z[i]].decode("utf-8", "replace")
+            if _NUMBER.fullmatch(word) or (m := _PARTS.fullmatch(word)) and m[2] in UNITS:
+                kind[i] = NUMBER
+        for i in (np.flatnonzero(kind[:-1] == NUMBER) + 1).tolist():
+            if kind[i] != NUMBER and low[a[i] : z[i]].decode("utf-8", "replace") in UNITS:
+                kind[i] = UNIT
     return np.where(kind == LITERAL, value, _PLACEHOLDER[kind]), kind, value
 
 
-def windows(words: list[str], shapes: _Shapes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def windows(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Window hashes and their places, and kind and value of each word. Windows without a literal are left out if others are there."""
-    t, kind, value = template(words, shapes)
-    size = min(WORDS, len(words))
+    t, kind, value = template(text)
+    size = min(WORDS, len(t))
     if not size:
         return t, np.zeros(0, np.int64), kind, value
     if size < WORDS:
@@ -121,10 +155,9 @@ def _slots(kind: np.ndarray, value: np.ndarray, at: int) -> list[int]:
 
 def _emit(batches):
     """(k, t) -> all template windows: for a benchmark, and for documents where the benchmark is too large to share."""
-    shapes = _Shapes()
     for b in batches:
         for k, t in zip(b.column("k").to_pylist(), b.column("t").to_pylist(), strict=True):
-            h, at, kind, value = windows(t.split(), shapes)
+            h, at, kind, value = windows(t)
             if len(at):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k)), pa.array(h.view(np.int64)), pa.array(at.astype(np.int32)), pa.array([_slots(kind, value, int(a)) for a in at], pa.list_(pa.int64())), pa.array(np.full(len(at), len(at), np.int32))], names=["k", "h", "p", "s", "n"])
 
@@ -137,22 +170,22 @@ def _local(shared, similarity: float):
     """Matches whole documents against the shared windows: a hash join on sorted hashes, then the slot check."""
 
     def run(batches):
-        shapes = _Shapes()
         h, item, place, slots, total = shared.value
+        sieve = np.zeros(1 << 20, bool)
+        sieve[h >> np.uint64(44)] = True
         for b in batches:
             out = []
             for k, t in zip(b.column("k").to_pylist(), b.column("t").to_pylist(), strict=True):
-                words = t.split()
-                own, at, kind, value = windows(words, shapes)
-                lo = np.searchsorted(h, own, "left")
-                hit = np.flatnonzero((lo < len(h)) & (h[np.minimum(lo, len(h) - 1)] == own)) if len(h) else lo[:0]
+                own, at, kind, value = windows(t)
+                maybe = np.flatnonzero(sieve[own >> np.uint64(44)])
+                if not len(maybe):
+                    continue
+                lo, hi = np.searchsorted(h, own[maybe], "left"), np.searchsorted(h, own[maybe], "right")
                 found: dict[int, list[tuple]] = {}
-                for j in hit.tolist():
-                    s = _slots(kind, value, int(at[j]))
-                    i = int(lo[j])
-                    while i < len(h) and h[i] == own[j]:
-                        found.setdefault(int(item[i]), []).append((int(place[i]), int(at[j]), slots[i].tolist(), s))
-                        i += 1
+                for j in np.flatnonzero(hi > lo).tolist():
+                    s = _slots(kind, value, int(at[maybe[j]]))
+                    for i in range(int(lo[j]), int(hi[j])):
+                        found.setdefault(int(item[i]), []).append((int(place[i]), int(at[maybe[j]]), slots[i].tolist(), s))
                 for i, rows in found.items():
                     if len(rows) >= similarity * total[i] and (got := verify(rows, total[i], similarity)):
                         out.append((k, i, *got))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import WordHashes, mix, release, short_batches, window_hashes, written
+from ._util import mix, release, short_batches, window_hashes, word_hashes, written
 from .components import components
 
 SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.9995
@@ -41,12 +41,11 @@ def bands_and_rows(similarity: float = SIMILARITY, recall: float = RECALL, most:
     return best or (most, 1)
 
 
-def shingles(text: str, hashes: WordHashes, size: int = SHINGLE) -> np.ndarray:
+def shingles(text: str, size: int = SHINGLE) -> np.ndarray:
     """The sorted set of shingle hashes of a text."""
-    words = text.lower().encode("utf-8", "replace").split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    own = hashes.of(words)
+    own = word_hashes(text.lower().encode("utf-8", "replace"))
+    if not len(own):
+        return own
     return np.unique(window_hashes(own, size) if len(own) >= size else window_hashes(own, len(own)) ^ np.uint64(len(own)))
 
 
@@ -74,11 +73,10 @@ def band_hashes(s: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 def _signed(bands: int, rows: int):
     def run(batches):
-        hashes = WordHashes()
         for b in batches:
             digest, sig, size, keep = [], [], [], []
             for i, t in enumerate(b.column("t").to_pylist()):
-                s = shingles(t, hashes)
+                s = shingles(t)
                 if len(s):
                     keep.append(i)
                     size.append(len(s))
@@ -95,9 +93,8 @@ def _block_links(similarity: float):
 
     def run(key, table):
         x, y = int(key[1].as_py()), int(key[2].as_py())
-        hashes = WordHashes()
         rows = sorted(zip(table["k"].to_pylist(), table["block"].to_pylist(), table["copies"].to_pylist(), table["t"].to_pylist(), strict=True))
-        sets = [shingles(t, hashes) for *_, t in rows]
+        sets = [shingles(t) for *_, t in rows]
         n = len(rows)
         size = np.array([len(s) for s in sets], np.int64)
         owner = np.repeat(np.arange(n), size)

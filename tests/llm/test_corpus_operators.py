@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from matchloom.llm import decontaminate, language, neardup, packing, pii, queries, substring, topk
-from matchloom.llm._util import WordHashes, window_hashes
+from matchloom.llm._util import window_hashes, word_hashes
 from matchloom.llm.components import components
 from tests.llm import brute
 from tests.llm.test_text_operators import ODD, documents
@@ -38,7 +38,7 @@ def made(seed=0, n=60):
 def test_window_hashes_tell_windows_apart():
     r = random.Random(3)
     words = [b"%d" % r.randrange(3) for _ in range(400)]
-    h = WordHashes().of(words)
+    h = word_hashes(b"  ".join(words) + b"\n")
     for n in (1, 2, 3, 5, 7, 13, 26):
         got = window_hashes(h, n)
         groups = {}
@@ -47,6 +47,17 @@ def test_window_hashes_tell_windows_apart():
         assert len(got) == len(words) - n + 1 and all(len(v) == 1 for v in groups.values()) and len({x for v in groups.values() for x in v}) == len(groups)
 
 
+def test_word_hashes_follow_the_words():
+    r = random.Random(1)
+    for size in (0, 1, 50, 3000):
+        raw = "".join(r.choice(["a", "b", "é", " ", "\t", "\n", "\x0b", "\x1c", "\xa0", "x" * 70, "Ω"]) for _ in range(size)).encode()
+        words = raw.split()
+        got = word_hashes(raw).tolist()
+        assert len(got) == len(words) and len(set(got)) == len(set(words)) == len(set(zip(got, words)))
+    long = b"w" * 600000
+    assert word_hashes(long + b" x " + long).tolist()[0] == word_hashes(long).tolist()[0] and len(word_hashes(b"ab " * 200000)) == 200000 and len(set(word_hashes(b"ab " * 200000).tolist())) == 1
+
+
 @pytest.mark.parametrize("seed", [0, 1])
 def test_substring_matches_brute_force(spark, seed):
     docs = made(seed)
