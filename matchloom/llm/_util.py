@@ -135,20 +135,3 @@ def hash_spans(raw: bytes, at: int, b: np.ndarray, first: np.ndarray, last: np.n
         for i in long.tolist():
             h[i] = xxh3_64_intdigest(raw[at + int(first[i]) : at + int(last[i])])
     return h
-
-
-class WordHashes(dict):
-    """Word (bytes) -> 64-bit hash; forgets all when it holds ``most`` words, so its memory is bounded."""
-
-    most = 300_000
-
-    def __missing__(self, word: bytes) -> int:
-        from xxhash import xxh3_64_intdigest
-
-        if len(self) >= self.most:
-            self.clear()
-        self[word] = h = xxh3_64_intdigest(word)
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))

@@ -1,7 +1,7 @@
 """Substring dedup: level-wise doubling of repeated word windows.
 
 Words are runs of anything but ASCII white space. A document's windows of a short length are reduced to a sample that every longer
-window is sure to meet (of each stretch, the window that hashes lowest), and those found in one document alone drop out. What is left
+window is sure to meet (of each stretch, the windows that hash lowest), and those found in one document alone drop out. What is left
 is extended to twice that length, where windows are again grouped by hash, and so on: ``repeated_passages`` doubles until no candidate
 survives; ``remove_repeats`` stops at its window length, where a window goes if a document with a smaller key holds it too.
 
@@ -13,13 +13,14 @@ word that a window covers. Hot passages are pre-aggregated before they are shuff
 from __future__ import annotations
 
 from hashlib import sha256
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import WordHashes, release, short_batches, window_hashes, written
+from ._util import release, short_batches, window_hashes, word_hashes, written
 
 WINDOW = 13
 
@@ -28,32 +29,30 @@ def half(length: int) -> int:
     return (length + 1) // 2
 
 
+def _sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
+    """``pick`` (minimum or maximum) over each ``width`` consecutive values, by doubling."""
+    n, have = 1, values
+    while 2 * n <= width:
+        have = pick(have[:-n], have[n:])
+        n *= 2
+    return pick(have[: len(values) - width + 1], have[width - n :][: len(values) - width + 1]) if n < width else have
+
+
 def chosen(short: np.ndarray, width: int) -> np.ndarray:
-    """Positions of the lowest hash of each ``width`` consecutive short windows, the last one of equals; without repetition, ascending."""
-    n = len(short) - width + 1
-    if n <= 0:
+    """Positions that are lowest among some ``width`` consecutive short windows (all of equal ones): which they are follows from those windows alone."""
+    if len(short) < width:
         return np.zeros(0, np.int64)
-    best, at = short[:n].copy(), np.arange(n)
-    for k in range(1, width):
-        here = short[k : k + n]
-        less = here <= best
-        best[less] = here[less]
-        at[less] = np.nonzero(less)[0] + k
-    keep = np.ones(n, bool)
-    keep[1:] = at[1:] != at[:-1]
-    return at[keep]  # the chosen position never moves back, so equal ones are neighbours
-
-
-def nearest(short: np.ndarray, width: int) -> np.ndarray:
-    """For each window of the long length, the chosen position it meets."""
-    n = len(short) - width + 1
-    best, at = short[:n].copy(), np.arange(n)
-    for k in range(1, width):
-        here = short[k : k + n]
-        less = here <= best
-        best[less] = here[less]
-        at[less] = np.nonzero(less)[0] + k
-    return at
+    low = _sliding(short, width, np.minimum)
+    around = np.zeros(len(low) + 2 * (width - 1), np.uint64)
+    around[width - 1 : width - 1 + len(low)] = low
+    return np.flatnonzero(_sliding(around, width, np.maximum) == short)
+
+
+def meeting(short: np.ndarray, places: np.ndarray, width: int) -> np.ndarray:
+    """Starts of the long windows whose chosen positions are among ``places``."""
+    only = np.full(len(short), np.uint64(2**64 - 1))
+    only[places] = short[places]
+    return np.flatnonzero(_sliding(only, width, np.minimum) == _sliding(short, width, np.minimum))
 
 
 def covered(starts: np.ndarray, n_words: int, length: int) -> np.ndarray:
@@ -69,13 +68,12 @@ def _seeds(length: int):
     short_length = half(length)
 
     def run(batches):
-        hashes = WordHashes()
         for b in batches:
             hs, keys, places = [], [], []
-            for i, t in enumerate(b.column("t").to_pylist()):
-                words = t.encode().split()
-                if len(words) >= length:
-                    short = window_hashes(hashes.of(words), short_length)
+            for i, t in enumerate(b.column("t").cast(pa.binary()).to_pylist()):
+                own = word_hashes(t)
+                if len(own) >= length:
+                    short = window_hashes(own, short_length)
                     at = chosen(short, length - short_length + 1)
                     hs.append(short[at])
                     places.append(at)
@@ -92,15 +90,11 @@ def _extended(length: int):
     short_length = half(length)
 
     def run(batches):
-        hashes = WordHashes()
         for b in batches:
             hs, keys, places = [], [], []
-            for i, (t, ps) in enumerate(zip(b.column("t").to_pylist(), b.column("ps"), strict=True)):
-                own = hashes.of(t.encode().split())
-                meets = nearest(window_hashes(own, short_length), length - short_length + 1)
-                hit = np.zeros(len(own), bool)
-                hit[np.asarray(ps.values)] = True
-                at = np.flatnonzero(hit[meets])
+            for i, (t, ps) in enumerate(zip(b.column("t").cast(pa.binary()).to_pylist(), b.column("ps"), strict=True)):
+                own = word_hashes(t)
+                at = meeting(window_hashes(own, short_length), np.asarray(ps.values), length - short_length + 1)
                 hs.append(window_hashes(own, length)[at])
                 places.append(at)
                 keys.append(np.full(len(at), i))
@@ -145,8 +139,8 @@ def repeat_places(rows: DataFrame, later: DataFrame, length: int = WINDOW) -> Da
     if later.count() <= SHARED_KEYS:
         skip = F.broadcast(skip)
     first = rows.where("k is not null and t <> ''").join(skip, (F.col("k") == F.col("k2")) & (F.col("d") == F.col("d2")), "left_anti")
-    seeds = first.mapInArrow(_seeds(length), _WINDOWS)
-    repeated = written(_repeated(seeds), "seeds")
+    seeds = written(first.mapInArrow(_seeds(length), _WINDOWS), "seeds")
+    repeated = written(_repeated(seeds), "repeated")
     release(spark)
     places = written(seeds.join(repeated, "h").groupBy("k", "d").agg(F.collect_set("p").alias("ps")), "places")
     release(spark)
@@ -168,12 +162,12 @@ def _cut(length: int, all_words: bool):
         for b in batches:
             n, cut, sha = [], [], []
             lists = [None] * b.num_rows if all_words else b.column("starts")
-            for t, s in zip(b.column("t").to_pylist(), lists, strict=True):
-                words = t.encode().split()
-                drop = np.zeros(len(words), bool) if s is None else covered(np.asarray(s.values), len(words), length)
+            for t, s in zip(b.column("t").cast(pa.binary()).to_pylist(), lists, strict=True):
+                words = t.split()
+                drop = None if s is None else covered(np.asarray(s.values), len(words), length)
                 n.append(len(words))
-                cut.append(int(drop.sum()))
-                sha.append(sha256(b" ".join(w for w, x in zip(words, drop.tolist(), strict=True) if not x) if s is not None else b" ".join(words)).hexdigest())
+                cut.append(0 if drop is None else int(drop.sum()))
+                sha.append(sha256(b" ".join(words if drop is None else compress(words, (~drop).tolist()))).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column("k"), b.column("d"), pa.array(n, pa.int64()), pa.array(cut, pa.int64()), pa.array(sha, pa.string())], names=["k", "d", "n", "cut", "sha"])
 
     return run
@@ -223,12 +217,11 @@ def _level(rows: DataFrame, below: DataFrame | None, length: int) -> DataFrame:
     extended = below is not None
 
     def run(batches):
-        hashes = WordHashes()
         for b in batches:
             hs, keys, places = [], [], []
             lists = b.column("ps") if extended else [None] * b.num_rows
             for i, (t, ps) in enumerate(zip(b.column("t").to_pylist(), lists, strict=True)):
-                own = window_hashes(hashes.of(t.encode().split()), length)
+                own = window_hashes(word_hashes(t.encode()), length)
                 at = np.arange(len(own))
                 if ps is not None:
                     hit = np.zeros(len(own) + length, bool)
