@@ -1,0 +1 @@
+"""Whole plans: the end-to-end run, and the registered queries with their SQL."""
