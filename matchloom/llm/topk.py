@@ -26,7 +26,9 @@ from pyspark.sql import functions as F
 from ._util import short_batches, written
 
 K, SCALE = 5, 256
-QUERY_BLOCK, HEAD, STRIP, FIRST = 8192, 512, 512, 16
+QUERY_BLOCK, HEAD, STRIP, FIRST = 8192, 2048, 512, 16
+#: Where more than one in so many pairs of a strip outlives its bound, the strip is summed whole.
+DENSE = 32
 _EXACT = float(2**53)
 
 
@@ -37,10 +39,10 @@ def _integers(scale: int):
         for b in batches:
             ids, rows, norms = [], [], []
             for i, v in zip(b.column("id").to_pylist(), b.column("v"), strict=True):
-                if v.as_py() is None or not len(v) or v.values.null_count:
+                if not v.is_valid or not len(v) or v.values.null_count:
                     continue
                 x = np.floor(scale * np.asarray(v.values, np.float64))
-                if np.isfinite(x).all() and np.abs(x).max() < 2**62:
+                if np.abs(x).max() < 2**62:  # false for what isn't finite, too
                     ids.append(i)
                     rows.append(x.astype(np.int64))
                     norms.append(math.sqrt(float(x @ x)))
@@ -95,15 +97,27 @@ class _Best:
             if not len(alive):
                 return
             bound = self.rotated[alive, : self.first] @ turned[s, : self.first].T + self.rest[alive, None] * rest[None, s]
-            q, c = np.nonzero(bound + slack[alive, None] >= self.least[alive, None])
+            near = bound + slack[alive, None] >= self.least[alive, None]
+            if np.count_nonzero(near) * DENSE > near.size and self._exact(x[s]):  # bounds that spare little: whole sums, all at once
+                rows = alive[near.any(1)]
+                whole = self.x[rows].astype(float) @ x[s].astype(float).T
+                q, c = np.nonzero((whole >= self.least[rows, None]) & (ids[None, s] != self.ids[rows, None]))
+                self._take(rows[q], c + a, whole[q, c].astype(np.int64), ids)
+                continue
+            q, c = np.nonzero(near)
             q, c = alive[q], c + a
             for lo in range(0, len(q), 1 << 16):
-                self._score(q[lo : lo + (1 << 16)], c[lo : lo + (1 << 16)], ids, x)
+                at = slice(lo, lo + (1 << 16))
+                score = _products(self.x[q[at]], x[c[at]])
+                good = (score >= self.least[q[at]]) & (ids[c[at]] != self.ids[q[at]])
+                self._take(q[at][good], c[at][good], score[good], ids)
 
-    def _score(self, q: np.ndarray, c: np.ndarray, ids: np.ndarray, x: np.ndarray) -> None:
-        score = _products(self.x[q], x[c])
-        good = (score >= self.least[q]) & (ids[c] != self.ids[q])
-        q, c, score = q[good], c[good], score[good]
+    def _exact(self, x: np.ndarray) -> bool:
+        """Whether sums of products are exact in floating point."""
+        return float(np.abs(self.x).max(initial=0)) * float(np.abs(x).max(initial=0)) * x.shape[1] < _EXACT
+
+    def _take(self, q: np.ndarray, c: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
+        """Takes in scored pairs, in order of their queries."""
         if not len(q):
             return
         edges = np.flatnonzero(np.diff(q, prepend=-1, append=-1))
