@@ -109,7 +109,7 @@ def domain_stem(c: Column | str) -> Column:
 
 def dba_parts(clean: Column) -> Column:
     """Parts around "doing business as" and its like."""
-    return F.filter(F.transform(F.split(F.concat(F.lit(" "), clean, F.lit(" ")), DBA), F.trim), lambda p: p != "")
+    return F.filter(F.transform(F.split(F.concat(F.lit(" "), clean, F.lit(" ")), DBA), lambda p: F.trim(p)), lambda p: p != "")
 
 
 def core_tokens(tokens: Column) -> Column:

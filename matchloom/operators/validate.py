@@ -29,7 +29,7 @@ def finding(df: DataFrame, rule: str, example: Column | str, severity: str = "er
 def parse_lists(lines: DataFrame) -> DataFrame:
     """(line, key, ids) of result lines (line, value): trimmed ids of a comma-joined list; a line without a tab has null ids."""
     parts = F.split("value", "\t", 2)
-    ids = F.filter(F.transform(F.split(F.get(parts, F.lit(1)), ","), F.trim), lambda x: x != "")
+    ids = F.filter(F.transform(F.split(F.get(parts, F.lit(1)), ","), lambda x: F.trim(x)), lambda x: x != "")
     return lines.select("line", "value", F.trim(F.get(parts, F.lit(0))).alias("key"), F.when(F.contains("value", F.lit("\t")), ids).alias("ids"))
 
 
