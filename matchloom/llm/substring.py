@@ -128,7 +128,8 @@ def _numbered(docs: DataFrame, text: str, key: str) -> DataFrame:
 def later_copies(rows: DataFrame) -> DataFrame:
     """(k, d) of rows whose very text a smaller key holds."""
     marked = rows.where("k is not null and t <> ''").select("k", "d", F.unhex(F.md5("t")).alias("m"))
-    copies = marked.groupBy("m").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo < hi").select("m", "lo")
+    # A table of its own: both sides of the join are then plain exchanges, whose hot partitions Spark can split.
+    copies = written(marked.groupBy("m").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo < hi").select("m", "lo"), "texts")
     return marked.join(copies, "m").where("k > lo").select("k", "d").distinct()
 
 
