@@ -20,7 +20,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     while True:
         # Large star: larger neighbours of a node hang on its smallest neighbour (or itself).
         both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(now.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), name)  # a table: a hub's partition of the join can then be split
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
         # Small star: smaller neighbours of a node, and the node, hang on the smallest of them.
         small = large.groupBy("hi").agg(F.min("lo").alias("m"))

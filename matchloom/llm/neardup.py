@@ -145,11 +145,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", si
     if not shared.isEmpty():  # rows of one key are one document
         own = own.groupBy("k").agg(F.array_join(F.sort_array(F.collect_set("t")), "\n").alias("t"))
     signed = written(own.mapInArrow(_signed(bands, rows), "k long, digest binary, size long, bands array<long>"), "signatures")
-    copies = signed.groupBy("digest").agg(F.min("k").alias("copy_id"), F.count(F.lit(1)).alias("copies"))
+    # Tables of their own: both sides of the joins below are then plain exchanges, whose hot partitions Spark can split.
+    copies = written(signed.groupBy("digest").agg(F.min("k").alias("copy_id"), F.count(F.lit(1)).alias("copies")), "copies")
     classes = written(signed.select("k", "digest", "size").join(copies, "digest").select("k", "copy_id", "copies", "size"), "classes")
     standing = signed.join(classes.where("k = copy_id").select("k"), "k", "left_semi")
     dealt = standing.select("k", F.posexplode("bands").alias("band", "h")).select("k", "h")
-    least = dealt.groupBy("h").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo < hi").select("h", "lo")
+    least = written(dealt.groupBy("h").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo < hi").select("h", "lo"), "bands")
     chained = written(dealt.join(least, "h").where("k > lo").select(F.col("k").alias("a"), F.col("lo").alias("b")).distinct(), "chained")
     release(spark)
     groups = written(components(chained, "candidates").withColumnsRenamed({"node": "k", "root": "g"}), "groups")
