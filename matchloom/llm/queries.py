@@ -105,4 +105,21 @@ def oracle_sql() -> dict[str, str]:
             SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(len(d.w) - coalesce(k.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.t, '')) AS kept_sha256
             FROM d LEFT JOIN kept k USING (doc_id)
         """,
+        "op9_neardup": r"""
+            WITH RECURSIVE w AS (
+                SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+            ), sh AS (
+                SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w
+            ), n AS (
+                SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id
+            ), pairs AS (
+                SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL
+            ), links AS (
+                SELECT a, b, c = x.n AND c = y.n AS same FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c >= 0.8 * (x.n + y.n - c) - 1e-9
+            ), reach AS (
+                SELECT doc_id, doc_id AS root FROM documents UNION SELECT a, root FROM reach JOIN links ON b = doc_id
+            )
+            SELECT r.doc_id, min(r.root) AS class_id, least(r.doc_id, any_value(c.copy_id)) AS copy_id, coalesce(any_value(c.n), 0) AS n_links
+            FROM reach r LEFT JOIN (SELECT a, min(b) FILTER (WHERE same) AS copy_id, count(*) AS n FROM links GROUP BY a) c ON c.a = r.doc_id GROUP BY r.doc_id
+        """,
     }
