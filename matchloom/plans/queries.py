@@ -130,13 +130,13 @@ def _simple_words(x: str) -> str:
 
 
 _SUFFIX = "trim(regexp_replace(regexp_replace(' ' || replace({0}, ' ', '  ') || ' ', ' (" + "|".join(x.replace(" ", "  ") for x in text.SIMPLE_LEGAL) + ") ', ' ', 'g'), ' +', ' ', 'g'))"
-_SIMPLE_REC = f"{S.RECORDS}, sc AS (SELECT id, src, country, CAST(id AS VARCHAR) AS entity_id, {_SIMPLE.format('name_raw')} AS norm_name, {_simple_words(_SIMPLE.format('addr_raw'))} AS addr FROM rec), sr AS (SELECT *, {_SUFFIX.format('norm_name')} AS name FROM sc)"
+_SIMPLE_REC = f"{S.RECORDS}, sc AS (SELECT id, src, 'land ' || country AS country, CAST(id AS VARCHAR) AS entity_id, {_SIMPLE.format('name_raw')} AS norm_name, {_simple_words(_SIMPLE.format('addr_raw'))} AS addr FROM rec), sr AS (SELECT *, {_SUFFIX.format('norm_name')} AS name FROM sc)"
 
 
 def _simple(spark: SparkSession, sf: str) -> DataFrame:
     rec = views.records(spark, sf)
     name = text.simple_clean("name_raw")
-    return rec.select("id", "src", "country", F.col("id").cast("string").alias("entity_id"), name.alias("norm_name"), text.remove_legal_suffixes(name).alias("name"), text.simple_clean("addr_raw", text.SIMPLE_ADDRESS).alias("addr"))
+    return rec.select("id", "src", F.concat(F.lit("land "), "country").alias("country"), F.col("id").cast("string").alias("entity_id"), name.alias("norm_name"), text.remove_legal_suffixes(name).alias("name"), text.simple_clean("addr_raw", text.SIMPLE_ADDRESS).alias("addr"))
 
 
 @query(f"WITH {_SIMPLE_REC} SELECT id, norm_name, name, addr FROM sr")
@@ -241,9 +241,9 @@ def _margin_sql(v: str, rank: str, w: str, order: str, lone: str = "NULL") -> st
     y AS (SELECT src, s, t, fr - 1 AS grp_rank, score - max(score) OVER (PARTITION BY src, s) AS grp_gap, count(*) OVER (PARTITION BY src, s) AS grp_n, {_margin_sql("score", "fr", "PARTITION BY src, s", "score DESC, t")} AS grp_gap2,
         ar - 1 AS grp_rank_a, cos_a - max(cos_a) OVER (PARTITION BY src, s) AS grp_gap_a, nr - 1 AS grp_rank_n, cos_n - max(cos_n) OVER (PARTITION BY src, s) AS grp_gap_n,
         rr - 1 AS rev_rank, score - max(score) OVER (PARTITION BY src, t) AS rev_gap, count(*) OVER (PARTITION BY src, t) AS rev_n, {_margin_sql("score", "rr", "PARTITION BY src, t", "score DESC, s")} AS rev_gap2 FROM x)
-    {cast_sql({"src": "l", "s": "p", "t": "p"} | _CTX, "y")}""")
+    {cast_sql({"src": "l", "s": "p", "t": "p"} | _CTX, "y").replace(", 6)", ", 9)")}""")
 def er_candidate_context(spark: SparkSession, sf: str) -> DataFrame:
-    return result(context.candidate_context(_candidates(spark, sf)).select("src", "s", "t", *_CTX))
+    return result(context.candidate_context(_candidates(spark, sf)).select("src", "s", "t", *_CTX), 9)
 
 
 @query(f"WITH {S.CANDIDATES} SELECT CAST(src AS BIGINT) AS src, s, t, CAST(hit & 1 > 0 AS BIGINT) AS hit_name, CAST(hit & 2 > 0 AS BIGINT) AS hit_addr, CAST(hit & 4 > 0 AS BIGINT) AS hit_comb, CAST(hit & 8 > 0 AS BIGINT) AS hit_rev, CAST(src = 3 AS BIGINT) AS is_s3 FROM cand")
