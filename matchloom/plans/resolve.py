@@ -78,6 +78,11 @@ def run(spark: SparkSession, paths: io.Paths, split: str = "train", truth: str |
     return chosen.select("src", "s", "t", "p2")
 
 
+def with_country(rows: DataFrame, s: DataFrame) -> DataFrame:
+    """Pairs with the country of their record ``s``."""
+    return rows.join(s.select(F.col("id").alias("s"), "country"), "s")
+
+
 def corrected(scored: DataFrame, labelled: DataFrame, by_segment: bool = True) -> DataFrame:
     """Scores of a target split corrected for priors by country and source, or by country and segment."""
     keys = ["country", "segment" if by_segment else "src"]
