@@ -1,0 +1 @@
+"""Operators on DataFrames: candidates, context, features, decisions, evaluation."""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text, tokens
 from ..operators import context, decide, difference, features, folds, models, retrieval, shift, validate
 from ..sources import io
+from ..sources.stage import staged
 
 #: The rule for final matches: expected F-0.5 with these parameters, one owner a target.
 RULE = {"kind": "expected_f", "prob": "p2", "miss": 0.02, "alpha": 1.5, "min_p": 0.4, "exclusive": True}
@@ -43,13 +44,14 @@ def score(rows: DataFrame) -> DataFrame:
     skip = (*models.KEYS, "miss", "extra")
     first = models.feature_columns(rows, skip)
     p1 = models.score_two(rows, models.fit_two(rows, first))
-    p1 = p1.withColumn("p1", folds.out_of_fold(F.col("fold"), F.col("p_a"), F.col("p_b"))).drop("p_a", "p_b")
-    admitted = context.admitted_context(p1)
+    p1 = staged(p1.withColumn("p1", folds.out_of_fold(F.col("fold"), F.col("p_a"), F.col("p_b"))).drop("p_a", "p_b"), "p1")
+    admitted = staged(context.admitted_context(p1), "admitted")
     keys = ["src", "s", "t"]
     tabled = admitted.withColumn("apply_fold", difference.apply_fold())
     for side in ("miss", "extra"):
         table = difference.cross_fitted(admitted, side)
         tabled = difference.apply_log_odds(tabled, table, side, keys, side, ["apply_fold"])
+    tabled = staged(tabled, "second")
     second = models.feature_columns(tabled, (*skip, "apply_fold"))
     p2 = models.score_two(tabled, models.fit_two(tabled, second, models.STAGE2))
     return p2.withColumn("p2", folds.out_of_fold(F.col("fold"), F.col("p_a"), F.col("p_b"))).drop("p_a", "p_b", "apply_fold")

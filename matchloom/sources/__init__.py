@@ -1,0 +1 @@
+"""Readers, writers and the tables between steps."""

@@ -1,0 +1 @@
+"""The engine resolves bounded tables; it has no streams."""
