@@ -40,6 +40,12 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def cutoff(n: int, wanted: int) -> int:
+    """The 64-bit hash up to which some 2 * ``wanted`` + 1000 of ``n`` rows have theirs. A sample of the lowest hashes need look no higher, so that what is sorted for it doesn't grow with the data."""
+    share = (2 * wanted + 1000) / max(n, 1)
+    return 2**63 - 1 if share >= 1 else int(-(2**63) + share * 2**64)
+
+
 def short_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Caps the rows of an Arrow batch, unless the session already asks for fewer."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

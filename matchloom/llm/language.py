@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._util import short_batches
+from ._util import cutoff, short_batches
 
 BUCKETS = 1 << 14
 UND = "und"
@@ -141,12 +141,14 @@ def fit_language_id(df: DataFrame, text: str = "text", lang: str = "lang", key:
     """Learns from a sample of ``df`` bounded by ``rows_per_language`` and MOST_LANGUAGES: the rows of each language whose key hashes lowest. Texts stay on the executors; hashed counts of the sample come to the driver."""
     short_batches(df.sparkSession)
     rows = df.select(F.col(key).alias("k"), F.col(lang).alias("y"), F.col(text).alias("t")).where("k is not null and y is not null")
-    top = [r["y"] for r in rows.groupBy("y").count().orderBy(F.desc("count"), "y").limit(MOST_LANGUAGES).collect()]
+    top = {r["y"]: r["count"] for r in rows.groupBy("y").count().orderBy(F.desc("count"), "y").limit(MOST_LANGUAGES).collect()}
     if not top:
         return train([])
     first = Window.partitionBy("y").orderBy("h", "k")
-    keys = rows.where(F.col("y").isin(top)).select("k", "y", F.xxhash64("k").alias("h")).withColumn("r", F.row_number().over(first)).where(F.col("r") <= rows_per_language).select("k", "h").distinct()
-    chosen = rows.where(F.col("y").isin(top)).join(F.broadcast(keys), "k")
+    upto = F.create_map(*(F.lit(x) for y, n in top.items() for x in (y, cutoff(n, rows_per_language))))
+    keys = rows.where(F.col("y").isin(list(top))).select("k", "y", F.xxhash64("k").alias("h")).where(F.col("h") <= F.element_at(upto, F.col("y")))
+    keys = keys.withColumn("r", F.row_number().over(first)).where(F.col("r") <= rows_per_language).select("k", "h").distinct()
+    chosen = rows.where(F.col("y").isin(list(top))).join(F.broadcast(keys), "k")
 
     def count(batches):
         for b in batches:
