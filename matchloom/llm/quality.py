@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import short_batches
+from ._util import cutoff, short_batches
 
 #: Bound of the training sample: the labelled rows whose key hashes lowest.
 TRAIN_ROWS = 12_000
@@ -133,7 +133,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, text: str = "text", label: s
     """Learns from at most ``train_rows`` labelled rows (those whose key hashes lowest); their statistics, not their texts, come to the driver."""
     short_batches(docs.sparkSession)
     sample = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).where("k is not null and y in (0, 1)")
-    sample = sample.withColumn("h", F.xxhash64("k")).orderBy("h", "k", "y").limit(train_rows)
+    sample = sample.withColumn("h", F.xxhash64("k")).where(F.col("h") <= cutoff(sample.count(), train_rows)).orderBy("h", "k", "y").limit(train_rows)
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(sample), "k")
     got = rows.select("h", "y", "t").mapInArrow(_stats, "h long, y int, x array<float>").limit(train_rows).toArrow().sort_by([("h", "ascending"), ("y", "ascending")])
     x = np.array(got["x"].to_pylist(), np.float32).reshape(-1, N_FEATURES)
