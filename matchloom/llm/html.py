@@ -1,6 +1,6 @@
 """HTML extraction by nearest-URL page differencing.
 
-A page is read into text lines, one for each block, each marked as content (inside an article or main element), loose, or furniture
+A page is read into text lines, one for each block, each marked as content (inside an article or main element, or else one named as the container), loose, or furniture
 (menus, headers, footers, sidebars, forms, adverts, notices, comments: by element, role, class or id). Pages are sorted by host and URL
 path; each is paired with the neighbour of its host whose path is nearest. Both pages' lines are aligned by longest common subsequence, and
 the lines that they share are deleted, with two limits: lines marked as content stay (copies of an article on one host would otherwise
@@ -33,14 +33,17 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising adbox adslot banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs header masthead topbar footer foot sidebar "
     "aside widget related recommended recommendations share sharing social cookie cookies consent notice notices alert popup modal overlay newsletter subscribe subscription signup login comment comments "
-    "disqus respond reply replies form search pagination pager toolbar skip copyright legal disclaimer tags tagcloud".split()
+    "disqus respond reply replies commentlist form search pagination pager toolbar skip copyright legal disclaimer tags tagcloud adsbygoogle".split()
 )
+#: Class or id names of an article's container, and first words of names such as "entry-header", which is the head of the article, not of the page.
+CONTAINERS = frozenset("article article-body article-content articlebody content content-body entry-content main main-content maincontent post post-body post-content story-body".split())
+OWN = frozenset("article entry post story content".split())
 _IMPLIED = {"p": BLOCKS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr", "tbody"}, "th": {"td", "th", "tr", "tbody"}, "option": {"option"}}
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*)(?:>|\Z)", re.DOTALL)
 _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?(?=[\s/]|$)", re.IGNORECASE)
 _SPACE = re.compile(r"\s+")
 _WORD = re.compile(r"[a-z]+")
-CONTENT, LOOSE, NOISE = 2, 1, 0
+CONTENT, NAMED, LOOSE, NOISE = 3, 2, 1, 0
 #: Share of common lines from which two pages are copies of each other.
 COPIES = 0.9
 
@@ -56,11 +59,22 @@ def _marked(attributes: str, inside: bool) -> bool:
         if name in ("class", "id"):
             for one in value.split():
                 words = _WORD.findall(one)
+                if len(words) > 1 and words[0] in OWN and words[-1] == "header":
+                    continue
                 if one in MARKS or words and (words[0] in MARKS or words[-1] in MARKS) and not (inside and len(words) > 2):
                     return True
     return False
 
 
+def _named(attributes: str) -> bool:
+    """Whether a class, id or role says that an element holds the article."""
+    for m in _ATTRIBUTE.finditer(attributes):
+        value = (m[2] or "").strip("\"'").lower()
+        if m[1].lower() in ("class", "id") and not CONTAINERS.isdisjoint(value.split()) or m[1].lower() == "role" and value in ("main", "article"):
+            return True
+    return False
+
+
 def lines(html: str | None) -> list[tuple[str, int]]:
     """The blocks of a page in page order, white space folded, with what they are."""
     out: list[tuple[str, int]] = []
@@ -136,10 +150,12 @@ def lines(html: str | None) -> list[tuple[str, int]]:
             continue
         inside = state
         if state != NOISE:
-            if name in FURNITURE and not (name == "header" and state == CONTENT) or _marked(m[3], state == CONTENT):
+            if name in FURNITURE and not (name == "header" and state >= NAMED) or _marked(m[3], state >= NAMED):
                 inside = NOISE
             elif name in ("article", "main") or 'itemprop="articleBody"' in m[3]:
                 inside = CONTENT
+            elif state == LOOSE and name in BLOCKS and name != "body" and _named(m[3]):
+                inside = NAMED
         if inside != state and name not in BLOCKS:
             flush()
         if name in BLOCKS or inside != state:
@@ -188,13 +204,11 @@ def common(a: list[str], b: list[str]) -> set[int]:
 
 
 def difference(page: list[tuple[str, int]], other: list[tuple[str, int]] | None) -> list[str]:
-    """What is left of a page: no furniture, and no loose line that the paired page shares at the aligned place. Loose lines count only if the page has no content."""
+    """What is left of a page: its content; if none is marked, the element named as its container; else its loose lines without those that the paired page shares at the aligned place."""
     kept = [(t, s) for t, s in page if s != NOISE]
-    if any(s == CONTENT for _, s in kept):
-        whole = [t for t, s in kept if s == CONTENT]
-    else:
-        whole = [t for t, _ in kept]
-    if other is None or any(s == CONTENT for _, s in kept):
+    best = max((s for _, s in kept), default=NOISE)
+    whole = [t for t, s in kept if s == best]
+    if other is None or best >= NAMED:
         return whole
     beside = [t for t, s in other if s != NOISE]
     gone = common(whole, beside)

@@ -133,6 +133,14 @@ def test_page_structure():
     html.lines("<div>" * 20000 + "<a" * 20000)
 
 
+def test_other_page_structures():
+    page = '<body><div class="top-nav">Home</div><div>Crumb</div><div id="content"><div class="entry-header"><h1>Title</h1></div><p>Body<div class="post-comments"><p>me too</div></div><div class="sidebar"><p>x</div></body>'
+    assert html.difference(html.lines(page), None) == ["Title", "Body"]
+    page = '<div class="content"><div>wrapper</div><article class="post"><header><h1>T</h1></header><p>a<b>b</b>c</p><footer>by</footer></article></div>'
+    assert html.difference(html.lines(page), None) == ["T", "abc"]
+    assert html.difference(html.lines('<p>a</p><div role="alert">n</div><div style="display: none">h</div><p hidden>x</p><button>Go</button><p>z'), None) == ["a", "z"]
+
+
 def test_differencing_deletes_aligned_shared_lines():
     a = html.lines("<div>Menu</div><div>One</div><div>Two</div><div>Imprint</div>")
     b = html.lines("<div>Menu</div><div>Three</div><div>Four</div><div>Five</div><div>Imprint</div>")
