@@ -15,7 +15,9 @@ is joined by a shuffle.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from functools import cache
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -128,23 +130,93 @@ def windows(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return (h[at], at, kind, value) if len(at) else (h, np.arange(len(h)), kind, value)
 
 
+def _pairs(x: list[int], y: list[int]) -> dict[int, int] | None:
+    """What a window binds, item value to document value; None if it contradicts itself."""
+    out: dict[int, int] = {}
+    for u, v in zip(x, y, strict=False):  # short items are filled up with literals
+        if u and out.setdefault(u, v) != v:
+            return None
+    return out
+
+
+def _agrees(pairs: dict[int, int] | None, bound: dict[int, int]) -> bool:
+    return pairs is not None and all(bound.get(u, v) == v for u, v in pairs.items())
+
+
+def _longest(rows: list[tuple]) -> list[tuple]:
+    """A longest chain of rows whose places rise in the item and in the document; rows are in order of item place, and of falling document place."""
+    ends: list[int] = []
+    last: list[int] = []
+    before = []
+    for i, r in enumerate(rows):
+        n = bisect_left(ends, r[1])
+        before.append(last[n - 1] if n else -1)
+        ends[n : n + 1], last[n : n + 1] = [r[1]], [i]
+    out = []
+    i = last[-1] if last else -1
+    while i >= 0:
+        out.append(rows[i])
+        i = before[i]
+    return out[::-1]
+
+
+def _chain(rows: list[tuple], bound: dict[int, int]) -> tuple[list[tuple], dict[int, int]]:
+    """The longest chain of rows that agree with a binding, which the longest run of the chain on one alignment extends until no row of the chain is left unbound."""
+    bound = dict(bound)
+    while True:
+        chain = _longest([r for r in rows if _agrees(r[2], bound)])
+        runs = [list(g) for _, g in groupby(chain, lambda r: r[1] - r[0])]
+        unbound = [g for g in runs if any(not r[2].keys() <= bound.keys() for r in g)]
+        if not unbound:
+            return chain, bound
+        for r in max(unbound, key=len):
+            if _agrees(r[2], bound):
+                bound |= r[2]
+
+
+def _contradicted(chain: list[tuple], rows: list[tuple]) -> bool:
+    """Whether a window that the chain lacks stands where it belongs, between (or beyond) windows of one alignment, with other slots."""
+    places = [r[0] for r in chain]
+    for a, p, *_ in rows:
+        n = bisect_left(places, a)
+        if n < len(places) and places[n] == a:
+            continue
+        sides = {r[1] - r[0] for r in chain[max(n - 1, 0) : n + 1]}
+        if sides == {p - a}:
+            return True
+    return False
+
+
 def verify(item: list[tuple], n_windows: int, similarity: float = SIMILARITY) -> tuple[float, int] | None:
-    """Whether matched windows show a leak: rows are (place in the item, place in the document, item's slots, document's slots), slots being value hashes of a window with 0 for literals. The best share of the item's windows over alignments, and the number of slots bound."""
+    """Whether matched windows show a leak: rows are (place in the item, place in the document, item's slots, document's slots), slots being value hashes of a window with 0 for literals. The best share of the item's windows over alignments, and the number of slots bound.
+
+    The binding comes from one exact alignment (or from each stretch of it without a contradiction); windows of other alignments are added in
+    order of item and document where they agree with it.
+    """
+    rows = sorted(((a, p, _pairs(x, y)) for a, p, x, y in item), key=lambda r: (r[0], -r[1]))
     by: dict[int, list[tuple]] = {}
-    for r in item:
+    for r in rows:
         by.setdefault(r[1] - r[0], []).append(r)
+    seeds = []
+    for shift, line in by.items():
+        bound, size = {}, 0
+        for r in line:
+            if not _agrees(r[2], bound):
+                seeds.append((size, shift, bound))
+                bound, size = {}, 0
+            bound, size = bound | (r[2] or {}), size + 1
+        seeds.append((size, shift, bound))
     best = None
-    for shift in sorted(by):
-        found, bound, back, bad = set(), {}, {}, False
-        for near in range(shift, shift + DRIFT + 1):
-            for a, _, x, y in by.get(near, ()):
-                for u, v in zip(x, y, strict=False):  # short items are filled up with literals
-                    if u and (bound.setdefault(u, v) != v or back.setdefault(v, u) != u):
-                        bad = True
-                found.add(a)
-        share = len(found) / n_windows
-        if not bad and share >= similarity and (best is None or share > best[0]):
+    for _, shift, bound in sorted(seeds, key=lambda s: (-s[0], s[1])):
+        near = [r for r in rows if abs(r[1] - r[0] - shift) <= DRIFT]
+        if len({r[0] for r in near}) / n_windows < max(similarity, best[0] if best else 0):
+            continue
+        chain, bound = _chain(near, bound)
+        share = len(chain) / n_windows
+        if share >= similarity and (best is None or share > best[0]) and not _contradicted(chain, near):
             best = (share, len(bound))
+            if share == 1:
+                break
     return best
 
 

@@ -146,6 +146,31 @@ def test_leaks_by_template(spark, more):
     assert leaks(spark, texts, **more) == {(0, 1), (1, 1), (7, 2)}
 
 
+def shares(item, text):
+    """What verify() says of one item and one text, by plain comparison of windows."""
+    h, at, kind, value = decontaminate.windows(item)
+    g, to, k, v = decontaminate.windows(text)
+    rows = [(int(a), int(p), decontaminate._slots(kind, value, int(a)), decontaminate._slots(k, v, int(p))) for x, a in zip(h, at) for y, p in zip(g, to) if x == y]
+    return decontaminate.verify(rows, len(at))
+
+
+@pytest.mark.parametrize("item", ["What is 12 + 15 + 18 + 21 + 24 when added up carefully", "we saw Anna and Bob and Carl and Dora in town", "es sind die Katze und die Maus und die Katze da"])
+def test_templates_that_repeat_are_found(item):
+    assert shares(item, item)[0] == 1
+    assert shares(item, "and so on. " + item + " and more")[0] == 1
+    changed = item
+    for old, new in (("12", "7"), ("15", "8"), ("18", "8"), ("Anna", "Eve"), ("Bob", "Eve"), ("Katze", "Kuh")):
+        changed = changed.replace(old, new)
+    assert shares(item, changed)[0] == 1
+
+
+def test_slots_that_contradict_each_other_are_no_leak():
+    item = "a bus with 5 seats " + " ".join(f"w{'x' * i}" for i in range(40)) + " has 5 seats in the end"
+    assert shares(item, item.replace("5", "6"))[0] == 1
+    assert shares(item, item.replace("has 5", "has 6")) is None
+    assert shares(item, item.replace("with 5", "with 6")) is None
+
+
 def test_leaks_of_whole_items(spark):
     docs = {r["doc_id"]: (r["text"] or "") for r in queries.table(spark, "/root/testdata/sf0.1", "documents").collect()}
     items = {r["item_id"]: r["text"] for r in queries.table(spark, "/root/testdata/sf0.1", "benchmark").collect()}
