@@ -1,6 +1,6 @@
 """Benchmark decontamination by template canonicalisation.
 
-Numbers, names and units become typed placeholders; windows of five template words are hash-joined with those of the benchmark items. On
+Numbers, names and units become typed placeholders (a capitalised word at the start of a sentence is read both as a name and as a literal); windows of five template words are hash-joined with those of the benchmark items. On
 each alignment of an item with a document, the slots (placeholder values) must be consistent: one value of the item always stands for one
 value of the document. An item has leaked into a document if at least 0.8 of its windows are found so. A question whose numbers or names
 were changed throughout is caught; one whose slots contradict each other is not.
@@ -39,6 +39,14 @@ UNITS = frozenset(
     "s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years "
     "% percent dollar dollars euro euros cent cents usd eur gbp mph kmh hz khz mhz ghz w kw v a c f k degree degrees".split()
 )
+#: Words that open sentences and name nobody: capitals say nothing there.
+OPENERS = frozenset(
+    "a an the this that these those it its he she they we you i his her their our your my who what which whose whom when where why how if in on at of for from to by with and or but so as then there here "
+    "is are was were do does did has have had can could should would not no yes after before while since let find give each every all some "
+    "der die das ein eine einer er sie es wir ihr ich wer was welche welcher welches wann wo warum wie wenn und oder aber in im am an auf mit von zu für ist sind hat haben nach vor "
+    "le la les un une des il elle ils elles on nous vous je ce cette ces qui que quel quelle quand où pourquoi comment si et ou mais dans en de du pour avec est sont "
+    "el los las una unos unas él ella ellos qué quién cuál cuándo dónde cómo cuánto cuántos cuántas y o pero con por para es son se su".split()
+)
 _NUMBER = re.compile(r"[-+]?[$€£]?[0-9][0-9.,:/]*%?")
 _PARTS = re.compile(r"([-+]?[$€£]?[0-9][0-9.,:/]*)([^\W\d]+|%)")
 
@@ -64,11 +72,11 @@ def _uneven() -> tuple[re.Pattern, dict[int, str]]:
     return re.compile(f"[{''.join(odd)}]"), dict.fromkeys(map(ord, odd), "_")
 
 
-def template(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Template hash, kind and value hash of each word (a run of anything but ASCII white space, without the punctuation at its ends, in lower case).
+def template(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Template hash, kind and value hash of each word, and whether it may be a name though it is taken for a literal (a run of anything but ASCII white space, without the punctuation at its ends, in lower case).
 
     A number is made of digits, with a currency sign, a percent sign or a unit; a unit is a unit word after a number; a name is a
-    capitalised word, not all in capitals, that starts no sentence. All words of the text are judged at once, on its bytes.
+    capitalised word, not all in capitals, that starts no sentence; one that starts a sentence, and is not among ``OPENERS``, may be a name. All words of the text are judged at once, on its bytes.
     """
     if not text.isascii():
         text = text.translate(_QUOTES) if _QUOTE.search(text) else text
@@ -82,7 +90,7 @@ def template(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     first, last = change[::2], change[1::2]
     n = len(first)
     if not n:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int8), np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int8), np.zeros(0, np.uint64), np.zeros(0, bool)
     core = np.flatnonzero(~_EDGE[c])  # what is neither space nor punctuation
     bare = np.searchsorted(core, first), np.searchsorted(core, last)
     some = bare[1] > bare[0]
@@ -93,6 +101,7 @@ def template(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         a, z = first, last
     value = hash_spans(low, 0, c, a, z)
     kind = np.zeros(n, np.int8)
+    maybe = np.zeros(n, bool)
     starts = np.ones(n, bool)
     starts[1:] = _END[c[last[:-1] - 1]]
     changed = b != c
@@ -103,6 +112,8 @@ def template(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         rest = np.minimum(a + _WIDTH[b[a]], z)
         name = (upper[rest] > upper[a]) & (letter[z] - letter[rest] > beyond[z] - beyond[rest])
         kind[name & ~starts] = NAME
+        for i in np.flatnonzero(name & starts).tolist():
+            maybe[i] = low[a[i] : z[i]].decode("utf-8", "replace") not in OPENERS
     digit = (c >= 48) & (c <= 57)
     if digit.any():
         held = np.unique(np.searchsorted(first, np.flatnonzero(digit), side="right") - 1)
@@ -113,21 +124,40 @@ def template(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         for i in (np.flatnonzero(kind[:-1] == NUMBER) + 1).tolist():
             if kind[i] != NUMBER and low[a[i] : z[i]].decode("utf-8", "replace") in UNITS:
                 kind[i] = UNIT
-    return np.where(kind == LITERAL, value, _PLACEHOLDER[kind]), kind, value
+    return np.where(kind == LITERAL, value, _PLACEHOLDER[kind]), kind, value, maybe & (kind == LITERAL)
+
 
+def windows(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Window hashes, their places and readings, and kind and value of each word. Windows without a literal are left out if others are there.
 
-def windows(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Window hashes and their places, and kind and value of each word. Windows without a literal are left out if others are there."""
-    t, kind, value = template(text)
+    A reading is a bit for each word of the window that may be a name and is read as one; reading 0, in which such words are literals, is
+    there for each place, the others where they leave a literal.
+    """
+    t, kind, value, maybe = template(text)
     size = min(WORDS, len(t))
     if not size:
-        return t, np.zeros(0, np.int64), kind, value
-    if size < WORDS:
-        return window_hashes(t, size) ^ np.uint64(size), np.zeros(1, np.int64), kind, value
-    h = window_hashes(t, WORDS)
-    literals = np.concatenate([[0], np.cumsum(kind == LITERAL)])
-    at = np.flatnonzero(literals[WORDS:] - literals[:-WORDS] > 0)
-    return (h[at], at, kind, value) if len(at) else (h, np.arange(len(h)), kind, value)
+        return t, np.zeros(0, np.int64), np.zeros(0, np.int8), kind, value
+    short = np.uint64(size if size < WORDS else 0)
+    h = window_hashes(t, size) ^ short
+    literal = kind == LITERAL
+    literals = np.concatenate([[0], np.cumsum(literal)])
+    at = np.flatnonzero(literals[size:] - literals[:-size] > 0) if size == WORDS else np.zeros(1, np.int64)
+    at = at if len(at) else np.arange(len(h))
+    out = [(h[at], at, np.zeros(len(at), np.int8))]
+    if maybe.any():
+        bits = 1 << np.arange(size)
+        code = np.lib.stride_tricks.sliding_window_view(maybe, size)[at] @ bits
+        held = np.lib.stride_tricks.sliding_window_view(literal, size)[at] @ bits
+        several = np.unique(code).tolist()
+        for mask in range(1, 1 << size):
+            if not any(c & mask == mask for c in several):
+                continue
+            here = at[(code & mask == mask) & (held & ~mask > 0)]
+            if len(here):
+                w = t[here + np.arange(size)[:, None]]
+                w[bits & mask > 0] = _PLACEHOLDER[NAME]
+                out.append((window_hashes(w, size)[0] ^ short, here, np.full(len(here), mask, np.int8)))
+    return (*(np.concatenate(c) for c in zip(*out, strict=True)), kind, value)
 
 
 def _pairs(x: list[int], y: list[int]) -> dict[int, int] | None:
@@ -177,7 +207,9 @@ def _chain(rows: list[tuple], bound: dict[int, int]) -> tuple[list[tuple], dict[
 def _contradicted(chain: list[tuple], rows: list[tuple]) -> bool:
     """Whether a window that the chain lacks stands where it belongs, between (or beyond) windows of one alignment, with other slots."""
     places = [r[0] for r in chain]
-    for a, p, *_ in rows:
+    for a, p, _, firm in rows:
+        if not firm:
+            continue
         n = bisect_left(places, a)
         if n < len(places) and places[n] == a:
             continue
@@ -188,23 +220,25 @@ def _contradicted(chain: list[tuple], rows: list[tuple]) -> bool:
 
 
 def verify(item: list[tuple], n_windows: int, similarity: float = SIMILARITY) -> tuple[float, int] | None:
-    """Whether matched windows show a leak: rows are (place in the item, place in the document, item's slots, document's slots), slots being value hashes of a window with 0 for literals. The best share of the item's windows over alignments, and the number of slots bound.
+    """Whether matched windows show a leak: rows are (place in the item, place in the document, item's slots, document's slots, whether no word is read as a name that only may be one), slots being value hashes of a window with 0 for literals. The best share of the item's windows over alignments, and the number of slots bound.
 
     The binding comes from one exact alignment (or from each stretch of it without a contradiction); windows of other alignments are added in
     order of item and document where they agree with it.
     """
-    rows = sorted(((a, p, _pairs(x, y)) for a, p, x, y in item), key=lambda r: (r[0], -r[1]))
+    rows = sorted(((a, p, _pairs(x, y), firm) for a, p, x, y, firm in item), key=lambda r: (r[0], -r[1], not r[3]))
     by: dict[int, list[tuple]] = {}
     for r in rows:
         by.setdefault(r[1] - r[0], []).append(r)
     seeds = []
     for shift, line in by.items():
         bound, size = {}, 0
-        for r in line:
-            if not _agrees(r[2], bound):
+        for _, same in groupby(line, lambda r: r[0]):  # the readings of one place
+            same = [r[2] for r in same if r[2] is not None]
+            new = next((x for x in same if _agrees(x, bound)), None)
+            if new is None:
                 seeds.append((size, shift, bound))
-                bound, size = {}, 0
-            bound, size = bound | (r[2] or {}), size + 1
+                bound, size, new = {}, 0, same[0] if same else {}
+            bound, size = bound | new, size + 1
         seeds.append((size, shift, bound))
     best = None
     for _, shift, bound in sorted(seeds, key=lambda s: (-s[0], s[1])):
@@ -220,21 +254,22 @@ def verify(item: list[tuple], n_windows: int, similarity: float = SIMILARITY) ->
     return best
 
 
-def _slots(kind: np.ndarray, value: np.ndarray, at: int) -> list[int]:
+def _slots(kind: np.ndarray, value: np.ndarray, at: int, reading: int = 0) -> list[int]:
     k, v = kind[at : at + WORDS], value[at : at + WORDS]
-    return np.where(k == LITERAL, np.uint64(0), v | np.uint64(1)).view(np.int64).tolist()
+    return np.where((k == LITERAL) & (reading >> np.arange(len(k)) & 1 == 0), np.uint64(0), v | np.uint64(1)).view(np.int64).tolist()
 
 
 def _emit(batches):
     """(k, t) -> all template windows: for a benchmark, and for documents where the benchmark is too large to share."""
     for b in batches:
         for k, t in zip(b.column("k").to_pylist(), b.column("t").to_pylist(), strict=True):
-            h, at, kind, value = windows(t)
+            h, at, reading, kind, value = windows(t)
             if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k)), pa.array(h.view(np.int64)), pa.array(at.astype(np.int32)), pa.array([_slots(kind, value, int(a)) for a in at], pa.list_(pa.int64())), pa.array(np.full(len(at), len(at), np.int32))], names=["k", "h", "p", "s", "n"])
+                slots = [_slots(kind, value, a, m) for a, m in zip(at.tolist(), reading.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k)), pa.array(h.view(np.int64)), pa.array(at.astype(np.int32)), pa.array(slots, pa.list_(pa.int64())), pa.array(reading == 0), pa.array(np.full(len(at), (reading == 0).sum(), np.int32))], names=["k", "h", "p", "s", "f", "n"])
 
 
-_EMIT = "k long, h long, p int, s array<long>, n int"
+_EMIT = "k long, h long, p int, s array<long>, f boolean, n int"
 _FOUND = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("similarity", pa.float64()), ("n_slots", pa.int64())])
 
 
@@ -242,22 +277,23 @@ def _local(shared, similarity: float):
     """Matches whole documents against the shared windows: a hash join on sorted hashes, then the slot check."""
 
     def run(batches):
-        h, item, place, slots, total = shared.value
+        h, item, place, slots, firm, total = shared.value
         sieve = np.zeros(1 << 20, bool)
         sieve[h >> np.uint64(44)] = True
         for b in batches:
             out = []
             for k, t in zip(b.column("k").to_pylist(), b.column("t").to_pylist(), strict=True):
-                own, at, kind, value = windows(t)
+                own, at, reading, kind, value = windows(t)
                 maybe = np.flatnonzero(sieve[own >> np.uint64(44)])
                 if not len(maybe):
                     continue
                 lo, hi = np.searchsorted(h, own[maybe], "left"), np.searchsorted(h, own[maybe], "right")
                 found: dict[int, list[tuple]] = {}
                 for j in np.flatnonzero(hi > lo).tolist():
-                    s = _slots(kind, value, int(at[maybe[j]]))
+                    p, m = int(at[maybe[j]]), int(reading[maybe[j]])
+                    s = _slots(kind, value, p, m)
                     for i in range(int(lo[j]), int(hi[j])):
-                        found.setdefault(int(item[i]), []).append((int(place[i]), int(at[maybe[j]]), slots[i].tolist(), s))
+                        found.setdefault(int(item[i]), []).append((int(place[i]), p, slots[i].tolist(), s, bool(firm[i]) and not m))
                 for i, rows in found.items():
                     if len(rows) >= similarity * total[i] and (got := verify(rows, total[i], similarity)):
                         out.append((k, i, *got))
@@ -270,7 +306,7 @@ def _grouped(similarity: float):
     def run(key, pdf):
         import pandas as pd
 
-        got = verify(list(zip(pdf["ip"], pdf["p"], pdf["sx"], pdf["s"], strict=True)), int(pdf["total"].iloc[0]), similarity)
+        got = verify(list(zip(pdf["ip"], pdf["p"], pdf["sx"], pdf["s"], pdf["firm"], strict=True)), int(pdf["total"].iloc[0]), similarity)
         return pd.DataFrame([(*key, *got)] if got else [], columns=_FOUND.names)
 
     return run
@@ -291,11 +327,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: s
         for i, s in enumerate(got["s"].to_pylist()):
             slots[i, : len(s)] = s
         k = got["k"].to_numpy()
-        shared = (h[order], k[order], got["p"].to_numpy()[order], slots[order], dict(zip(k.tolist(), got["n"].to_pylist(), strict=True)))
+        shared = (h[order], k[order], got["p"].to_numpy()[order], slots[order], got["f"].to_numpy(zero_copy_only=False)[order], dict(zip(k.tolist(), got["n"].to_pylist(), strict=True)))
         found = rows.mapInArrow(_local(spark.sparkContext.broadcast(shared), similarity), "doc_id long, item_id long, similarity double, n_slots long")
     else:
-        own = rows.mapInArrow(_emit, _EMIT).select("k", "h", "p", "s")
-        pairs = own.join(items.select(F.col("k").alias("i"), "h", F.col("p").alias("ip"), F.col("s").alias("sx"), F.col("n").alias("total")), "h")
+        own = rows.mapInArrow(_emit, _EMIT).select("k", "h", "p", "s", "f")
+        pairs = own.join(items.select(F.col("k").alias("i"), "h", F.col("p").alias("ip"), F.col("s").alias("sx"), F.col("f").alias("fx"), F.col("n").alias("total")), "h").withColumn("firm", F.col("f") & F.col("fx"))
         found = pairs.groupBy("k", "i").applyInPandas(_grouped(similarity), "doc_id long, item_id long, similarity double, n_slots long")
     return found.groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"), F.max("n_slots").alias("n_slots"))
 

@@ -148,10 +148,10 @@ def test_leaks_by_template(spark, more):
 
 def shares(item, text):
     """What verify() says of one item and one text, by plain comparison of windows."""
-    h, at, kind, value = decontaminate.windows(item)
-    g, to, k, v = decontaminate.windows(text)
-    rows = [(int(a), int(p), decontaminate._slots(kind, value, int(a)), decontaminate._slots(k, v, int(p))) for x, a in zip(h, at) for y, p in zip(g, to) if x == y]
-    return decontaminate.verify(rows, len(at))
+    h, at, m, kind, value = decontaminate.windows(item)
+    g, to, n, k, v = decontaminate.windows(text)
+    rows = [(int(a), int(p), decontaminate._slots(kind, value, int(a), int(i)), decontaminate._slots(k, v, int(p), int(j)), not i and not j) for x, a, i in zip(h, at, m) for y, p, j in zip(g, to, n) if x == y]
+    return decontaminate.verify(rows, int((m == 0).sum()))
 
 
 @pytest.mark.parametrize("item", ["What is 12 + 15 + 18 + 21 + 24 when added up carefully", "we saw Anna and Bob and Carl and Dora in town", "es sind die Katze und die Maus und die Katze da"])
@@ -171,6 +171,16 @@ def test_slots_that_contradict_each_other_are_no_leak():
     assert shares(item, item.replace("with 5", "with 6")) is None
 
 
+@pytest.mark.parametrize("more", [{}, {"prime_windows": 0}])
+def test_names_that_start_sentences(spark, more):
+    tom = "Tom has 5 apples. Tom buys 3 more apples. How many apples does Tom have now?"
+    texts = [tom, tom.replace("Tom", "Sue"), "it says: " + tom.replace("Tom", "Sue").replace("5", "9"), tom.replace("Tom has", "Sue has").replace("Tom buys", "Eve buys"), "tom has no apples at all"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, tom), (2, "Paris lies. Rome waits. Bonn sleeps. Oslo sings.")], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontaminate.find_leaks(docs, items, **more).collect()}
+    assert got == {(0, 1): 1, (1, 1): 1, (2, 1): 1}
+
+
 def test_leaks_of_whole_items(spark):
     docs = {r["doc_id"]: (r["text"] or "") for r in queries.table(spark, "/root/testdata/sf0.1", "documents").collect()}
     items = {r["item_id"]: r["text"] for r in queries.table(spark, "/root/testdata/sf0.1", "benchmark").collect()}
