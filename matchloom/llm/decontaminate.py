@@ -2,7 +2,8 @@
 
 Numbers, names and units become typed placeholders (a capitalised word at the start of a sentence is read both as a name and as a literal); windows of five template words are hash-joined with those of the benchmark items. On
 each alignment of an item with a document, the slots (placeholder values) must be consistent: one value of the item always stands for one
-value of the document. An item has leaked into a document if at least 0.8 of its windows are found so. A question whose numbers or names
+value of the document. An item has leaked into a document if at least 0.8 of its windows are found so, in order;
+words may be put in or left out between them. A question whose numbers or names
 were changed throughout is caught; one whose slots contradict each other is not.
 
 Defined results: null and empty texts, and items without a word, match nothing. An item of fewer than five words is one
@@ -29,8 +30,6 @@ from ._util import hash_spans, short_batches, window_hashes, written
 WORDS, SIMILARITY = 5, 0.8
 #: Most benchmark windows that are broadcast: 48 bytes each.
 PRIME_WINDOWS = 500_000
-#: Words by which two alignments of an item may differ and still count together (words put in or left out).
-DRIFT = 4
 
 #: Unit words.
 UNITS = frozenset(
@@ -112,8 +111,9 @@ def template(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
         rest = np.minimum(a + _WIDTH[b[a]], z)
         name = (upper[rest] > upper[a]) & (letter[z] - letter[rest] > beyond[z] - beyond[rest])
         kind[name & ~starts] = NAME
-        for i in np.flatnonzero(name & starts).tolist():
-            maybe[i] = low[a[i] : z[i]].decode("utf-8", "replace") not in OPENERS
+        first_names = np.flatnonzero(name & starts)
+        openers = _openers()
+        maybe[first_names] = [v not in openers for v in value[first_names].tolist()]
     digit = (c >= 48) & (c <= 57)
     if digit.any():
         held = np.unique(np.searchsorted(first, np.flatnonzero(digit), side="right") - 1)
@@ -127,6 +127,21 @@ def template(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
     return np.where(kind == LITERAL, value, _PLACEHOLDER[kind]), kind, value, maybe & (kind == LITERAL)
 
 
+@cache
+def _readings() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each set of words (as bits) the non-empty subsets: place of the first, their number, all of them."""
+    subsets = [[m for m in range(1, c + 1) if c & m == m] for c in range(1 << WORDS)]
+    count = np.array([len(x) for x in subsets])
+    return np.cumsum(count) - count, count, np.array([m for x in subsets for m in x])
+
+
+@cache
+def _openers() -> frozenset[int]:
+    """Value hashes of the openers."""
+    words = [w.encode() for w in OPENERS]
+    return frozenset(int(hash_spans(w, 0, np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0]) for w in words)
+
+
 def windows(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Window hashes, their places and readings, and kind and value of each word. Windows without a literal are left out if others are there.
 
@@ -146,17 +161,17 @@ def windows(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray,
     out = [(h[at], at, np.zeros(len(at), np.int8))]
     if maybe.any():
         bits = 1 << np.arange(size)
-        code = np.lib.stride_tricks.sliding_window_view(maybe, size)[at] @ bits
-        held = np.lib.stride_tricks.sliding_window_view(literal, size)[at] @ bits
-        several = np.unique(code).tolist()
-        for mask in range(1, 1 << size):
-            if not any(c & mask == mask for c in several):
-                continue
-            here = at[(code & mask == mask) & (held & ~mask > 0)]
-            if len(here):
-                w = t[here + np.arange(size)[:, None]]
-                w[bits & mask > 0] = _PLACEHOLDER[NAME]
-                out.append((window_hashes(w, size)[0] ^ short, here, np.full(len(here), mask, np.int8)))
+        code, held = (sum(x[i : i + len(h)].astype(np.int8) << i for i in range(size))[at] for x in (maybe, literal))
+        some = np.flatnonzero(code)
+        first, count, masks = _readings()
+        n = count[code[some]]
+        which = np.repeat(some, n)
+        mask = masks[np.arange(len(which)) + np.repeat(first[code[some]] - np.cumsum(n) + n, n)]
+        left = held[which] & ~mask > 0
+        which, mask = which[left], mask[left]
+        w = t[at[which] + np.arange(size)[:, None]]
+        w[bits[:, None] & mask > 0] = _PLACEHOLDER[NAME]
+        out.append((window_hashes(w, size)[0] ^ short, at[which], mask.astype(np.int8)))
     return (*(np.concatenate(c) for c in zip(*out, strict=True)), kind, value)
 
 
@@ -222,8 +237,8 @@ def _contradicted(chain: list[tuple], rows: list[tuple]) -> bool:
 def verify(item: list[tuple], n_windows: int, similarity: float = SIMILARITY) -> tuple[float, int] | None:
     """Whether matched windows show a leak: rows are (place in the item, place in the document, item's slots, document's slots, whether no word is read as a name that only may be one), slots being value hashes of a window with 0 for literals. The best share of the item's windows over alignments, and the number of slots bound.
 
-    The binding comes from one exact alignment (or from each stretch of it without a contradiction); windows of other alignments are added in
-    order of item and document where they agree with it.
+    The binding comes from one exact alignment (or from each stretch of it without a contradiction); windows of other alignments, however far
+    words put in or left out have moved them, are added in order of item and document where they agree with it.
     """
     rows = sorted(((a, p, _pairs(x, y), firm) for a, p, x, y, firm in item), key=lambda r: (r[0], -r[1], not r[3]))
     by: dict[int, list[tuple]] = {}
@@ -240,17 +255,18 @@ def verify(item: list[tuple], n_windows: int, similarity: float = SIMILARITY) ->
                 bound, size, new = {}, 0, same[0] if same else {}
             bound, size = bound | new, size + 1
         seeds.append((size, shift, bound))
-    best = None
-    for _, shift, bound in sorted(seeds, key=lambda s: (-s[0], s[1])):
-        near = [r for r in rows if abs(r[1] - r[0] - shift) <= DRIFT]
-        if len({r[0] for r in near}) / n_windows < max(similarity, best[0] if best else 0):
+    most = len(_longest([r for r in rows if r[2] is not None])) / n_windows  # under any binding
+    best, tried = None, set()
+    for _, _, bound in sorted(seeds, key=lambda s: (-s[0], s[1])):
+        if most < similarity or best and best[0] >= most:
+            break
+        if (same := frozenset(bound.items())) in tried:
             continue
-        chain, bound = _chain(near, bound)
+        tried.add(same)
+        chain, bound = _chain(rows, bound)
         share = len(chain) / n_windows
-        if share >= similarity and (best is None or share > best[0]) and not _contradicted(chain, near):
+        if share >= similarity and (best is None or share > best[0]) and not _contradicted(chain, rows):
             best = (share, len(bound))
-            if share == 1:
-                break
     return best
 
 

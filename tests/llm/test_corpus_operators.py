@@ -171,6 +171,25 @@ def test_slots_that_contradict_each_other_are_no_leak():
     assert shares(item, item.replace("with 5", "with 6")) is None
 
 
+def test_words_put_in_or_left_out():
+    words = [f"w{'x' * i}" for i in range(40)]
+    put = words[:20] + ["so"] * 5 + words[20:]
+    assert shares(" ".join(words), " ".join(put))[0] == 32 / 36
+    assert shares(" ".join(put), " ".join(words)) is None  # 32 of 41
+    long = [f"{'v' * (i % 20)}u{'x' * (i // 20)}" for i in range(200)]
+    spread = [w for i, w in enumerate(long) for w in ([w, "so"] if i % 25 == 24 and i < 190 else [w])]
+    assert shares(" ".join(long), " ".join(spread))[0] == (196 - 28) / 196
+    assert shares(" ".join(long), " ".join(long[:100] + long[106:]))[0] == (196 - 10) / 196
+    assert shares(" ".join(long), " ".join(long[100:] + long[:100])) is None  # not in order
+
+
+def test_words_put_into_a_template_that_repeats():
+    names = "Anna Bob Carl Anna Dora Bob Emil Anna Fritz Bob Gerd Anna Hans Bob Ida Anna Jan Bob Kai Anna Lars Bob Max Anna Nele Bob Otto".split()
+    item = "we saw " + " and ".join(names) + " in town"
+    text = "we saw " + " and ".join([*names[:14], "Zoe", *names[14:]]) + " in town"
+    assert shares(item, text)[0] >= 0.9
+
+
 @pytest.mark.parametrize("more", [{}, {"prime_windows": 0}])
 def test_names_that_start_sentences(spark, more):
     tom = "Tom has 5 apples. Tom buys 3 more apples. How many apples does Tom have now?"
