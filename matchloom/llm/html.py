@@ -1,7 +1,8 @@
 """HTML extraction by nearest-URL page differencing.
 
 A page is read into text lines, one for each block, each marked as content (inside an article or main element, or else one named as the container), loose, or furniture
-(menus, headers, footers, sidebars, forms, adverts, notices, comments: by element, role, class or id). Pages are sorted by host and URL
+(menus, headers, footers, sidebars, forms, adverts, notices, comments: by element, role, class or id). An article or main element below a form or a box that is
+furniture by its name only is content again (in such a box an article counts only on pages without other content). Pages are sorted by host and URL
 path; each is paired with the neighbour of its host whose path is nearest. Both pages' lines are aligned by longest common subsequence, and
 the lines that they share are deleted, with two limits: lines marked as content stay (copies of an article on one host would otherwise
 delete each other), and a pair whose lines are nearly all shared is a pair of copies, which says nothing.
@@ -43,27 +44,34 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][A-Za-z
 _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?(?=[\s/]|$)", re.IGNORECASE)
 _SPACE = re.compile(r"\s+")
 _WORD = re.compile(r"[a-z]+")
-CONTENT, NAMED, LOOSE, NOISE = 3, 2, 1, 0
+#: Words that make furniture of a mark beside them, inside content: "share-buttons", but not "social-impact".
+WIDGETS = frozenset("area bar block box button buttons container count icon icons inner item items link links list outer panel section title widget widgets wrap wrapper".split())
+#: Elements that no class or id makes furniture.
+ROOTS = frozenset("html body main article".split())
+#: What a line is. REOPENED: an article inside a box that is furniture by its name only. FORM and BOX are noise in which content may begin again.
+#: Lines of forms are FORMED, and loose where a page has nothing else.
+FORMED, CONTENT, NAMED, REOPENED, LOOSE, NOISE, FORM, BOX = 5, 4, 3, 2, 1, 0, -1, -2
 #: Share of common lines from which two pages are copies of each other.
 COPIES = 0.9
 
 
-def _marked(attributes: str, inside: bool) -> bool:
-    """Whether attributes make an element furniture. Inside content only whole class names count, so an article about "search-engines" stays."""
+def _marked(attributes: str, inside: bool) -> int | None:
+    """NOISE or BOX if attributes make an element furniture (BOX by its name only). Inside content a name of several words counts only if all of them are marks or parts of widgets, so an article's section "related-work" stays."""
+    found = None
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
-            return True
+            return NOISE
         if name == "role" and value in ROLES:
-            return True
+            return NOISE
         if name in ("class", "id"):
             for one in value.split():
                 words = _WORD.findall(one)
                 if len(words) > 1 and words[0] in OWN and words[-1] == "header":
                     continue
-                if one in MARKS or words and (words[0] in MARKS or words[-1] in MARKS) and not (inside and len(words) > 2):
-                    return True
-    return False
+                if one in MARKS or words and (words[0] in MARKS or words[-1] in MARKS) and not (inside and (len(words) > 2 or any(w not in MARKS and w not in WIDGETS and w not in OWN for w in words))):
+                    found = BOX
+    return found
 
 
 def _named(attributes: str) -> bool:
@@ -88,7 +96,7 @@ def lines(html: str | None) -> list[tuple[str, int]]:
         if buffer:
             text = _SPACE.sub(" ", unescape("".join(buffer))).strip()
             if text:
-                out.append((text, state))
+                out.append((text, FORMED if state == FORM else max(state, NOISE)))
             buffer.clear()
 
     def close(to: int) -> None:
@@ -150,11 +158,16 @@ def lines(html: str | None) -> list[tuple[str, int]]:
             continue
         inside = state
         if state != NOISE:
-            if name in FURNITURE and not (name == "header" and state >= NAMED) or _marked(m[3], state >= NAMED):
-                inside = NOISE
-            elif name in ("article", "main") or 'itemprop="articleBody"' in m[3]:
-                inside = CONTENT
-            elif state == LOOSE and name in BLOCKS and name != "body" and _named(m[3]):
+            mark = None if name in ROOTS else _marked(m[3], state >= REOPENED)
+            if name in FURNITURE and not (name == "header" and state >= REOPENED) or mark == NOISE:
+                inside = FORM if name == "form" and state == LOOSE and mark != NOISE else state if name == "form" and state < NOISE and mark != NOISE else NOISE
+            elif mark == BOX:
+                inside = BOX
+            elif name == "main" or name == "article" and state != BOX or 'itemprop="articleBody"' in m[3] and state > NOISE:
+                inside = CONTENT if state != REOPENED else REOPENED
+            elif name == "article":
+                inside = REOPENED
+            elif state in (LOOSE, FORM) and name in BLOCKS and name != "body" and _named(m[3]):
                 inside = NAMED
         if inside != state and name not in BLOCKS:
             flush()
@@ -203,14 +216,20 @@ def common(a: list[str], b: list[str]) -> set[int]:
     return out
 
 
+def _kept(page: list[tuple[str, int]]) -> list[tuple[str, int]]:
+    """The lines that are not furniture; those of forms only if there are no others."""
+    kept = [(t, s) for t, s in page if s not in (NOISE, FORMED)]
+    return kept or [(t, LOOSE) for t, s in page if s == FORMED]
+
+
 def difference(page: list[tuple[str, int]], other: list[tuple[str, int]] | None) -> list[str]:
     """What is left of a page: its content; if none is marked, the element named as its container; else its loose lines without those that the paired page shares at the aligned place."""
-    kept = [(t, s) for t, s in page if s != NOISE]
+    kept = _kept(page)
     best = max((s for _, s in kept), default=NOISE)
     whole = [t for t, s in kept if s == best]
-    if other is None or best >= NAMED:
+    if other is None or best >= REOPENED:
         return whole
-    beside = [t for t, s in other if s != NOISE]
+    beside = [t for t, _ in _kept(other)]
     gone = common(whole, beside)
     if len(gone) >= COPIES * max(len(whole), 1):
         return whole

@@ -141,6 +141,22 @@ def test_other_page_structures():
     assert html.difference(html.lines('<p>a</p><div role="alert">n</div><div style="display: none">h</div><p hidden>x</p><button>Go</button><p>z'), None) == ["a", "z"]
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<body><form id='aspnetForm'><nav>Menu</nav><article><p>a</p><p>b</p></article></form></body>",
+        "<body><form><div>Menu</div><div class='content'><p>a</p><p>b</p></div></form></body>",
+        "<body><form><nav>Menu</nav><div>a</div><p>b</p></form></body>",
+        "<body class='has-sidebar'><div>x</div><main class='no-sidebar'><p>a</p><p>b</p></main></body>",
+        "<article class='post comment-open'><p>a</p><p>b</p></article>",
+        "<div id='page-header'><article><p>a</p><p>b</p></article></div>",
+        "<article><section id='related-work'><p>a</p></section><h2 id='social-impact'>b</h2><div class='share-buttons'>s</div><div id='comments'><article>c</article></div></article>",
+    ],
+)
+def test_content_is_not_lost_to_loose_marks(page):
+    assert html.difference(html.lines(page), None) == ["a", "b"]
+
+
 def test_differencing_deletes_aligned_shared_lines():
     a = html.lines("<div>Menu</div><div>One</div><div>Two</div><div>Imprint</div>")
     b = html.lines("<div>Menu</div><div>Three</div><div>Four</div><div>Five</div><div>Imprint</div>")
