@@ -710,15 +710,14 @@ def er_model_scores(spark: SparkSession, sf: str) -> DataFrame:
     """Two trees of two folds over the probability context, and their out-of-fold probability."""
     rows = context.probability_context(views.scored(spark, sf)).withColumn("fold", F.coalesce(folds.fold(F.col("s")), F.lit("none")))
     names = ["p1", "p2", *_PCTX]
-    settings = {"maxIter": 5, "maxDepth": 4, "stepSize": 0.3}
-    got = models.score_two(rows, models.fit_two(rows, names, settings))
+    got = models.score_two(rows, models.fit_two(rows, names))
     return got.select("src", "s", "t", F.round(folds.out_of_fold(F.col("fold"), F.col("p_a"), F.col("p_b")), 6).alias("p"))
 
 
 @query()
 def er_importances(spark: SparkSession, sf: str) -> DataFrame:
     rows = context.probability_context(views.scored(spark, sf))
-    model = models.fit(rows, ["p1", "p2", *_PCTX], {"maxIter": 5, "maxDepth": 4, "stepSize": 0.3})
+    model = models.fit(rows, ["p1", "p2", *_PCTX])
     return spark.createDataFrame(model.importances(), "feature string, gain double")
 
 

@@ -46,3 +46,18 @@ def test_query(spark, sf, duck, name):
     assert len(got) == len(want)
     for a, b in zip(got, want):
         assert all(map(close, a, b)), (a, b)
+
+
+@pytest.mark.parametrize("name", ["er_importances", "er_model_scores"])
+def test_models_train_with_the_operators_settings(spark, sf, monkeypatch, name):
+    seen = []
+
+    class Trees:
+        def __init__(self, **settings):
+            seen.append(settings)
+            raise StopIteration
+
+    monkeypatch.setattr(resolution.models, "GBTClassifier", Trees)
+    with pytest.raises(StopIteration):
+        resolution.queries()[name](spark, sf)
+    assert resolution.models.STAGE1.items() <= seen[0].items()
