@@ -1,43 +1,12 @@
-"""Shared helpers of the training-data operators: written tables, batches, hashing."""
+"""Shared helpers of the training-data operators: staged tables, samples, hashing."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
-
-#: Rows of one Arrow batch sent to a Python worker; whole texts may be long, so batches are short.
-BATCH_ROWS = 512
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="matchloom-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: cuts the lineage, and survives the loss of any executor. Spark removes it when the session's JVM ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/matchloom-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+from ..sources.stage import dropped, staged
 
-
-def release(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of finished stages now, not when the driver next collects its garbage."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+__all__ = ["cutoff", "dropped", "hash_spans", "mix", "staged", "window_hashes", "word_hashes"]
 
 
 def cutoff(n: int, wanted: int) -> int:
@@ -46,13 +15,6 @@ def cutoff(n: int, wanted: int) -> int:
     return 2**63 - 1 if share >= 1 else int(-(2**63) + share * 2**64)
 
 
-def short_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Caps the rows of an Arrow batch, unless the session already asks for fewer."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
-        spark.conf.set(key, str(rows))
-
-
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _S1 = np.uint64(32)
 
@@ -82,26 +44,29 @@ def window_hashes(words: np.ndarray, length: int) -> np.ndarray:
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_BASE = 0xD6E8FEB86659FD93
+#: Bases of the two word hashes; where 64 bits may not decide, both together do.
+_BASES = (0xD6E8FEB86659FD93, 0xA24BAED4963EE407)
 #: Bytes that are hashed at once, and the length from which a word is hashed on its own.
 _PIECE, _LONG = 1 << 18, 64
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_powers = [np.ones((2, 1), np.uint64), np.ones((2, 1), np.uint64)]
 
 
-def _up_to(n: int) -> list[np.ndarray]:
-    if len(_powers[0]) <= n:
-        size = 1 << n.bit_length()
-        for i, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            p = np.full(size, base, np.uint64)
-            p[0] = 1
-            _powers[i] = np.cumprod(p)
-    return _powers
+def _up_to(n: int, which: int) -> np.ndarray:
+    """Powers of a base and of its inverse, from 0 to ``n`` at least."""
+    if _powers[which].shape[1] <= n:
+        base = _BASES[which]
+        p = np.empty((2, 1 << n.bit_length()), np.uint64)
+        p[0], p[1] = base, pow(base, -1, 1 << 64)
+        p[:, 0] = 1
+        _powers[which] = np.cumprod(p, 1)
+    return _powers[which]
 
 
-def word_hashes(raw: bytes) -> np.ndarray:
+def word_hashes(raw: bytes, which: int = 0) -> np.ndarray:
     """64-bit hashes of the words of a text: runs of anything but ASCII white space.
 
     Polynomial hashes from prefix sums, finalised, for all words of a piece at once; long words, on which such hashes are weak, by XXH3.
+    ``which`` (0 or 1) names one of two independent hashes.
     """
     out = []
     at, n = 0, len(raw)
@@ -109,12 +74,12 @@ def word_hashes(raw: bytes) -> np.ndarray:
         end = min(n, at + _PIECE)
         while end < n and not _SPACE[raw[end]]:  # no word is cut
             end += 1
-        out.append(_piece(raw, at, end))
+        out.append(_piece(raw, at, end, which))
         at = end
     return out[0] if len(out) == 1 else np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def _piece(raw: bytes, at: int, end: int) -> np.ndarray:
+def _piece(raw: bytes, at: int, end: int, which: int) -> np.ndarray:
     b = np.frombuffer(raw, np.uint8, end - at, at)
     edge = np.empty(len(b) + 2, np.int8)
     edge[0] = edge[-1] = 0
@@ -123,13 +88,12 @@ def _piece(raw: bytes, at: int, end: int) -> np.ndarray:
     first, last = change[::2], change[1::2]
     if not len(first):
         return np.zeros(0, np.uint64)
-    return hash_spans(raw, at, b, first, last)
+    return hash_spans(raw, at, b, first, last, which)
 
 
-def hash_spans(raw: bytes, at: int, b: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+def hash_spans(raw: bytes, at: int, b: np.ndarray, first: np.ndarray, last: np.ndarray, which: int = 0) -> np.ndarray:
     """Hashes of the spans [first, last) of the bytes ``b``, which are those of ``raw`` from ``at``."""
-    power, inverse = _up_to(len(b))
-    power, inverse = _up_to(len(b))
+    power, inverse = _up_to(len(b), which)
     total = np.zeros(len(b) + 1, np.uint64)
     np.cumsum(b * power[: len(b)], out=total[1:])
     length = last - first
@@ -139,5 +103,5 @@ def hash_spans(raw: bytes, at: int, b: np.ndarray, first: np.ndarray, last: np.n
         from xxhash import xxh3_64_intdigest
 
         for i in long.tolist():
-            h[i] = xxh3_64_intdigest(raw[at + int(first[i]) : at + int(last[i])])
+            h[i] = xxh3_64_intdigest(raw[at + int(first[i]) : at + int(last[i])], seed=which)
     return h

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import release, written
+from ._util import dropped, staged
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -15,17 +15,16 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     every edge leads to a root. Rounds grow with the logarithm of the longest chain. A hub's edges are never gathered: its smallest
     neighbour is a pre-aggregated minimum, joined back.
     """
-    spark = edges.sparkSession
-    now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), name)
+    now = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), name)
     while True:
         # Large star: larger neighbours of a node hang on its smallest neighbour (or itself).
         both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(now.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), name)  # a table: a hub's partition of the join can then be split
+        least = staged(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), name)  # a table: a hub's partition of the join can then be split
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
         # Small star: smaller neighbours of a node, and the node, hang on the smallest of them.
         small = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        next_ = written(large.join(small, "hi").select(F.explode(F.array(F.struct("hi", F.col("m").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")))).alias("e")).select("e.*").where("hi <> lo").distinct(), name)
-        release(spark)
+        next_ = staged(large.join(small, "hi").select(F.explode(F.array(F.struct("hi", F.col("m").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")))).alias("e")).select("e.*").where("hi <> lo").distinct(), name)
+        dropped(now, least)
         # Done when each node hangs on one root, and no root hangs on another.
         split = next_.groupBy("hi").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         deep = next_.select(F.col("lo").alias("hi")).distinct().join(next_, "hi", "left_semi")
