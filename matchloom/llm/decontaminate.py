@@ -8,9 +8,10 @@ were changed throughout is caught; one whose slots contradict each other is not.
 
 Defined results: null and empty texts, and items without a word, match nothing. An item of fewer than five words is one
 window, which only a document that says nothing else holds. Windows
-without a literal word tell nothing and are left out, unless the item has no other. Repeated items are each reported; rows that share a key
-are one document. Template windows of a benchmark within PRIME_WINDOWS are shared with all tasks (a checked bound); a larger benchmark
-is joined by a shuffle.
+without a literal word tell nothing and are left out, unless the item has no other. Repeated items are each reported. Rows that share a
+key, of documents or of items, are matched each on its own text, and a key's best match is reported. Rows without a key match nothing, and
+columns of other names are not read. Template windows of a benchmark within PRIME_WINDOWS are shared with all tasks (a checked bound); a
+larger benchmark is joined by a shuffle, with the same result.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import hash_spans, short_batches, window_hashes, written
+from ._util import hash_spans, staged, window_hashes
 
 WORDS, SIMILARITY = 5, 0.8
 #: Most benchmark windows that are broadcast: 48 bytes each.
@@ -276,24 +277,30 @@ def _slots(kind: np.ndarray, value: np.ndarray, at: int, reading: int = 0) -> li
 
 
 def _emit(batches):
-    """(k, t) -> all template windows: for a benchmark, and for documents where the benchmark is too large to share."""
+    """(k, d, t) -> all template windows: for a benchmark, and for documents where the benchmark is too large to share."""
     for b in batches:
-        for k, t in zip(b.column("k").to_pylist(), b.column("t").to_pylist(), strict=True):
+        for i, t in enumerate(b.column("t").to_pylist()):
             h, at, reading, kind, value = windows(t)
-            if len(at):
+            n = len(at)
+            if n:
                 slots = [_slots(kind, value, a, m) for a, m in zip(at.tolist(), reading.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k)), pa.array(h.view(np.int64)), pa.array(at.astype(np.int32)), pa.array(slots, pa.list_(pa.int64())), pa.array(reading == 0), pa.array(np.full(len(at), (reading == 0).sum(), np.int32))], names=["k", "h", "p", "s", "f", "n"])
+                row = pa.array(np.full(n, i))
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("k").take(row), b.column("d").take(row), pa.array(h.view(np.int64)), pa.array(at.astype(np.int32)), pa.array(slots, pa.list_(pa.int64())), pa.array(reading == 0), pa.array(np.full(n, (reading == 0).sum(), np.int32))],
+                    names=["k", "d", "h", "p", "s", "f", "n"],
+                )
 
 
-_EMIT = "k long, h long, p int, s array<long>, f boolean, n int"
+_EMIT = "k long, d long, h long, p int, s array<long>, f boolean, n int"
 _FOUND = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("similarity", pa.float64()), ("n_slots", pa.int64())])
+_FOUND_SQL = "doc_id long, item_id long, similarity double, n_slots long"
 
 
 def _local(shared, similarity: float):
     """Matches whole documents against the shared windows: a hash join on sorted hashes, then the slot check."""
 
     def run(batches):
-        h, item, place, slots, firm, total = shared.value
+        h, item, place, slots, firm, total, keys = shared.value
         sieve = np.zeros(1 << 20, bool)
         sieve[h >> np.uint64(44)] = True
         for b in batches:
@@ -311,19 +318,30 @@ def _local(shared, similarity: float):
                     for i in range(int(lo[j]), int(hi[j])):
                         found.setdefault(int(item[i]), []).append((int(place[i]), p, slots[i].tolist(), s, bool(firm[i]) and not m))
                 for i, rows in found.items():
-                    if len(rows) >= similarity * total[i] and (got := verify(rows, total[i], similarity)):
-                        out.append((k, i, *got))
+                    if len(rows) >= similarity * total[i] and (got := verify(rows, int(total[i]), similarity)):
+                        out.append((k, int(keys[i]), *got))
             yield pa.RecordBatch.from_pydict({n: [r[c] for r in out] for c, n in enumerate(_FOUND.names)}, schema=_FOUND)
 
     return run
 
 
-def _grouped(similarity: float):
-    def run(key, pdf):
-        import pandas as pd
+def _prime(items: pa.Table) -> tuple[np.ndarray, ...]:
+    """Windows of all items in order of their hashes; an item is a place among the distinct texts, for each of which there are a number of windows and a key."""
+    k, d, h = items["k"].to_numpy(), items["d"].to_numpy(), items["h"].to_numpy().view(np.uint64)
+    order = np.lexsort((items["p"].to_numpy(), d, k, h))
+    slots = np.zeros((len(h), WORDS), np.int64)
+    for i, s in enumerate(items["s"].to_pylist()):
+        slots[i, : len(s)] = s
+    _, first, item = np.unique(np.stack([k, d], 1), axis=0, return_index=True, return_inverse=True)
+    return h[order], item.ravel()[order], items["p"].to_numpy()[order], slots[order], items["f"].to_numpy()[order], items["n"].to_numpy()[first], k[first]
+
 
-        got = verify(list(zip(pdf["ip"], pdf["p"], pdf["sx"], pdf["s"], pdf["firm"], strict=True)), int(pdf["total"].iloc[0]), similarity)
-        return pd.DataFrame([(*key, *got)] if got else [], columns=_FOUND.names)
+def _grouped(similarity: float):
+    def run(key, table):
+        rows = zip(*(table[c].to_pylist() for c in ("ip", "p", "sx", "s", "firm")), strict=True)
+        got = verify(list(rows), int(table["total"][0].as_py()), similarity)
+        out = [(key[0].as_py(), key[2].as_py(), *got)] if got else []
+        return pa.Table.from_pydict({n: [r[c] for r in out] for c, n in enumerate(_FOUND.names)}, schema=_FOUND)
 
     return run
 
@@ -331,28 +349,25 @@ def _grouped(similarity: float):
 def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", item_text: str = "text", item_key: str = "item_id", similarity: float = SIMILARITY, prime_windows: int = PRIME_WINDOWS) -> DataFrame:
     """Pairs (doc_id, item_id) of a document and an item that leaked into it, with the share of the item's windows found and the number of slots bound."""
     spark = docs.sparkSession
-    short_batches(spark)
-    rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).where("k is not null and t is not null")
-    items = benchmark.select(F.col(item_key).cast("long").alias("k"), F.col(item_text).alias("t")).where("k is not null and t is not null").distinct().mapInArrow(_emit, _EMIT)
-    n = items.count()
-    if n <= prime_windows:
-        got = items.toArrow().sort_by([("h", "ascending"), ("k", "ascending"), ("p", "ascending")])
-        h = got["h"].to_numpy().view(np.uint64)
-        order = np.argsort(h, kind="stable")
-        slots = np.zeros((n, WORDS), np.int64)
-        for i, s in enumerate(got["s"].to_pylist()):
-            slots[i, : len(s)] = s
-        k = got["k"].to_numpy()
-        shared = (h[order], k[order], got["p"].to_numpy()[order], slots[order], got["f"].to_numpy(zero_copy_only=False)[order], dict(zip(k.tolist(), got["n"].to_pylist(), strict=True)))
-        found = rows.mapInArrow(_local(spark.sparkContext.broadcast(shared), similarity), "doc_id long, item_id long, similarity double, n_slots long")
+
+    def texts(df: DataFrame, k: str, t: str) -> DataFrame:
+        """``d`` tells the texts of one key apart."""
+        return df.select(F.col(k).cast("long").alias("k"), F.xxhash64(t).alias("d"), F.col(t).alias("t")).where("k is not null and t is not null")
+
+    rows = texts(docs, key, text)
+    items = texts(benchmark, item_key, item_text).distinct().mapInArrow(_emit, _EMIT)
+    if items.count() <= prime_windows:
+        shared = spark.sparkContext.broadcast(_prime(items.toArrow().combine_chunks()))
+        found = rows.mapInArrow(_local(shared, similarity), _FOUND_SQL)
     else:
-        own = rows.mapInArrow(_emit, _EMIT).select("k", "h", "p", "s", "f")
-        pairs = own.join(items.select(F.col("k").alias("i"), "h", F.col("p").alias("ip"), F.col("s").alias("sx"), F.col("f").alias("fx"), F.col("n").alias("total")), "h").withColumn("firm", F.col("f") & F.col("fx"))
-        found = pairs.groupBy("k", "i").applyInPandas(_grouped(similarity), "doc_id long, item_id long, similarity double, n_slots long")
-    return found.groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"), F.max("n_slots").alias("n_slots"))
+        own = rows.distinct().mapInArrow(_emit, _EMIT).select("k", "d", "h", "p", "s", "f")
+        pairs = own.join(items.select(F.col("k").alias("i"), F.col("d").alias("e"), "h", F.col("p").alias("ip"), F.col("s").alias("sx"), F.col("f").alias("fx"), F.col("n").alias("total")), "h")
+        found = pairs.withColumn("firm", F.col("f") & F.col("fx")).groupBy("k", "d", "i", "e").applyInArrow(_grouped(similarity), _FOUND_SQL)
+    best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", "n_slots")).alias("best"))
+    return best.select("doc_id", "item_id", "best.similarity", "best.n_slots")
 
 
 def drop_leaked(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", **more) -> DataFrame:
     """``docs`` without the documents that hold a benchmark item; rows without a key stay."""
-    leaked = written(find_leaks(docs, benchmark, text, key, **more).select(F.col("doc_id").alias("__leaked")).distinct(), "leaked")  # its size is then known to the planner
-    return docs.join(leaked, F.col(key) == F.col("__leaked"), "left_anti")
+    leaked = staged(find_leaks(docs, benchmark, text, key, **more).select(F.col("doc_id").alias("gone")).distinct(), "leaked")  # its size is then known to the planner
+    return docs.join(leaked, docs[key] == leaked["gone"], "left_anti")
