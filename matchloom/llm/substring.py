@@ -1,17 +1,21 @@
 """Substring dedup: level-wise doubling of repeated word windows.
 
 Words are runs of anything but ASCII white space. A document's windows of a short length are reduced to a sample that every longer
-window is sure to meet (of each stretch, the windows that hash lowest), and those found in one document alone drop out. What is left
-is extended to twice that length, where windows are again grouped by hash, and so on: ``repeated_passages`` doubles until no candidate
-survives; ``remove_repeats`` stops at its window length, where a window goes if a document with a smaller key holds it too.
+window is sure to meet (of each stretch, the windows that hash lowest), and those found under one key alone drop out. What is left
+is extended to twice that length, where windows are again grouped by hash, and so on, until no candidate survives or the length asked for is
+reached: ``remove_repeats`` ends at its window length, where a window goes if a document with a smaller key holds it too;
+``repeated_passages`` goes on until nothing is left. Sampled windows are grouped by 64 bits, where a collision merely keeps a candidate;
+extended windows by 128 bits, of two independent hashes.
 
 Defined results: null or empty text has no words. Rows without a key are returned unchanged and are no source for others. Rows that
 share a key never remove each other's windows. Exact copies of a text are settled first: all but that of the smallest key lose every
-word that a window covers. Hot passages are pre-aggregated before they are shuffled; no group of rows is gathered in one task.
+word that a window covers. Hot passages are pre-aggregated before they are shuffled; no group of rows is gathered in one task. Columns of
+other names are not read, so they can't clash.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from hashlib import sha256
 from itertools import compress
 
@@ -20,13 +24,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import release, short_batches, window_hashes, word_hashes, written
+from ._util import dropped, staged, window_hashes, word_hashes
 
-WINDOW = 13
+#: Words of a window, and of the shortest level.
+WINDOW, SHORTEST = 13, 7
 
 
-def half(length: int) -> int:
-    return (length + 1) // 2
+def levels(length: int, shortest: int = SHORTEST) -> list[int]:
+    """Window lengths from the shortest level up to ``length``, each at most twice the one before."""
+    out = [length]
+    while out[0] > shortest:
+        out.insert(0, max((out[0] + 1) // 2, min(shortest, out[0])))
+    return out
 
 
 def _sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
@@ -63,58 +72,70 @@ def covered(starts: np.ndarray, n_words: int, length: int) -> np.ndarray:
     return edge.cumsum()[:-1] > 0
 
 
-def _seeds(length: int):
-    """(key, text) -> one row for each chosen short window: its hash and place."""
-    short_length = half(length)
+def _rows(emit: Callable[[dict], tuple[np.ndarray, ...] | None], names: list[str]):
+    """A function over batches: what ``emit`` says of each row (hashes, then places), with the row's k and d."""
 
     def run(batches):
         for b in batches:
-            hs, keys, places = [], [], []
-            for i, t in enumerate(b.column("t").cast(pa.binary()).to_pylist()):
-                own = word_hashes(t)
-                if len(own) >= length:
-                    short = window_hashes(own, short_length)
-                    at = chosen(short, length - short_length + 1)
-                    hs.append(short[at])
-                    places.append(at)
-                    keys.append(np.full(len(at), i))
-            if hs:
-                at = pa.array(np.concatenate(keys))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).view(np.int64)), b.column("k").take(at), b.column("d").take(at), pa.array(np.concatenate(places).astype(np.int32))], names=["h", "k", "d", "p"])
+            parts, row = [], []
+            columns = {n: (b.column(n).cast(pa.binary()).to_pylist() if n == "t" else b.column(n)) for n in b.schema.names if n not in ("k", "d")}
+            for i in range(b.num_rows):
+                got = emit({n: c[i] for n, c in columns.items()})
+                if got is not None and len(got[0]):
+                    parts.append(got)
+                    row.append(np.full(len(got[0]), i))
+            if parts:
+                at = pa.array(np.concatenate(row))
+                made = [np.concatenate(c) for c in zip(*parts, strict=True)]
+                hashes = [pa.array(c.view(np.int64)) for c in made[:-1]]
+                yield pa.RecordBatch.from_arrays([*hashes, b.column("k").take(at), b.column("d").take(at), pa.array(made[-1].astype(np.int32))], names=[*names, "k", "d", "p"])
 
     return run
 
 
-def _extended(length: int):
-    """(k, d, t, ps: places of repeated short windows) -> the long windows that meet one of them."""
-    short_length = half(length)
+def _seeds(short: int, length: int):
+    """(k, d, t) -> one row for each chosen short window: its hash and place. Texts without a window of ``length`` have none."""
 
-    def run(batches):
-        for b in batches:
-            hs, keys, places = [], [], []
-            for i, (t, ps) in enumerate(zip(b.column("t").cast(pa.binary()).to_pylist(), b.column("ps"), strict=True)):
-                own = word_hashes(t)
-                at = meeting(window_hashes(own, short_length), np.asarray(ps.values), length - short_length + 1)
-                hs.append(window_hashes(own, length)[at])
-                places.append(at)
-                keys.append(np.full(len(at), i))
-            if hs:
-                at = pa.array(np.concatenate(keys))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).view(np.int64)), b.column("k").take(at), b.column("d").take(at), pa.array(np.concatenate(places).astype(np.int32))], names=["h", "k", "d", "p"])
+    def emit(row):
+        own = word_hashes(row["t"])
+        if len(own) < length:
+            return None
+        h = window_hashes(own, short)
+        at = chosen(h, length - short + 1)
+        return h[at], at
 
-    return run
+    return _rows(emit, ["h"])
 
 
-_WINDOWS = "h long, k long, d long, p int"
+def _extended(short: int, length: int, sampled: bool):
+    """(k, d, t, ps: places of repeated short windows) -> the windows of ``length`` that may repeat: those whose chosen short window repeats, or (not sampled) whose first and last short windows do."""
 
+    def emit(row):
+        own = word_hashes(row["t"])
+        if len(own) < length:
+            return None
+        places = np.asarray(row["ps"].values)
+        if sampled:
+            at = meeting(window_hashes(own, short), places, length - short + 1)
+        else:
+            hit = np.zeros(len(own), bool)
+            hit[places] = True
+            n = len(own) - length + 1
+            at = np.flatnonzero(hit[:n] & hit[length - short :][:n])
+        if not len(at):
+            return None
+        return window_hashes(own, length)[at], window_hashes(word_hashes(row["t"], 1), length)[at], at
 
-def _repeated(windows: DataFrame) -> DataFrame:
-    """Hashes of windows that more than one key holds, with the smallest; pre-aggregated before the shuffle."""
-    return windows.groupBy("h").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo < hi").select("h", "lo")
+    return _rows(emit, ["h", "g"])
 
 
-#: Most keys of later copies that are broadcast (8 bytes each); beyond, the join is shuffled.
-SHARED_KEYS = 2_000_000
+_SHORT, _WHOLE = "h long, k long, d long, p int", "h long, g long, k long, d long, p int"
+
+
+def _repeated(windows: DataFrame) -> DataFrame:
+    """Hashes of windows that more than one key holds, with the smallest; pre-aggregated before the shuffle."""
+    by = [c for c in ("h", "g") if c in windows.columns]
+    return windows.groupBy(*by).agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo < hi").select(*by, "lo")
 
 
 def _numbered(docs: DataFrame, text: str, key: str) -> DataFrame:
@@ -126,34 +147,52 @@ def _numbered(docs: DataFrame, text: str, key: str) -> DataFrame:
 
 
 def later_copies(rows: DataFrame) -> DataFrame:
-    """(k, d) of rows whose very text a smaller key holds."""
+    """(k, d) of rows whose very text a smaller key holds, as a table."""
     marked = rows.where("k is not null and t <> ''").select("k", "d", F.unhex(F.md5("t")).alias("m"))
     # A table of its own: both sides of the join are then plain exchanges, whose hot partitions Spark can split.
-    copies = written(marked.groupBy("m").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo < hi").select("m", "lo"), "texts")
-    return marked.join(copies, "m").where("k > lo").select("k", "d").distinct()
+    copies = staged(marked.groupBy("m").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo < hi").select("m", "lo"), "texts")
+    out = staged(marked.join(copies, "m").where("k > lo").select("k", "d").distinct(), "copies")
+    dropped(copies)
+    return out
+
+
+def _held(rows: DataFrame, places: DataFrame) -> DataFrame:
+    """Rows with the places ``ps`` (a table) of their surviving windows, one for each text of a key."""
+    found = rows.join(places.hint("shuffle_hash").withColumnsRenamed({"k": "k3", "d": "d3"}), (F.col("k") == F.col("k3")) & (F.col("d") == F.col("d3")))
+    return found.select("k", "d", "t", "ps").dropDuplicates(["k", "d"])
+
+
+def _survivors(windows: DataFrame, twice: DataFrame, after: str = "true") -> DataFrame:
+    """Places of the windows that repeat, by text."""
+    by = [c for c in ("h", "g") if c in windows.columns]
+    return windows.join(twice, by).where(after).groupBy("k", "d").agg(F.collect_set("p").alias("ps"))
 
 
 def repeat_places(rows: DataFrame, later: DataFrame, length: int = WINDOW) -> DataFrame:
     """(k, d, t, starts): a row for each text that holds windows which also start under a smaller key, ``starts`` their places. Later copies (``later``) need none and are left out."""
-    spark = rows.sparkSession
     skip = later.select(F.col("k").alias("k2"), F.col("d").alias("d2"))
-    if later.count() <= SHARED_KEYS:
-        skip = F.broadcast(skip)
     first = rows.where("k is not null and t <> ''").join(skip, (F.col("k") == F.col("k2")) & (F.col("d") == F.col("d2")), "left_anti")
-    seeds = written(first.mapInArrow(_seeds(length), _WINDOWS), "seeds")
-    repeated = written(_repeated(seeds), "repeated")
-    release(spark)
-    places = written(seeds.join(repeated, "h").groupBy("k", "d").agg(F.collect_set("p").alias("ps")), "places")
-    release(spark)
-    found = first.join(places.hint("shuffle_hash").withColumnsRenamed({"k": "k3", "d": "d3"}), (F.col("k") == F.col("k3")) & (F.col("d") == F.col("d3"))).select("k", "d", "t", "ps").dropDuplicates(["k", "d"])
-    found = written(found, "candidates")
-    release(spark)
-    windows = found.mapInArrow(_extended(length), _WINDOWS)
-    twice = written(_repeated(windows), "windows")
-    release(spark)
-    starts = written(windows.join(twice, "h").where("k > lo").groupBy("k", "d").agg(F.collect_set("p").alias("starts")), "starts")
-    release(spark)
-    return found.select("k", "d", "t").join(starts, ["k", "d"])
+    steps = levels(length)
+    if len(steps) == 1:
+        steps = [length, length]
+    seeds = staged(first.mapInArrow(_seeds(*steps[:2]), _SHORT), "seeds")
+    repeated = staged(_repeated(seeds), "repeated")
+    places = staged(_survivors(seeds, repeated), "places")
+    dropped(seeds, repeated)
+    found = staged(_held(first, places), "candidates")
+    dropped(places)
+    for i in range(1, len(steps)):  # each level twice as long as the one before
+        windows = found.mapInArrow(_extended(steps[i - 1], steps[i], i == 1), _WHOLE)
+        twice = staged(_repeated(windows), "windows")
+        last = i == len(steps) - 1
+        places = staged(_survivors(windows, twice, "k > lo" if last else "true"), "places")
+        dropped(twice)
+        if last:
+            return found.select("k", "d", "t").join(places.withColumnRenamed("ps", "starts"), ["k", "d"])
+        longer = staged(_held(found.drop("ps"), places), "candidates")
+        dropped(found, places)
+        found = longer
+    raise AssertionError
 
 
 def _cut(length: int, all_words: bool):
@@ -179,9 +218,8 @@ _CUT = "k long, d long, n long, cut long, sha string"
 
 def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int = WINDOW) -> DataFrame:
     """One row per row of ``docs``: key, n_words, n_removed, kept_sha256 (of the kept words joined by a space)."""
-    short_batches(docs.sparkSession)
     rows = _numbered(docs, text, key)
-    later = written(later_copies(rows), "copies")
+    later = later_copies(rows)
     changed = repeat_places(rows, later, length).mapInArrow(_cut(length, False), _CUT).select("k", "d", F.col("cut").alias("some"), F.col("sha").alias("left"))
     every = rows.mapInArrow(_cut(length, True), _CUT)
     base = every.join(changed, ["k", "d"], "left").join(later.withColumn("copy", F.lit(True)), ["k", "d"], "left")
@@ -196,46 +234,23 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", len
 
 def repeated_passages(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int = WINDOW) -> DataFrame:
     """Longest doubled windows that several keys hold: (level length, key, start), each window that is in no repeated window of twice its length. Doubles from ``length`` until no candidate survives."""
-    short_batches(docs.sparkSession)
     rows = _numbered(docs, text, key).where("k is not null").dropDuplicates(["k", "d"])
-    spark = docs.sparkSession
-    level = written(_level(rows, None, length), "level")
+
+    def windows(row):
+        own = word_hashes(row["t"])
+        return window_hashes(own, length), window_hashes(word_hashes(row["t"], 1), length), np.arange(max(0, len(own) - length + 1))
+
+    def surviving(found: DataFrame) -> DataFrame:
+        return staged(found.join(_repeated(found).drop("lo"), ["h", "g"]).select("k", "d", "p"), "level")
+
+    level = surviving(rows.mapInArrow(_rows(windows, ["h", "g"]), _WHOLE))
     out = None
     while True:
-        twice = written(_level(rows, level, 2 * length), "level")
+        places = level.groupBy("k", "d").agg(F.collect_set("p").alias("ps"))
+        twice = surviving(_held(rows, places).mapInArrow(_extended(length, 2 * length, False), _WHOLE))
         inside = twice.select("k", "d", F.explode(F.sequence("p", F.col("p") + length)).alias("p")).distinct()
         own = level.join(inside, ["k", "d", "p"], "left_anti").select(F.lit(length).alias("length"), F.col("k").alias(key), F.col("p").alias("start"))
         out = own if out is None else out.unionByName(own)
         if twice.isEmpty():
             return out.distinct()
-        release(spark)
         level, length = twice, 2 * length
-
-
-def _level(rows: DataFrame, below: DataFrame | None, length: int) -> DataFrame:
-    """Windows of ``length`` that several keys hold, among those whose halves do (``below``)."""
-
-    extended = below is not None
-
-    def run(batches):
-        for b in batches:
-            hs, keys, places = [], [], []
-            lists = b.column("ps") if extended else [None] * b.num_rows
-            for i, (t, ps) in enumerate(zip(b.column("t").to_pylist(), lists, strict=True)):
-                own = window_hashes(word_hashes(t.encode()), length)
-                at = np.arange(len(own))
-                if ps is not None:
-                    hit = np.zeros(len(own) + length, bool)
-                    hit[np.asarray(ps.values)] = True
-                    at = at[hit[: len(own)] & hit[length // 2 : length // 2 + len(own)]]
-                hs.append(own[at])
-                places.append(at)
-                keys.append(np.full(len(at), i))
-            if hs:
-                at = pa.array(np.concatenate(keys))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).view(np.int64)), b.column("k").take(at), b.column("d").take(at), pa.array(np.concatenate(places).astype(np.int32))], names=["h", "k", "d", "p"])
-
-    if extended:
-        rows = rows.join(below.groupBy("k", "d").agg(F.collect_set("p").alias("ps")), ["k", "d"])
-    windows = rows.mapInArrow(run, _WINDOWS)
-    return windows.join(_repeated(windows).select("h"), "h").select("h", "k", "d", "p")
