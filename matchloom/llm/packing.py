@@ -6,6 +6,8 @@ the open packing pattern that is shortest, or into new ones, and pattern counts
 among pieces of its length; ranks come from counts of (length, bucket) and from the order in a bucket, so no length is gathered in one task.
 
 Defined results: a null text is empty, and an empty text is the end id alone. Repeated rows are packed each on its own. A null key is kept.
+Columns of other names are not read, so they can't clash. Texts on which the quicker tokenizer gives up (such as a million spaces) are left
+to the slower one, whose ids are the same.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._util import short_batches, written
+from ._util import staged
 
 SEQUENCE, END = 2048, 1
 TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
@@ -41,10 +43,14 @@ def _tokenizers(tokenizer: str, ranks: str):
 
 def token_ids(text: str, tokenizer: str, ranks: str, end: int = END) -> np.ndarray:
     slow, quick, special = _tokenizers(tokenizer, ranks)
-    if any(s in text for s in special):
+    ids = None if any(s in text for s in special) else np.zeros(0, np.uint32)
+    if ids is not None and text:
+        try:
+            ids = quick.encode_to_numpy(text, disallowed_special=())
+        except ValueError:  # its pattern backtracks too deep on a long run of white space
+            ids = None
+    if ids is None:
         ids = np.array(slow.encode(text, add_special_tokens=False).ids, np.uint32)
-    else:
-        ids = quick.encode_to_numpy(text, disallowed_special=()) if text else np.zeros(0, np.uint32)
     return np.append(ids, np.uint32(end)).astype("<u4")
 
 
@@ -104,14 +110,14 @@ def _plan(patterns: list[tuple[int, list[int]]]) -> dict[int, tuple[np.ndarray,
     return out
 
 
-_PIECES = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long"
+_PIECES = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long, salt int"
 
 
 def pieces(docs: DataFrame, tokenizer: str, ranks: str, text: str = "text", key: str = "doc_id", sequence: int = SEQUENCE, end: int = END) -> DataFrame:
-    """One row per piece; the ids themselves stay out, and ``token_ids`` of the text gives them back."""
-    short_batches(docs.sparkSession)
+    """One row per piece; the ids themselves stay out, and ``token_ids`` of the text gives them back. ``salt`` numbers the pieces of a task, and so deals equal rows to several buckets."""
 
     def cut(batches):
+        rows = 0
         for b in batches:
             doc, start, length, crc, total = [], [], [], [], []
             for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -123,7 +129,9 @@ def pieces(docs: DataFrame, tokenizer: str, ranks: str, text: str = "text", key:
                     length.append(len(part))
                     crc.append(zlib.crc32(part.tobytes()))
                     total.append(len(ids))
-            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(length, pa.int32()), pa.array(crc, pa.int64()), pa.array(total, pa.int64())], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+            salt = pa.array(np.arange(rows, rows + len(doc)) % (1 << 30), pa.int32())
+            rows += len(doc)
+            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(length, pa.int32()), pa.array(crc, pa.int64()), pa.array(total, pa.int64()), salt], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "salt"])
 
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("t")).mapInArrow(cut, _PIECES)
 
@@ -131,15 +139,15 @@ def pieces(docs: DataFrame, tokenizer: str, ranks: str, text: str = "text", key:
 def pack_documents(docs: DataFrame, tokenizer: str, ranks: str, text: str = "text", key: str = "doc_id", sequence: int = SEQUENCE, end: int = END) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     spark = docs.sparkSession
-    table = written(pieces(docs, tokenizer, ranks, text, key, sequence, end), "pieces")
+    table = staged(pieces(docs, tokenizer, ranks, text, key, sequence, end), "pieces")
     histogram = {r["length"]: r["count"] for r in table.groupBy("length").count().collect()}  # at most ``sequence`` rows
     shared = spark.sparkContext.broadcast(_plan(pack(histogram, sequence)))
     # Rank among the pieces of a length, without gathering them: buckets grow with the data, so each holds a bounded share of a hot length.
     buckets = max(1, sum(histogram.values()) // 200_000) * 8
-    dealt = table.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(buckets)))
+    dealt = table.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "salt"), F.lit(buckets)))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = dealt.groupBy("length", "bucket").count().withColumn("base", F.coalesce(F.sum("count").over(before), F.lit(0))).select("length", "bucket", "base")
-    own = Window.partitionBy("length", "bucket").orderBy("doc_id", "start", "ids_crc32")
+    own = Window.partitionBy("length", "bucket").orderBy("doc_id", "start", "ids_crc32", "salt")
     ranked = dealt.withColumn("rank", F.row_number().over(own) - 1).join(base, ["length", "bucket"]).withColumn("rank", F.col("rank") + F.col("base"))
 
     @F.arrow_udf("struct<sequence_id:bigint,offset:bigint>")
