@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._util import cutoff, short_batches
+from ._util import cutoff
 
 BUCKETS = 1 << 14
 UND = "und"
@@ -139,7 +139,6 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], alpha: float = 0.5, be
 
 def fit_language_id(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", rows_per_language: int = ROWS_PER_LANGUAGE) -> LanguageModel:
     """Learns from a sample of ``df`` bounded by ``rows_per_language`` and MOST_LANGUAGES: the rows of each language whose key hashes lowest. Texts stay on the executors; hashed counts of the sample come to the driver."""
-    short_batches(df.sparkSession)
     rows = df.select(F.col(key).alias("k"), F.col(lang).alias("y"), F.col(text).alias("t")).where("k is not null and y is not null")
     top = {r["y"]: r["count"] for r in rows.groupBy("y").count().orderBy(F.desc("count"), "y").limit(MOST_LANGUAGES).collect()}
     if not top:
@@ -166,7 +165,6 @@ _COUNTED = pa.schema([("h", pa.int64()), ("y", pa.string()), ("at", pa.list_(pa.
 
 def predict_language(df: DataFrame, model: LanguageModel, text: str = "text", out: str = "lang_id") -> DataFrame:
     """``df`` with ``out``: struct of (lang, score). The model is of a fixed size: BUCKETS weights a language."""
-    short_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("struct<lang:string,score:double>")

@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._util import short_batches
 
 #: Kinds in the order in which spans are listed; the first four are the base kinds.
 BASE = ("email", "ip", "card", "phone")
@@ -147,13 +146,11 @@ def _redact_column(text: pa.Array) -> pa.Array:
 
 def find_pii(df: DataFrame, text: str = "text", spans: str = "pii") -> DataFrame:
     """``df`` with ``spans``: array of (kind, start, end, score) of each row's text."""
-    short_batches(df.sparkSession)
     return df.withColumn(spans, _scan_column(F.col(text)))
 
 
 def redact_pii(df: DataFrame, text: str = "text", n_chars: str | None = "n_chars") -> DataFrame:
     """``df`` with its personal data replaced, and ``n_chars`` (if there is such a column) counted anew."""
-    short_batches(df.sparkSession)
     out = df.withColumn(text, _redact_column(F.col(text)))
     if n_chars in df.columns:
         out = out.withColumn(n_chars, F.length(text).cast(df.schema[n_chars].dataType))

@@ -4,7 +4,9 @@ Statistics come from the whole text. Trees are complete and of a fixed depth, fl
 batch at once in numpy.
 
 Defined results: null and empty texts have all-zero statistics and are scored like any other; if there is no usable label every score is
-0.5; if all labels agree every score is close to that label. Rows never interact.
+0.5; if all labels agree every score is close to that label. Where a key or its label repeats, the training rows are the first of the sample
+in order of the key's hash, the key, the label and the statistics, so every run trains on the same rows. Rows never interact. Other columns are
+kept; one that has the name of the output is replaced.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import cutoff, short_batches
+from ._util import cutoff
 
 #: Bound of the training sample: the labelled rows whose key hashes lowest.
 TRAIN_ROWS = 12_000
@@ -131,18 +133,16 @@ def _stats(batches):
 
 def fit_quality(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "quality", key: str = "doc_id", train_rows: int = TRAIN_ROWS) -> Trees:
     """Learns from at most ``train_rows`` labelled rows (those whose key hashes lowest); their statistics, not their texts, come to the driver."""
-    short_batches(docs.sparkSession)
     sample = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).where("k is not null and y in (0, 1)")
     sample = sample.withColumn("h", F.xxhash64("k")).where(F.col("h") <= cutoff(sample.count(), train_rows)).orderBy("h", "k", "y").limit(train_rows)
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(sample), "k")
-    got = rows.select("h", "y", "t").mapInArrow(_stats, "h long, y int, x array<float>").limit(train_rows).toArrow().sort_by([("h", "ascending"), ("y", "ascending")])
+    got = rows.select("h", "y", "t").mapInArrow(_stats, "h long, y int, x array<float>").orderBy("h", "y", "x").limit(train_rows).toArrow().sort_by([("h", "ascending"), ("y", "ascending")])
     x = np.array(got["x"].to_pylist(), np.float32).reshape(-1, N_FEATURES)
     return fit_trees(x, np.array(got["y"].to_pylist(), float))
 
 
 def score_quality(df: DataFrame, trees: Trees, text: str = "text", out: str = "score") -> DataFrame:
     """``df`` with ``out``: the probability that a row's text is of quality 1."""
-    short_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(trees)
 
     @F.arrow_udf("double")

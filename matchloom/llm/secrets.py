@@ -20,7 +20,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._util import short_batches
 from .pii import joined, of_kinds
 
 BASE = ("assign", "access", "hex")
@@ -106,7 +105,6 @@ def _scan_column(text: pa.Array) -> pa.Array:
 
 def find_secrets(df: DataFrame, text: str = "text", spans: str = "secrets") -> DataFrame:
     """``df`` with ``spans``: array of (kind, start, end) of each row's text."""
-    short_batches(df.sparkSession)
     return df.withColumn(spans, _scan_column(F.col(text)))
 
 
