@@ -115,6 +115,36 @@ def test_near_duplicate_cases(spark):
     assert 1 - (1 - 0.8**rows) ** bands >= neardup.RECALL
 
 
+@pytest.mark.parametrize("block", [4, 256])
+def test_near_duplicates_of_repeated_keys(spark, monkeypatch, block):
+    """Rows of one key are one document with the shingles of each row, as in the query's SQL: no shingle crosses two rows."""
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    rows = [(1, "a b c d e"), (1, "f g h i j"), (2, "a b c d e"), (2, "f g h i j"), (2, "a b c d e "), (3, None), (3, "a b c d e"), (4, "a b c d e"), (4, ""), (None, "a b c d e")]
+    r = random.Random(7)
+    for k, t in made(8, 60):
+        words = t.split()
+        cut = r.randrange(len(words) + 1)
+        rows += [(100 + k, t)] if k % 3 else [(100 + k, " ".join(words[:cut])), (100 + k, " ".join(words[cut:]))]
+        if k % 6 == 0:
+            rows += [(200 + k, " ".join(words[:cut])), (200 + k, " ".join(words[cut:]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["class_id"], r["copy_id"], r["n_links"]) for r in neardup.near_duplicates(docs).collect()}
+    import duckdb
+
+    con = duckdb.connect()
+    con.register("documents", docs.toArrow())
+    want = {a: (b, c, d) for a, b, c, d in con.execute(queries.oracle_sql()["op9_neardup"].replace("documents UNION", "(SELECT DISTINCT doc_id FROM documents) UNION").replace("FROM documents", "FROM (SELECT * FROM documents WHERE doc_id IS NOT NULL)", 1)).fetchall() if a is not None}
+    assert got == want and got[1][1] == got[2][1] == 1 and got[3][1] == got[4][1] == 3
+
+
+def test_a_chain_of_documents_is_verified_where_bands_meet(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 4)
+    words = ["w%d" % i for i in range(900)]
+    docs = {i: " ".join(words[4 * i : 4 * i + 100]) for i in range(200)}
+    got = neardup.near_duplicates(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), recall=0.9999)
+    assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in got.collect()} == brute.near(docs)
+
+
 def test_components(spark):
     r = random.Random(4)
     edges = [(i, i + 1) for i in range(100, 160)] + [(5, 900), (900, 7), (7, 7)] + [(1000, r.randrange(1001, 1100)) for _ in range(60)]
@@ -200,6 +230,71 @@ def test_names_that_start_sentences(spark, more):
     assert got == {(0, 1): 1, (1, 1): 1, (2, 1): 1}
 
 
+def test_repeated_keys_are_matched_text_by_text(spark):
+    item = BENCH[0][1]
+    other = item.replace("5", "8").replace("Paris", "Oslo")
+    docs = [(1, "one says: " + item), (1, "two says: " + other), (2, "no"), (2, other), (3, item[:40]), (3, item[40:]), (4, item), (4, item), (None, item)]
+    items = [(1, item), (1, "the quick brown fox jumps over a lazy dog today"), (2, "zwei drei vier"), (2, "zwei drei vier fünf sechs sieben"), (1, item)]
+    docs.append((5, "see the quick brown fox jumps over a lazy dog today"))
+    docs.append((6, "zwei drei vier"))
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = [sorted(tuple(r) for r in decontaminate.find_leaks(d, b, prime_windows=n).collect()) for n in (10**6, 0)]
+    assert got[0] == got[1] and [r[:3] for r in got[0]] == [(1, 1, 1.0), (2, 1, 1.0), (4, 1, 1.0), (5, 1, 1.0), (6, 2, 1.0)]
+
+
+def brute_leak(item, text, least=0.8):
+    """Whether a text holds an item up to its numbers and mid-sentence names, by trying every alignment of every binding: no hashes, no chains."""
+    import re
+
+    def read(t):
+        out, start = [], True
+        for w in t.split():
+            bare = w.strip(".,;:!?")
+            kind = "N" if re.fullmatch("[0-9]+", bare) else "P" if bare[:1].isupper() and not bare.isupper() and not start else ""
+            out.append((kind or bare.lower(), bare.lower() if kind else None))
+            start = w[-1] in ".!?"
+        return out
+
+    a, b = read(item), read(text)
+    n = len(a) - 4
+    best = 0
+    for shift in range(-len(a), len(b)):
+        places = [i for i in range(n) if 0 <= i + shift and i + shift + 5 <= len(b) and all(a[i + j][0] == b[i + shift + j][0] for j in range(5)) and any(a[i + j][1] is None for j in range(5))]
+        binding = {}
+        for i in places:
+            for j in range(5):
+                if a[i + j][1] is not None:
+                    binding.setdefault(a[i + j][1], set()).add(b[i + shift + j][1])
+        if all(len(v) == 1 for v in binding.values()):
+            best = max(best, len(places))
+    counted = sum(any(a[i + j][1] is None for j in range(5)) for i in range(n))
+    return best >= least * counted
+
+
+def test_leaks_match_a_brute_force_template_matcher(spark):
+    r = random.Random(11)
+    nouns, names = [f"noun{'x' * i}" for i in range(40)], [f"Name{'y' * i}" for i in range(12)]
+    items = []
+    for i in range(12):
+        words = [r.choice(nouns) if r.random() < 0.75 else r.choice(names) if r.random() < 0.5 else str(r.randrange(20)) for _ in range(r.randrange(12, 30))]
+        items.append((i, "the " + " ".join(words)))
+    texts = []
+    for i, t in items:
+        fresh = {w: (r.choice(names) if w[0] == "N" else str(r.randrange(100, 200))) for w in set(t.split()) if w[0] == "N" or w.isdigit()}
+        changed = " ".join(fresh.get(w, w) for w in t.split())
+        torn = changed.split()
+        at = [j for j, w in enumerate(torn) if w.isdigit()]
+        if at:
+            torn[at[0]] = "999"
+        cut = t.split()[: len(t.split()) // 2]
+        texts += [t, "before it " + changed + " after it", " ".join(torn), " ".join(cut), "nothing of the kind " + " ".join(r.choices(nouns, k=20))]
+    docs = list(enumerate(texts))
+    want = {(k, i) for k, t in docs for i, x in items if brute_leak(x, t)}
+    for prime in (10**6, 0):
+        got = decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), prime_windows=prime)
+        assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == want and len(want) >= 24
+
+
 def test_leaks_of_whole_items(spark):
     docs = {r["doc_id"]: (r["text"] or "") for r in queries.table(spark, "/root/testdata/sf0.1", "documents").collect()}
     items = {r["item_id"]: r["text"] for r in queries.table(spark, "/root/testdata/sf0.1", "benchmark").collect()}
@@ -262,6 +357,19 @@ def test_packing_cases(spark):
     assert packing.pack_documents(documents(spark, []), *queries.tokenizer_paths()).count() == 0
 
 
+def test_long_white_space_is_tokenised(spark):
+    from tokenizers import Tokenizer
+
+    tokenizer, ranks = queries.tokenizer_paths()
+    slow = Tokenizer.from_file(tokenizer)
+    for text in ("a" + " " * 3_000_000 + "b", "\n" * 3_000_000, "x " + "\t" * 1_000_000):
+        assert packing.token_ids(text, tokenizer, ranks).tolist() == [*slow.encode(text, add_special_tokens=False).ids, 1]
+    rows = [(1, "a" + " " * 3_000_000), (None, "same"), (None, "same"), (2, "x")]
+    got = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string"), tokenizer, ranks).collect()
+    assert sorted(str(r["doc_id"]) for r in got if r["start"] == 0) == ["1", "2", "None", "None"]
+    assert len({(r["sequence_id"], r["offset"]) for r in got}) == len(got)
+
+
 def test_quick_ids_are_the_tokenizers():
     from tokenizers import Tokenizer
 
@@ -285,14 +393,17 @@ def test_pack_places_every_piece():
         assert got == histogram
 
 
-def test_topk_matches_brute_force(spark):
+def test_topk_matches_brute_force(spark, monkeypatch):
     r = np.random.default_rng(0)
     x = r.normal(size=(700, 12)) * r.choice([0.1, 1, 5], size=(700, 1))
     x[100:140] = x[100]
     rows = [(i, [float(v) for v in row]) for i, row in enumerate(x)] + [(1000, None), (1050, [float("nan")] * 12), (1001, [None] * 12), (1100, [1.0, 2.0]), (None, [1.0] * 12)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("x", F.lit(1)).withColumn("norm", F.lit(1))
     got = {}
-    for a in topk.top_inner_products(df, F.col("vec_id") % 50 == 0, query_block=4).collect():
+    monkeypatch.setattr(topk, "BLOCK", 48)
+    monkeypatch.setattr(topk, "RANGE", 1200)
+    monkeypatch.setattr(topk, "HEAD", 16)
+    for a in topk.top_inner_products(df, F.col("vec_id") % 50 == 0).collect():
         got.setdefault(a["query_id"], []).append((a["rank"], a["vec_id"], a["score"]))
     q = np.floor(256 * x).astype(int)
     s = q @ q.T
@@ -328,3 +439,24 @@ def test_pipeline_cases(spark, tmp_path):
     spark.createDataFrame(BENCH, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     got = {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert 3 in got and 1 not in got and 4 not in got
+
+
+def test_topk_of_extreme_components_and_mixed_dimensions(spark):
+    rows = [(0, [3e38, -1.0]), (50, [1e300, 2.0]), (1, [-3e38, 1e-3]), (2, [1.0, 1.0]), (3, [2e7 * 256, 2e7]), (4, [2e7 * 256, 2e7]), (100, [1.0, 2.0, 3.0]), (5, [1.0, 0.0, 0.5]), (150, [0.0])]
+    got = {}
+    for a in topk.top_inner_products(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0, k=3).collect():
+        got.setdefault(a["query_id"], []).append((a["rank"], a["vec_id"], a["score"]))
+    top, low = 2**63 - 1, -(2**63)
+    assert sorted(got[0]) == [(1, 2, top), (2, 3, top), (3, 4, top)] and sorted(got[50]) == [(1, 0, top), (2, 2, top), (3, 3, top)]
+    assert got[100] == [(1, 5, 256 * 256 + 3 * 256 * 128)] and 150 not in got
+    two = [r for r in rows if r[0] in (0, 1)]
+    assert [tuple(r) for r in topk.top_inner_products(spark.createDataFrame(two, "vec_id long, embedding array<double>"), F.col("vec_id") == 0).collect()] == [(0, 1, 1, low)]
+
+
+def test_topk_prunes_by_levels_and_scores_few():
+    r = np.random.default_rng(3)
+    x = np.floor(256 * r.normal(size=(4000, 64)) * 2.0 ** -np.arange(64)[None, :])
+    order = np.argsort(-np.sqrt((x * x).sum(1)), kind="stable")
+    search = topk.Search(np.arange(0, 4000, 50), x[::50], np.eye(64), 5)
+    search.walk(order, x[order])
+    assert search.pruned.sum() == 80 * 4000 and search.pruned[-1] < 0.02 * 80 * 4000 and search.pruned[:3].sum() > 0.8 * 80 * 4000
