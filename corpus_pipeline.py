@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchloom.llm import decontaminate, language, neardup, packing, pii
-from matchloom.llm._util import written
+from matchloom.llm._util import dropped, staged
 from matchloom.llm.queries import table, tokenizer_paths
 
 #: A document whose most likely language is less likely than this is rejected, as is one without a letter.
@@ -20,8 +20,11 @@ LEAST_LANGUAGE_SCORE = 0.4
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose text has no letter, or whose language can't be told."""
     model = language.fit_language_id(docs)
-    got = language.predict_language(docs, model, out="__language")
-    sure = (F.col("__language.lang") != language.UND) & (F.col("__language.score") >= LEAST_LANGUAGE_SCORE)
+    out = "language_id"
+    while out in docs.columns:
+        out += "_"
+    got = language.predict_language(docs, model, out=out)
+    sure = (F.col(out)["lang"] != language.UND) & (F.col(out)["score"] >= LEAST_LANGUAGE_SCORE)
     return got.where(sure).select(*docs.columns)
 
 
@@ -59,7 +62,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage; what each stage returns is written as Parquet and read again."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        docs = staged(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            dropped(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
