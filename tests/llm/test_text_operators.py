@@ -176,6 +176,75 @@ def test_common_is_a_longest_common_subsequence(a, b):
     assert len(got) == n[-1][-1] and all(a[i] in rest for i in got)
 
 
+def test_reading_is_linear():
+    import time
+
+    start = time.process_time()
+    for page in ("<div>" * 200000, "<div>" * 100000 + "</p>" * 100000, "<b>" * 100000 + "</i>" * 100000, "<iframe>" * 100000, "<!" * 200000, "<p><b>" * 60000, "<a =\"" * 60000, "<title>" * 100000, "<!--" * 100000, "<span class=ad>" * 60000 + "</em>" * 60000):
+        html.lines(page)
+    assert time.process_time() - start < 20
+
+
+def test_nothing_else_is_dropped():
+    page = "<article><p>a\x00b</p><p>x <math><mi>y</mi></math> z</p><noscript><p>shown</p></noscript><object><p>fallback</p></object>" + "<b>" * 5000 + "deep" + "</b>" * 5000 + "</article><noscript>Enable JavaScript</noscript>"
+    assert html.difference(html.lines(page), None) == ["a\x00b", "x y z", "shown", "fallback", "deep"]
+
+
+def brute_texts(pages):
+    """The same rule over whole lists: pages of a host with equal lines are one, each page is paired with the nearest path that is no copy."""
+    first = {}
+    for _, url, page in pages:
+        host, _, path = url.split("//")[1].partition("/")
+        k = (host, tuple(html.lines(page)))
+        first[k] = min(first.get(k, "/" + path), "/" + path)
+    left = {}
+    for (host, page), path in first.items():
+        same = sorted((p, html.xxh3_128_digest(b"".join(html.xxh3_64_intdigest(t.encode()).to_bytes(8, "little") for t, _ in q) + bytes(s for _, s in q)), q) for (h, q), p in first.items() if h == host)
+        at = next(i for i, x in enumerate(same) if x[2] == page)
+        near = sorted((i for i in range(len(same)) if 0 < abs(i - at) <= html.NEAR), key=lambda i: (-html._likeness(same[i][0], path), abs(i - at), i))
+        texts, states = [t for t, _ in page], [s for _, s in page]
+        gone = set()
+        for i in near:
+            other = [t for t, _ in same[i][2]]
+            n = [[0] * (len(other) + 1) for _ in range(len(texts) + 1)]
+            for a, x in enumerate(texts):
+                for b, y in enumerate(other):
+                    n[a + 1][b + 1] = n[a][b] + 1 if x == y else max(n[a][b + 1], n[a + 1][b])
+            if n[-1][-1] != len(html.common(texts, other)):
+                raise AssertionError
+            got = html._shared(texts, states, other)
+            if got is not None:
+                gone = got
+                break
+        left[host, page] = "\n".join(texts[i] for i in html._kept(states, gone))
+    return sorted((k, left[url.split("//")[1].partition("/")[0], tuple(html.lines(page))]) for k, url, page in pages)
+
+
+def test_texts_match_brute_force_for_any_partitioning(spark):
+    r = random.Random(5)
+    pages = []
+    for i in range(90):
+        menu = ["<div>Menu %d</div>" % (i % 3), "<div>Home</div>"]
+        body = ["<div>line %d</div>" % r.randrange(60) for _ in range(r.randrange(1, 6))]
+        if i % 2 == 0:
+            body = ["<article><p>story %d</p><p>more %d</p><p>free licence</p></article>" % (i // 4, i), "<nav>Home</nav>"]
+        pages.append((i, "http://%s/%s/%d" % (r.choice(["a", "a", "a", "b"]), r.choice("xyz"), r.randrange(40)), "".join([*menu, *body, "<div>Imprint</div>"])))
+    pages += [(100 + i, pages[0][1], pages[0][2]) for i in range(20)]
+    want = brute_texts(pages)
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in ("1", "8", "64"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+            got = html.extract_text(df.repartition(int(n))).collect()
+            assert sorted((r["page_id"], r["text"]) for r in got) == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(r["n_shared"] for r in got) > 100 and any(r["n_vetoed"] for r in got)
+
+
 def test_pages_query(spark):
     pages = spark.createDataFrame([(1, "http://h/a/1", "<div>M</div><div>x y</div><div>F</div>"), (2, "http://h/a/2", "<div>M</div><div>z</div><div>w</div><div>F</div>"), (3, None, None), (3, None, None), (4, "http://other/", "<p>alone</p>")], "page_id long, url string, html string").withColumn("host", F.lit(1)).withColumn("text", F.lit("no"))
     got = sorted((r["page_id"], r["text"], r["n_chars"]) for r in html.extract_text(pages.coalesce(1)).collect())
