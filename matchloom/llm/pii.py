@@ -1,5 +1,12 @@
 """Personal data: patterns propose spans, checksums confirm them, nearby context words adjust their score.
 
+Beside the base kinds there are numbers that a checksum confirms: IBAN (mod 97), VIN (weighted mod 11), IMEI (Luhn), US bank routing numbers
+(weights 3, 7, 1), German tax numbers (ISO 7064 mod 11, 10), Spanish DNI and NIE (letter of mod 23) and French social security numbers
+(mod 97); and US social security numbers, for which only ranges are known. A span starts with the prior score of its kind, which says how much its checksum proves;
+whole words nearby that name the kind raise it, and words that name something else ("order", "version", "example") lower it. A base span stays
+whatever its score, another is reported from KEEP on: so a routing number, which one number in ten would pass for, needs a word that says so,
+and an IBAN in an example does not count.
+
 Defined results: a null or empty text has no spans; text is scanned whole; other columns of the input are kept as they are, and
 an existing column of the output's name is replaced. Rows never interact, so repeated rows get the same spans.
 """
@@ -17,7 +24,7 @@ from pyspark.sql import types as T
 
 #: Kinds in the order in which spans are listed; the first four are the base kinds.
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "iban", "ssn")
+KINDS = (*BASE, "iban", "ssn", "vin", "imei", "routing", "steuer_id", "dni", "nir")
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -29,19 +36,35 @@ _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _DIGIT = re.compile("[0-9]")
 
-#: Score before context, and words that raise it when they stand within CONTEXT characters.
-PRIOR = {"email": 0.8, "ip": 0.6, "card": 0.7, "phone": 0.6, "iban": 0.8, "ssn": 0.3}
+_VIN = re.compile(r"(?<![A-Za-z0-9])[A-HJ-NPR-Z0-9]{17}(?![A-Za-z0-9])")
+_DIGITS = re.compile(r"(?<![0-9A-Za-z.,-])[0-9]{9,15}(?![0-9A-Za-z-]|[.,][0-9])")
+_DNI = re.compile(r"(?<![A-Za-z0-9])[XYZ0-9][0-9]{7}-?[A-HJ-NP-TV-Z](?![A-Za-z0-9])")
+_NIR = re.compile(r"(?<![0-9])[12] ?[0-9]{2} ?[0-9]{2} ?[0-9]{2} ?[0-9]{3} ?[0-9]{3} ?[0-9]{2}(?![0-9])")
+
+#: Score before context.
+PRIOR = {"email": 0.8, "ip": 0.6, "card": 0.7, "phone": 0.6, "iban": 0.8, "ssn": 0.3, "vin": 0.55, "imei": 0.3, "routing": 0.2, "steuer_id": 0.3, "dni": 0.6, "nir": 0.6}
+#: Words that name a kind, and words that name something else, within CONTEXT characters; what each adds or takes.
 CONTEXT_WORDS = {
-    "email": ("mail", "contact", "@", "write"),
-    "ip": ("ip", "address", "host", "server"),
-    "card": ("card", "visa", "mastercard", "credit", "payment"),
-    "phone": ("phone", "call", "tel", "mobile", "fax"),
-    "iban": ("iban", "account", "bank", "transfer"),
-    "ssn": ("ssn", "social security", "tax id"),
+    "email": "mail email contact write kontakt correo courriel",
+    "ip": "ip address host server addr",
+    "card": "card visa mastercard credit payment karte carte tarjeta",
+    "phone": "phone call tel telephone mobile fax telefon téléphone teléfono",
+    "iban": "iban account bank transfer konto compte cuenta",
+    "ssn": "ssn social security",
+    "vin": "vin vehicle chassis car fahrzeug",
+    "imei": "imei handset device",
+    "routing": "routing aba rtn",
+    "steuer_id": "steuer steuerid steuernummer steueridentifikationsnummer idnr tin",
+    "dni": "dni nie nif identidad",
+    "nir": "nir insee sécurité sociale",
 }
-CONTEXT = 40
-#: A span that is not of a base kind is kept at this score or above.
+OTHER_WORDS = "example sample dummy test version release build isbn issn order invoice ticket serial sku part beispiel exemple ejemplo"
+CONTEXT, RAISE, LOWER = 40, 0.4, 0.35
+#: A span that is not of a base kind is reported from this score on.
 KEEP = 0.5
+_WORDS = re.compile(r"[^\W\d_]+")
+_NAMES = {kind: frozenset(words.split()) for kind, words in CONTEXT_WORDS.items()}
+_OTHERS = frozenset(OTHER_WORDS.split())
 
 Span = tuple[str, int, int, float]
 
@@ -59,6 +82,40 @@ def mod97(iban: str) -> bool:
     return int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
 
 
+def vin(number: str) -> bool:
+    """The ninth character is the weighted sum of all, modulo 11 (X for 10)."""
+    if number.isdigit() or number.isalpha():
+        return False
+    letters = dict(zip("ABCDEFGHJKLMNPRSTUVWXYZ", (1, 2, 3, 4, 5, 6, 7, 8, 1, 2, 3, 4, 5, 7, 9, 2, 3, 4, 5, 6, 7, 8, 9), strict=True))
+    weights = (8, 7, 6, 5, 4, 3, 2, 10, 0, 9, 8, 7, 6, 5, 4, 3, 2)
+    rest = sum((int(c) if c.isdigit() else letters[c]) * w for c, w in zip(number, weights, strict=True)) % 11
+    return number[8] == "0123456789X"[rest]
+
+
+def routing(digits: str) -> bool:
+    return digits[:2] <= "12" and digits != "0" * 9 and sum(int(c) * w for c, w in zip(digits, (3, 7, 1) * 3, strict=True)) % 10 == 0
+
+
+def steuer_id(digits: str) -> bool:
+    """ISO 7064, mod 11, 10; of the first ten digits one occurs two or three times."""
+    most = max(digits[:10].count(c) for c in digits[:10])
+    if digits[0] == "0" or most not in (2, 3):
+        return False
+    product = 10
+    for c in digits[:10]:
+        product = 2 * ((int(c) + product) % 10 or 10) % 11
+    return (11 - product) % 10 == int(digits[10])
+
+
+def dni(number: str) -> bool:
+    bare = number.replace("-", "")
+    return "TRWAGMYFPDXBNJZSQVHLCKE"[int(bare[:-1].replace("X", "0").replace("Y", "1").replace("Z", "2")) % 23] == bare[-1]
+
+
+def nir(digits: str) -> bool:
+    return "01" <= digits[3:5] <= "12" and 97 - int(digits[:13]) % 97 == int(digits[13:])
+
+
 def _emails(text: str) -> Iterator[tuple[int, int]]:
     """What the pattern local@domain matches, found from each @ outwards: linear even on long runs of letters."""
     free, at = 0, text.find("@")
@@ -105,15 +162,33 @@ def _proposed(text: str) -> Iterator[tuple[str, int, int]]:
             yield "ssn", *m.span()
 
 
+    for m in _VIN.finditer(text):
+        if vin(m[0]):
+            yield "vin", *m.span()
+    found = list(_DIGITS.finditer(text))
+    for kind, size, valid in (("imei", 15, luhn), ("routing", 9, routing), ("steuer_id", 11, steuer_id)):
+        for m in found:
+            if len(m[0]) == size and valid(m[0]):
+                yield kind, *m.span()
+    for m in _DNI.finditer(text):
+        if dni(m[0]):
+            yield "dni", *m.span()
+    for m in _NIR.finditer(text):
+        if nir(m[0].replace(" ", "")):
+            yield "nir", *m.span()
+
+
+def _score(text: str, kind: str, a: int, b: int) -> float:
+    """The prior of a kind, moved by the whole words around a span."""
+    lo, hi = max(0, a - CONTEXT), b + CONTEXT
+    near = {m[0].lower() for x, y in ((lo, a), (b, hi)) for m in _WORDS.finditer(text, x, y) if (m.start() > lo or lo == 0 or not text[lo - 1].isalpha()) and (m.end() < hi or not text[hi : hi + 1].isalpha())}
+    return round(min(1.0, max(0.0, PRIOR[kind] + RAISE * (not near.isdisjoint(_NAMES[kind])) - LOWER * (not near.isdisjoint(_OTHERS)))), 2)
+
+
 def scan(text: str | None) -> list[Span]:
     """All spans of a text: (kind, start, end, score), in code points, end exclusive. Base kinds stay whatever their score."""
-    out = []
-    for kind, a, b in _proposed(text or ""):
-        near = (text[max(0, a - CONTEXT) : a] + " " + text[b : b + CONTEXT]).lower()
-        score = min(1.0, PRIOR[kind] + 0.25 * any(w in near for w in CONTEXT_WORDS[kind]))
-        if kind in BASE or score >= KEEP:
-            out.append((kind, a, b, round(score, 2)))
-    return out
+    spans = ((kind, a, b, _score(text, kind, a, b)) for kind, a, b in _proposed(text or ""))
+    return [s for s in spans if s[0] in BASE or s[3] >= KEEP]
 
 
 def redact(text: str | None) -> str | None:
@@ -167,11 +242,12 @@ def of_kinds(spans: Column, kinds: tuple[str, ...]) -> Column:
 
 
 def digest(found: DataFrame, spans: str = "pii") -> DataFrame:
-    """The contract's columns: counts of the base kinds, sha256 of the base spans, all spans."""
+    """The contract's columns: counts of the base kinds, sha256 of the base spans, all spans; and the spans' scores, in the same order."""
     every = F.col(spans)
     return found.select(
         "doc_id",
         *(F.size(of_kinds(every, (k,))).cast("long").alias(f"n_{k}") for k in BASE),
         F.sha2(joined(of_kinds(every, BASE)), 256).alias("base_sha256"),
         joined(every).alias("spans"),
+        F.array_join(F.transform(every, lambda s: s["score"].cast("string")), ",").alias("scores"),
     )
