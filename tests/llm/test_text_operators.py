@@ -1,4 +1,7 @@
+import base64
 import random
+import re
+import string
 
 import numpy as np
 import pytest
@@ -54,6 +57,63 @@ def test_added_spans():
     assert secrets.scan("auth " + "zq1" * 12) == []
 
 
+ORDINARY = (
+    "usr/lib/python3/site-packages/requests2/auth meeting-notes-january-2024-final src/main/java/com/example/AuthController2 config-version-2024-update-notes app/models/user_session_token_v2 "
+    "com/example/service/AuthenticationServiceImpl2 my-awesome-project-name-123 docs/guides/getting-started-with-oauth2 tests/integration/test_api_key_rotation_01 release-2023-11-05-hotfix-build-42 "
+    "AbstractSingletonProxyFactoryBean2 user_profile_settings_page_1 session_timeout_seconds_default_30 HTTP_PROXY_AUTHENTICATION_REQUIRED_407 0123456789abcdefghij 1234567890-1234567890-1234 "
+    "aaaaaaaaaaaaaaaaaaaaaaaa1 2024-01-15T10-30-00-backup kubernetes-cluster-node-pool-03 department-of-education-report-2021 customerOrderHistoryRepository7 static/images/background-header-2x "
+    "the_quick_brown_fox_jumps_over_13 src/components/LoginForm/index2 quarterly-financial-results-q3-2022 PaymentGatewayTimeoutException4 chapter-12-introduction-to-algebra"
+).split()
+
+
+def keys(seed, n):
+    r = random.Random(seed)
+    made = [lambda: "".join(r.choices(string.ascii_letters + string.digits, k=r.choice((20, 24, 32, 40)))), lambda: "".join(r.choices("0123456789abcdef", k=r.choice((22, 26, 30)))), lambda: base64.b64encode(r.randbytes(r.choice((18, 24, 32)))).decode().rstrip("="), lambda: "".join(r.choices(string.ascii_lowercase + string.digits, k=r.choice((24, 32))))]
+    return [k for i in range(n) if re.search("[0-9]", k := made[i % 4]()) and re.search("[a-zA-Z]", k)]
+
+
+def test_novelty_tells_keys_from_ordinary_names():
+    text = "the {} is {} in the file"
+    reported = lambda word, x: any(k == "novel" or k == "hex" for k, _, _ in secrets.scan(text.format(word, x)))
+    random_keys = keys(1, 400)
+    caught = sum(reported("auth token", k) for k in random_keys) / len(random_keys)
+    false = [x for x in ORDINARY if reported("auth token", x)]
+    assert caught >= 0.98 and len(false) <= 0.04 * len(ORDINARY), (caught, false)
+    assert not any(reported("author name", k) for k in random_keys if not re.fullmatch("[0-9a-f]{32,}", k))
+
+
+@pytest.mark.parametrize("seed", ["0", "1", "77"])
+def test_novelty_is_the_same_under_any_hash_seed(seed):
+    import os
+    import subprocess
+    import sys
+
+    code = "from matchloom.llm.secrets import novelty; print([novelty(x, 'auth token at ', ' here and there') for x in ('meeting-notes-january-2024-final', 'wJalrXUtnFEMI7K7MDENG')])"
+    run = lambda s: subprocess.run([sys.executable, "-c", code], env=os.environ | {"PYTHONHASHSEED": s}, capture_output=True, text=True, check=True).stdout
+    assert run(seed) == run("5")
+
+
+@pytest.mark.parametrize(
+    "kind,number,word",
+    [("iban", "DE89 3704 0044 0532 0130 00", "IBAN"), ("vin", "1M8GDM9AXKP042788", "vehicle"), ("imei", "490154203237518", "IMEI"), ("routing", "021000021", "routing"), ("steuer_id", "36574261809", "Steuer"), ("dni", "12345678Z", "DNI"), ("dni", "X1234567L", "NIE"), ("nir", "2 55 08 14 168 025 38", "NIR"), ("ssn", "123-45-6789", "SSN")],
+)
+def test_checksums_and_context(kind, number, word):
+    kinds = lambda text: [s[0] for s in pii.scan(text) if s[0] not in pii.BASE]
+    assert kind in kinds(f"her {word}: {number}, so") and kind not in kinds(f"invoice order {number}, so")
+    i = max(j for j, c in enumerate(number) if c.isdigit())
+    wrong = number[:i] + str((int(number[i]) + 1) % 10) + number[i + 1 :]
+    assert kind == "ssn" or kind not in kinds(f"her {word}: {wrong}, so")
+
+
+def test_context_moves_scores_by_whole_words():
+    score = lambda text: pii.scan(text)[0][3]
+    plain = score("so 4111111111111111 it")
+    assert score("credit 4111111111111111 it") > plain > score("example 4111111111111111 it") > 0
+    assert score("discredited 4111111111111111 postcards") == plain
+    assert score("the hotel +1 437 555 0689") == pii.PRIOR["phone"] < score("the tel +1 437 555 0689")
+    assert all(0 <= s[3] <= 1 for s in pii.scan("visa 4111111111111111 card example 1.2.3.4 ip a@b.co"))
+
+
 def test_scans_are_linear_on_long_runs(spark):
     long = "a" * 300000 + " " + "1" * 300000 + " " + "+1" * 100000
     assert [s for s in pii.scan(long) if s[0] == "email"] == []
