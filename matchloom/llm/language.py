@@ -1,11 +1,14 @@
 """Language ID: sparse multinomial logistic regression on TF-IDF character n-grams.
 
 Letters are lower-cased, everything else becomes one gap; n-grams of 1 to 3 characters are hashed into BUCKETS. Weights are learned
-with follow-the-regularised-leader (FTRL-proximal) under elastic-net penalties, on a bounded sample; a temperature fitted on a part of
-the sample that training leaves out calibrates the probabilities.
+with follow-the-regularised-leader (FTRL-proximal) under elastic-net penalties, on a bounded sample; most weights end at exactly zero, and
+n-grams without another weight are not kept. A temperature fitted on a part of the sample that training leaves out calibrates the
+probabilities; its loss is smoothed as if one held-out row more were of another language, so that a part without an error has a finite best temperature.
 
 Defined results: null text, or text without a letter, is ``und`` with score 0, as is every text when nothing could be learned (an empty
-table, no label). With one language only, every text with a letter has that language with score 1. Rows never interact.
+table, no label). With one language only, every text with a letter has that language with score 1. Where a key repeats, the training rows are
+the first of the sample in order of the key's hash, the language and the n-grams, so every run trains on the same rows. Rows never interact.
+Other columns are kept; one that has the name of the output is replaced.
 """
 
 from __future__ import annotations
@@ -22,8 +25,8 @@ from ._util import cutoff
 
 BUCKETS = 1 << 14
 UND = "und"
-#: Bound of the training sample: rows of a language, and languages (those with most rows first).
-ROWS_PER_LANGUAGE, MOST_LANGUAGES = 400, 200
+#: Bound of the training sample: rows of a language.
+ROWS_PER_LANGUAGE = 400
 
 
 @cache
@@ -63,13 +66,18 @@ def counts(text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
 class LanguageModel:
     languages: list[str]
     idf: np.ndarray
-    weights: np.ndarray  # BUCKETS x languages
+    place: np.ndarray  # of each bucket among those with a weight, or -1
+    weights: np.ndarray  # buckets with a weight x languages
     bias: np.ndarray
     temperature: float
 
     def logits(self, at: np.ndarray, n: np.ndarray) -> np.ndarray:
-        v = _weighed(at, n, self.idf)
-        return v @ self.weights[at] + self.bias
+        return self.sums(at, _weighed(at, n, self.idf))
+
+    def sums(self, at: np.ndarray, v: np.ndarray) -> np.ndarray:
+        row = self.place[at]
+        some = row >= 0
+        return v[some] @ self.weights[row[some]] + self.bias
 
     def predict(self, text: str | None) -> tuple[str, float]:
         if not self.languages or (x := counts(text)) is None:
@@ -89,7 +97,7 @@ def _weighed(at: np.ndarray, n: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return v / max(np.sqrt(v @ v), 1e-12)
 
 
-def train(rows: list[tuple[str, np.ndarray, np.ndarray]], alpha: float = 0.5, beta: float = 1.0, l1: float = 1e-3, l2: float = 1e-3, epochs: int = 4) -> LanguageModel:
+def train(rows: list[tuple[str, np.ndarray, np.ndarray]], alpha: float = 3.0, beta: float = 1.0, l1: float = 0.5, l2: float = 1e-3, epochs: int = 6) -> LanguageModel:
     """A model from (language, n-grams, counts). Every fifth row only calibrates the temperature."""
     languages = sorted({y for y, _, _ in rows})
     df = np.zeros(BUCKETS)
@@ -97,7 +105,7 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], alpha: float = 0.5, be
         df[at] += 1
     idf = np.log((len(rows) + 1) / (df + 1)) + 1
     k = len(languages)
-    model = LanguageModel(languages, idf, np.zeros((BUCKETS, k)), np.zeros(k), 1.0)
+    model = LanguageModel(languages, idf, np.full(BUCKETS, -1, np.int32), np.zeros((0, k)), np.zeros(k), 1.0)
     if k < 2:
         return model
     code = {y: i for i, y in enumerate(languages)}
@@ -124,23 +132,40 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], alpha: float = 0.5, be
             z[rows_] += g - (np.sqrt(s[rows_] + g2) - np.sqrt(s[rows_])) / alpha * w
             s[rows_] += g2
     every = weights(slice(None))
-    model.weights, model.bias = every[:-1], every[-1]
+    kept = np.flatnonzero(every[:-1].any(1))
+    model.place[kept] = np.arange(len(kept))
+    model.weights, model.bias = every[kept], every[-1]
     if held:
-        scores = np.stack([v @ model.weights[at] + model.bias for _, at, v in held])
-        truth = np.array([y for y, _, _ in held])
+        model.temperature = calibrated(np.stack([model.sums(at, v) for _, at, v in held]), np.array([y for y, _, _ in held]))
+    return model
 
-        def loss(log_t: float) -> float:
-            return -np.log(np.maximum(softmax(scores / np.exp(log_t))[np.arange(len(truth)), truth], 1e-12)).mean()
 
-        grid = np.linspace(-3, 2, 101)
-        model.temperature = float(np.exp(min(grid, key=loss)))
-    return model
+def calibrated(scores: np.ndarray, truth: np.ndarray) -> float:
+    """The temperature of the least smoothed log loss, by golden section: the loss is convex in 1 / temperature."""
+    n, k = scores.shape
+    other = 1 / (n + 2)
+    target = np.full((n, k), other / (k - 1))
+    target[np.arange(n), truth] = 1 - other
+
+    def loss(inverse: float) -> float:
+        z = scores * inverse
+        z = z - z.max(1, keepdims=True)
+        return float(-(target * (z - np.log(np.exp(z).sum(1, keepdims=True)))).sum(1).mean())
+
+    lo, hi, part = 0.0, 1.0, (5**0.5 - 1) / 2
+    while hi < 1e6 and loss(2 * hi) < loss(hi):
+        hi *= 2
+    hi *= 2
+    for _ in range(100):
+        a, b = hi - part * (hi - lo), lo + part * (hi - lo)
+        lo, hi = (lo, b) if loss(a) <= loss(b) else (a, hi)
+    return 1 / max((lo + hi) / 2, 1e-6)
 
 
 def fit_language_id(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", rows_per_language: int = ROWS_PER_LANGUAGE) -> LanguageModel:
-    """Learns from a sample of ``df`` bounded by ``rows_per_language`` and MOST_LANGUAGES: the rows of each language whose key hashes lowest. Texts stay on the executors; hashed counts of the sample come to the driver."""
+    """Learns from a sample of ``df`` bounded by ``rows_per_language``: the rows of each language whose key hashes lowest. Texts stay on the executors; hashed counts of the sample come to the driver."""
     rows = df.select(F.col(key).alias("k"), F.col(lang).alias("y"), F.col(text).alias("t")).where("k is not null and y is not null")
-    top = {r["y"]: r["count"] for r in rows.groupBy("y").count().orderBy(F.desc("count"), "y").limit(MOST_LANGUAGES).collect()}
+    top = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}  # one row a language
     if not top:
         return train([])
     first = Window.partitionBy("y").orderBy("h", "k")
@@ -155,8 +180,8 @@ def fit_language_id(df: DataFrame, text: str = "text", lang: str = "lang", key:
             got = [(i, x) for i, s in enumerate(t) if (x := counts(s)) is not None]
             yield pa.RecordBatch.from_pydict({"h": [h[i] for i, _ in got], "y": [y[i] for i, _ in got], "at": pa.array([x[0] for _, x in got], pa.list_(pa.int32())), "n": pa.array([x[1] for _, x in got], pa.list_(pa.int32()))}, schema=_COUNTED)
 
-    found = chosen.select("h", "y", "t").mapInArrow(count, "h long, y string, at array<int>, n array<int>").limit(rows_per_language * len(top)).toArrow()  # the limit bites only where a key repeats
-    sample = sorted(zip(found["h"].to_pylist(), found["y"].to_pylist(), (np.asarray(v.values) for v in found["at"]), (np.asarray(v.values) for v in found["n"]), strict=True), key=lambda r: (r[0], r[1], len(r[2])))
+    found = chosen.select("h", "y", "t").mapInArrow(count, "h long, y string, at array<int>, n array<int>").orderBy("h", "y", "at", "n").limit(rows_per_language * len(top)).toArrow()  # the limit bites only where a key repeats
+    sample = sorted(zip(found["h"].to_pylist(), found["y"].to_pylist(), (np.asarray(v.values) for v in found["at"]), (np.asarray(v.values) for v in found["n"]), strict=True), key=lambda r: (r[0], r[1], r[2].tolist(), r[3].tolist()))
     return train([r[1:] for r in sample])
 
 
@@ -164,7 +189,7 @@ _COUNTED = pa.schema([("h", pa.int64()), ("y", pa.string()), ("at", pa.list_(pa.
 
 
 def predict_language(df: DataFrame, model: LanguageModel, text: str = "text", out: str = "lang_id") -> DataFrame:
-    """``df`` with ``out``: struct of (lang, score). The model is of a fixed size: BUCKETS weights a language."""
+    """``df`` with ``out``: struct of (lang, score). The model is at most BUCKETS weights a language, whatever the data."""
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("struct<lang:string,score:double>")
