@@ -145,6 +145,110 @@ def test_language_cases(spark):
     assert one.predict("anything") == ("en", 1.0) and one.predict("123") == (language.UND, 0.0)
 
 
+def test_language_model_is_sparse_and_calibrated(spark):
+    docs = queries.table(spark, "/root/testdata/sf0.1", "documents").where("lang is not null")
+    model = language.fit_language_id(docs.where(~language.held_out("doc_id", 5, 0)))
+    assert len(model.weights) < 0.3 * language.BUCKETS and (model.weights == 0).mean() > 0.3
+    rows = [(r["lang"], language.counts(r["text"])) for r in docs.where(language.held_out("doc_id", 5, 0)).collect()]
+    scores = np.stack([model.logits(*x) for _, x in rows if x is not None])
+    y = np.array([model.languages.index(k) for k, x in rows if x is not None])
+    loss = lambda t: -np.log(language.softmax(scores / t)[np.arange(len(y)), y]).mean()
+    assert 1e-3 < model.temperature < 1e3 and loss(model.temperature) <= min(loss(0.05), loss(20.0))
+    p = language.softmax(scores / model.temperature)
+    assert loss(model.temperature) < 0.05 and abs((p.argmax(1) == y).mean() - p.max(1).mean()) < 0.02
+
+
+def test_the_temperature_is_the_best_of_a_fine_grid():
+    r = np.random.default_rng(2)
+    scores, truth = r.normal(size=(300, 4)) * 3, r.integers(0, 4, 300)
+    scores[np.arange(300), truth] += r.choice([1, 4, 8], 300)
+    other = 1 / 302
+    target = np.full((300, 4), other / 3)
+    target[np.arange(300), truth] = 1 - other
+    loss = lambda t: -(target * np.log(language.softmax(scores / t))).sum(1).mean()
+    assert loss(language.calibrated(scores, truth)) <= min(map(loss, np.exp(np.linspace(-3, 5, 800)))) + 1e-6
+
+
+def test_language_prediction_by_brute_force():
+    """A model's probabilities from n-grams that are counted one by one."""
+    texts = [("en", "the cat and the dog"), ("de", "der hund und die katze"), ("fr", "le chat et le chien"), ("en", "this is the house"), ("de", "das ist das haus")] * 4
+    model = language.train([(y, *language.counts(t)) for y, t in texts])
+
+    def hashed(gram):
+        c = [ord(x) if x != " " else 0 for x in gram]
+        m = 2**32
+        h = c[0] * 0x9E3779B1 % m
+        if len(c) > 1:
+            h = (h ^ (c[1] + 0x7F4A7C15) % m) * 0x85EBCA6B % m
+        if len(c) > 2:
+            h = (h ^ (c[2] + 0x165667B1) % m) * 0xC2B2AE35 % m
+        return h >> 18
+
+    for text in ("The dog, the CAT!", "und das 12 haus", "x"):
+        letters = " " + "".join(c if c.isalpha() else " " for c in text.lower()) + " "
+        letters = re.sub(" +", " ", letters)
+        grams = {}
+        for n in (1, 2, 3):
+            for i in range(len(letters) - n + 1):
+                g = letters[i : i + n]
+                if g != " ":
+                    grams[hashed(g)] = grams.get(hashed(g), 0) + 1
+        v = {h: (1 + np.log(n)) * model.idf[h] for h, n in grams.items()}
+        size = sum(x * x for x in v.values()) ** 0.5
+        z = np.array(model.bias, float)
+        for h, x in v.items():
+            if model.place[h] >= 0:
+                z = z + x / size * model.weights[model.place[h]]
+        p = np.exp(z / model.temperature) / np.exp(z / model.temperature).sum()
+        lang, score = model.predict(text)
+        assert lang == model.languages[int(p.argmax())] and abs(score - p.max()) < 1e-9
+
+
+def test_training_does_not_depend_on_the_order_of_rows(spark):
+    rows = [(i % 30, "the cat %d sat %s" % (i, "on " * (i % 5)), "en", "a", 1) for i in range(90)] + [(100 + i % 30, "der hund %d lag %s" % (i, "da " * (i % 4)), "de", "a", 1) for i in range(90)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)] + [(i, 1) for i in range(10)], "doc_id long, quality int")
+    models, trees = [], []
+    for seed in (0, 1):
+        random.Random(seed).shuffle(rows)
+        docs = documents(spark, rows).repartition(3 + seed)
+        models.append(language.fit_language_id(docs, rows_per_language=20))
+        trees.append(quality.fit_quality(docs, labels, train_rows=25))
+    assert (models[0].weights == models[1].weights).all() and models[0].temperature == models[1].temperature
+    assert (trees[0].value == trees[1].value).all() and (trees[0].threshold == trees[1].threshold).all()
+
+
+def test_boosting_by_brute_force():
+    """Each split is the best of all, found by trying every threshold on every statistic; leaves are Newton steps."""
+    r = np.random.default_rng(4)
+    x = np.round(r.random((120, 4)), 1)
+    y = ((x[:, 0] > 0.5) ^ (r.random(120) < 0.1)).astype(float)
+    rounds, depth, rate, l2, least = 3, 2, 0.3, 1.0, 5
+    trees = quality.fit_trees(x, y, rounds=rounds, depth=depth, rate=rate, l2=l2, least=least)
+    margin = np.full(len(x), np.log(y.mean() / (1 - y.mean())))
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-margin))
+        g, h = p - y, p * (1 - p)
+
+        def grow(rows, level):
+            if level == depth:
+                margin[rows] += -rate * g[rows].sum() / (h[rows].sum() + l2)
+                return
+            best, at = 1e-9, None
+            for j in range(x.shape[1]):
+                for t in sorted(set(x[:, j])):
+                    a, b = rows[x[rows, j] <= t], rows[x[rows, j] > t]
+                    if len(a) >= least and len(b) >= least:
+                        gain = sum(g[s].sum() ** 2 / (h[s].sum() + l2) for s in (a, b)) - g[rows].sum() ** 2 / (h[rows].sum() + l2)
+                        if gain > best + 1e-9:
+                            best, at = gain, (a, b)
+            for part in at or (rows, rows[:0]):
+                if len(part):
+                    grow(part, level + 1)
+
+        grow(np.arange(len(x)), 0)
+    assert np.allclose(trees.margin(x), margin)
+
+
 def test_quality_on_held_out(spark):
     sf = "/root/testdata/sf0.1"
     got = {r["doc_id"]: r for r in queries.op5_quality(spark, sf).collect()}
