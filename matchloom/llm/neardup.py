@@ -200,7 +200,7 @@ _LINKS = pa.schema([("k", pa.int64()), ("links", pa.int64()), ("to", pa.int64())
 
 
 def _blocks(groups: DataFrame, classes: DataFrame, standing: DataFrame) -> DataFrame:
-    """(k, g, large, block, copies) of the members of the candidate groups: block 0 in a small group, in a large one a block by the first band, which is split if it is hot."""
+    """(k, g, large, block, copies) of the members of the candidate groups: block 0 in a small group; a large one has about as many blocks as its size asks for, by the hash of the first band, and a hot first band has blocks of its own."""
     held = groups.join(classes.select("k", "copies", "size"), "k").join(standing.select("k", F.col("bands")[0].alias("first")), "k")
 
     def parts(n: str, shingles: str):
@@ -209,10 +209,9 @@ def _blocks(groups: DataFrame, classes: DataFrame, standing: DataFrame) -> DataF
     def sizes(*by: str) -> DataFrame:
         return held.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("all")).select(*by, parts("n", "all").alias("parts"))
 
-    large = sizes("g").select("g", (F.col("parts") > 1).alias("large"))
-    split = sizes("g", "first")
-    dealt = held.join(large, "g").join(split, ["g", "first"])
-    block = F.when(F.col("large"), F.xxhash64("first", F.pmod(F.xxhash64("k"), F.col("parts")))).otherwise(F.lit(0).cast("long"))
+    dealt = held.join(sizes("g").withColumnRenamed("parts", "blocks"), "g").join(sizes("g", "first"), ["g", "first"]).withColumn("large", F.col("blocks") > 1)
+    hot = F.xxhash64("first", F.pmod(F.xxhash64("k"), F.col("parts")))
+    block = F.when(~F.col("large"), F.lit(0).cast("long")).when(F.col("parts") > 1, hot).otherwise(F.pmod(F.xxhash64("first"), F.col("blocks")))
     return dealt.select("k", "g", "large", block.alias("block"), "copies")
 
 
