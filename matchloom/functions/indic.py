@@ -1,58 +1,57 @@
 """Romanisation of the Indic scripts U+0900 to U+0D7F.
 
-The nine scripts share the layout of ISCII: a letter's place within its block of 128 says what it is, so one table serves all of them.
-Consonants carry an inherent "a", which a vowel sign replaces, a virama silences, and the end of a word drops.
+What a letter sounds like follows from its Unicode name ("BENGALI LETTER KA" is k), so no table of code points is needed. A consonant carries an
+inherent "a", unless a vowel sign replaces it, a virama silences it, or the word ends.
 """
 
 from __future__ import annotations
 
 import re
-
-# Place within a block -> Latin letters.
-VOWELS = dict(enumerate("a aa i ii u uu ri li e e e ai o o o au".split(), 0x05))
-CONSONANTS = dict(enumerate("k kh g gh n ch chh j jh n t th d dh n t th d dh n n p ph b bh m y r r l l l v sh sh s h".split(), 0x15))
-SIGNS = dict(enumerate("aa i ii u uu ri ri e e e ai o o o au".split(), 0x3E))
-NUKTA = dict(enumerate("q kh g z r rh f y".split(), 0x58))
-OTHER = {0x01: "n", 0x02: "n", 0x03: "h", 0x3D: "", 0x3C: ""}
-VIRAMA = 0x4D
-CHILLU = {0x0D54: "m", 0x0D55: "y", 0x0D56: "zh", 0x0D7A: "n", 0x0D7B: "n", 0x0D7C: "r", 0x0D7D: "l", 0x0D7E: "l", 0x0D7F: "k"}
-
-_INDIC = re.compile("[ऀ-ൿ‌‍]+")
-
-
-def _run(m: re.Match) -> str:
-    out: list[str] = []
-    pending = False  # a consonant waits for its vowel
-    for ch in m[0]:
-        code = ord(ch)
-        if code in (0x200C, 0x200D):
-            continue
-        if code in CHILLU:
-            out.append(("a" if pending else "") + CHILLU[code])
-            pending = False
-            continue
-        place = code & 0x7F
-        if place in SIGNS and place != VIRAMA:
-            out.append(SIGNS[place])
-            pending = False
-        elif place == VIRAMA:
-            pending = False
-        elif place in OTHER and place in (0x3C, 0x3D):
-            continue
-        else:
-            if pending:
-                out.append("a")
-            pending = False
-            if place in CONSONANTS or place in NUKTA:
-                out.append(CONSONANTS.get(place) or NUKTA[place])
-                pending = True
-            elif 0x66 <= place <= 0x6F:
-                out.append(chr(48 + place - 0x66))
-            else:
-                out.append(VOWELS.get(place) or OTHER.get(place) or " ")
-    return "".join(out)  # a waiting inherent vowel at the end of a word stays silent
+import unicodedata
+
+# Letters whose name does not spell their sound; of any other name doubled consonants are one.
+SOUNDS = {"C": "ch", "CH": "chh", "SS": "sh", "KHH": "kh", "GHH": "g", "DDDH": "r", "EE": "e", "OO": "o", "VOCALIC R": "ri", "VOCALIC RR": "ri", "VOCALIC L": "li", "VOCALIC LL": "li", "AU LENGTH MARK": "au", "CANDRABINDU": "n", "ANUSVARA": "n", "VISARGA": "h"}
+_NAMED = re.compile(r"(LETTER|VOWEL SIGN|SIGN|LENGTH MARK) (?:CHILLU |CANDRA |SHORT |LONG )?((?:VOCALIC )?[A-Z]+)$")
+_VOWELS = frozenset("A AA I II U UU E EE AI O OO AU".split())
+
+
+def _sound(letter: str) -> str:
+    return SOUNDS.get(letter) or (letter if letter in _VOWELS else re.sub(r"(.)\1+", r"\1", letter)).lower()
+
+
+def _sorted_out() -> tuple[dict[str, str], dict[str, str], str, dict[int, str]]:
+    """Consonants, vowel signs, viramas, and what any other character of the blocks becomes."""
+    consonants, signs, viramas, rest = {}, {}, "", {}
+    for code in range(0x0900, 0x0D80):
+        c, name = chr(code), unicodedata.name(chr(code), "")
+        rest[code] = ""
+        m = _NAMED.search(name)
+        kind, letter = (m[1], m[2]) if m else ("", "")
+        if name.endswith("AU LENGTH MARK"):
+            signs[c] = SOUNDS["AU LENGTH MARK"]
+        elif name.endswith("SIGN VIRAMA"):
+            viramas += c
+        elif unicodedata.digit(c, None) is not None:
+            rest[code] = str(unicodedata.digit(c))
+        elif kind == "VOWEL SIGN":
+            signs[c] = _sound(letter)
+        elif kind == "LETTER" and "CHILLU" in name:
+            rest[code] = _sound(letter)
+        elif kind == "LETTER" and (letter in _VOWELS or letter.startswith("VOCALIC")):
+            rest[code] = _sound(letter)
+        elif kind == "LETTER" and letter.endswith("A"):
+            consonants[c] = _sound(letter[:-1])
+        elif kind == "SIGN" and letter in SOUNDS:
+            rest[code] = SOUNDS[letter]
+    return consonants, signs, viramas, rest | dict.fromkeys(map(ord, "‌‍"), "")
+
+
+_CONSONANTS, _SIGNS, _VIRAMAS, _REST = _sorted_out()
+_SILENT = "".join(chr(code) for code, latin in _REST.items() if not latin and chr(code) not in _CONSONANTS and chr(code) not in _SIGNS and chr(code) not in _VIRAMAS)
+_SYLLABLE = re.compile(f"([{''.join(_CONSONANTS)}])[{_SILENT}]*(?:([{''.join(_SIGNS)}])|([{_VIRAMAS}]|(?=\\s|$)))?")
+_ALL = _REST | {ord(c): latin for c, latin in _SIGNS.items()}
 
 
 def transliterate(text: str) -> str:
     """Indic letters in Latin; everything else as it is."""
-    return _INDIC.sub(_run, text)
+    return _SYLLABLE.sub(lambda m: _CONSONANTS[m[1]] + (_SIGNS[m[2]] if m[2] else "a" if m[3] is None else ""), text).translate(_ALL)
