@@ -7,6 +7,7 @@ that follows is the same in any engine. Empty input gives empty output; null cou
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import reduce
 
 import pyarrow as pa
@@ -16,31 +17,37 @@ from pyspark.sql import types as T
 
 from .indic import transliterate
 
-# Words that say what kind of company it is, forms of address, street words, and so on.
-LEGAL = "ab ag bv co company corp corporation eirl enterprise enterprises gmbh inc incorporated kg limited llc llp lp ltd ltda mbh nv oy plc private pte pty pvt sa sarl sas sasu sc sci snc spa srl trust".split()
-HONORIFICS = "dr m mademoiselle madame messrs miss mme mr mrs ms prof shree shri smt sri".split()
-DBA = r" (?:dba|d b a|t a|trading as|doing business as|also known as|aka) "
-UNITS = "apartment apt building bldg block cabinet door extension flat floor fl level lot office plot room rm shop suite unit wing".split()
-STREETS = {
-    "alley": "aly allee ally", "apartment": "apt", "avenue": "av ave aven avenu", "boulevard": "bd blvd boul", "bridge": "brg", "building": "bldg", "bypass": "byp", "center": "centre ctr cntr", "chemin": "ch chem",
-    "circle": "cir circ", "close": "cl", "colony": "col", "corner": "cor", "court": "ct crt", "cove": "cv", "crescent": "cres cresc", "cross": "crs", "crossing": "xing", "drive": "dr drv", "east": "e", "estate": "est",
-    "expressway": "expy expwy", "extension": "ext extn", "faubourg": "fbg fg", "freeway": "fwy", "garden": "gdn gardens gdns", "grove": "grv", "harbor": "hbr harbour", "heights": "hts", "highway": "hwy", "impasse": "imp", "industrial": "ind indl",
-    "junction": "jct", "lane": "ln", "market": "mkt", "mount": "mt", "mountain": "mtn", "nagar": "ngr", "north": "n", "opposite": "opp", "parkway": "pkwy", "phase": "ph", "place": "pl", "plaza": "plz", "point": "pt",
-    "quai": "q", "road": "rd", "route": "rte", "saint": "st0 ste0", "sector": "sec", "south": "s", "square": "sq", "station": "stn sta", "street": "st str", "suite": "ste", "terrace": "ter terr", "trail": "trl", "valley": "vly", "village": "vill vlg", "west": "w",
-}
+# Fixed values, which decide what names and addresses are equal: legal forms and their romanised spellings, words that are no part of a name, street words
+# (first the form that stands for all), unit words and particles, states with their codes, native names of Indian states.
+LEGAL = (
+    "inc incorporated incorporation corp corporation co company cie ltd limited llc llp lp plc pvt private pte gmbh sarl sas sasu sa sci snc eurl selarl scop scp sca ltda pllc pc pa lllp opc "
+    "praivet praaivet praivaet limitaed limiteda limitad limitd elelpi eleelpi elaelapii elelpii elaelapi elaelasii kampanii kampani korporeshan praivettt privet praiveta praivetaa praiveet praivaeta praiveti limitedaa"
+).split()
+HONORIFICS = "mr mrs ms miss dr shri sri shree smt messrs sh km prof the www com net org in http https".split()
+DBA = r" (?:dba|d b a|t a|trading as|doing business as|also known as|aka|a k a) "
+STREETS = """street str st saint|road rd|avenue ave av avn aven|boulevard blvd bd boul bld|drive dr drv|lane ln|court ct crt|place pl plz plaza|square sq|highway hwy|parkway pkwy pky|circle cir crcl|terrace ter terr|trail trl
+way wy|crossing xing|expressway expy|freeway fwy|center centre ctr|mount mt|fort ft|north n|south s|east e|west w|northeast ne|northwest nw|southeast se|southwest sw|rue r|chemin ch|impasse imp|allee all al|route rte
+faubourg fbg|quai qu|cours crs|sainte ste|nagar ngr|sector sec sect|phase ph|market mkt|opposite opp|near nr|building bldg|floor flr fl|apartment apt apts|complex cplx|extension extn ext|village vill vil|district dist"""
+UNITS = "no number num nos unit suite door dno hno h d plot shop flat house po box pmb na and of the de du des la le les bis".split()
 US_STATES = {
     "al": "alabama", "ak": "alaska", "az": "arizona", "ar": "arkansas", "ca": "california", "co": "colorado", "ct": "connecticut", "de": "delaware", "dc": "district of columbia", "fl": "florida", "ga": "georgia", "hi": "hawaii", "id": "idaho",
     "il": "illinois", "in": "indiana", "ia": "iowa", "ks": "kansas", "ky": "kentucky", "la": "louisiana", "me": "maine", "md": "maryland", "ma": "massachusetts", "mi": "michigan", "mn": "minnesota", "ms": "mississippi", "mo": "missouri",
     "mt": "montana", "ne": "nebraska", "nv": "nevada", "nh": "new hampshire", "nj": "new jersey", "nm": "new mexico", "ny": "new york", "nc": "north carolina", "nd": "north dakota", "oh": "ohio", "ok": "oklahoma", "or": "oregon", "pa": "pennsylvania",
-    "ri": "rhode island", "sc": "south carolina", "sd": "south dakota", "tn": "tennessee", "tx": "texas", "ut": "utah", "vt": "vermont", "va": "virginia", "wa": "washington", "wv": "west virginia", "wi": "wisconsin", "wy": "wyoming",
+    "ri": "rhode island", "sc": "south carolina", "sd": "south dakota", "tn": "tennessee", "tx": "texas", "ut": "utah", "vt": "vermont", "va": "virginia", "wa": "washington", "wv": "west virginia", "wi": "wisconsin", "wy": "wyoming", "pr": "puerto rico",
 }
+#: Name -> its codes and older names; the first stands for all.
 INDIA_STATES = {
-    "ap": "andhra pradesh", "ar": "arunachal pradesh", "as": "assam", "br": "bihar", "cg": "chhattisgarh", "ch": "chandigarh", "dl": "delhi", "ga": "goa", "gj": "gujarat", "hp": "himachal pradesh", "hr": "haryana", "jh": "jharkhand", "jk": "jammu and kashmir",
-    "ka": "karnataka", "kl": "kerala", "mh": "maharashtra", "ml": "meghalaya", "mn": "manipur", "mp": "madhya pradesh", "mz": "mizoram", "nl": "nagaland", "od": "odisha", "pb": "punjab", "py": "puducherry", "rj": "rajasthan", "sk": "sikkim",
-    "tg": "telangana", "tn": "tamil nadu", "tr": "tripura", "uk": "uttarakhand", "up": "uttar pradesh", "wb": "west bengal",
+    "andhra pradesh": "ap", "arunachal pradesh": "ar", "assam": "as", "bihar": "br", "chhattisgarh": "cg ct", "goa": "ga", "gujarat": "gj", "haryana": "hr", "himachal pradesh": "hp", "jharkhand": "jh", "karnataka": "ka", "kerala": "kl",
+    "madhya pradesh": "mp", "maharashtra": "mh", "manipur": "mn", "meghalaya": "ml", "mizoram": "mz", "nagaland": "nl", "odisha": "od or orissa", "punjab": "pb", "rajasthan": "rj", "sikkim": "sk", "tamil nadu": "tn", "telangana": "ts tg",
+    "tripura": "tr", "uttar pradesh": "up", "uttarakhand": "uk ut uttaranchal", "west bengal": "wb", "delhi": "dl", "jammu and kashmir": "jk", "ladakh": "la", "chandigarh": "ch", "puducherry": "py pondicherry",
+    "andaman and nicobar islands": "an", "dadra and nagar haveli": "dn", "daman and diu": "dd", "lakshadweep": "ld",
+}
+INDIA_NATIVE = {
+    "andhra pradesh": "आंध्र प्रदेश|ఆంధ్రప్రదేశ్|ఆంధ్ర ప్రదేశ్", "arunachal pradesh": "अरुणाचल प्रदेश", "assam": "असम|অসম", "bihar": "बिहार", "chhattisgarh": "छत्तीसगढ़", "goa": "गोवा", "gujarat": "गुजरात|ગુજરાત", "haryana": "हरियाणा",
+    "himachal pradesh": "हिमाचल प्रदेश", "jharkhand": "झारखंड", "karnataka": "ಕರ್ನಾಟಕ|कर्नाटक", "kerala": "കേരളം|केरल", "madhya pradesh": "मध्य प्रदेश", "maharashtra": "महाराष्ट्र", "manipur": "मणिपुर", "meghalaya": "मेघालय",
+    "mizoram": "मिज़ोरम", "nagaland": "नागालैंड", "odisha": "ଓଡ଼ିଶା|ओडिशा", "punjab": "ਪੰਜਾਬ|पंजाब", "rajasthan": "राजस्थान", "sikkim": "सिक्किम", "tamil nadu": "தமிழ்நாடு|तमिलनाडु", "telangana": "తెలంగాణ|तेलंगाना", "tripura": "त्रिपुरा",
+    "uttar pradesh": "उत्तर प्रदेश", "uttarakhand": "उत्तराखंड", "west bengal": "পশ্চিমবঙ্গ|पश्चिम बंगाल", "delhi": "दिल्ली", "jammu and kashmir": "जम्मू और कश्मीर", "chandigarh": "चंडीगढ़", "puducherry": "पुडुचेरी",
 }
-#: Native-script names of the largest Indian states, as their romanised forms are looked up after transliteration.
-INDIA_NATIVE = {"महाराष्ट्र": "mh", "दिल्ली": "dl", "उत्तर प्रदेश": "up", "राजस्थान": "rj", "बिहार": "br", "ગુજરાત": "gj", "ਪੰਜਾਬ": "pb", "পশ্চিমবঙ্গ": "wb", "தமிழ்நாடு": "tn", "కర్ణాటక": "ka", "ಕರ್ನಾಟಕ": "ka", "കേരളം": "kl", "తెలంగాణ": "tg", "ଓଡ଼ିଶା": "od"}
 
 
 def fold(text: str) -> str:
@@ -90,9 +97,13 @@ def join_single_letters(tokens: Column) -> Column:
     return words(F.trim(F.array_join(glued, "")))
 
 
+#: "(id: 12)", "(Reg. No 7)", and "id 12", "Ref: 7" without parentheses.
+ID_TAGS = r"(?i)\(\s*(?:id|ref|reg|no)(?:[\s.:#-]+(?:no[\s.:#-]*)?)?[0-9][^)]*\)|\(\s*(?:id|ref|reg|no)[.:#-][^)]*\)|\b(?:id|ref)\s*[:#]?\s*[0-9]+\b"
+
+
 def drop_id_tags(c: Column | str) -> Column:
-    """Removes "(id: 12)", "(Reg. No 7)"; a parenthesis that merely begins with such letters, as "(North Wing)", stays."""
-    return F.regexp_replace(text(c), r"(?i)\(\s*(?:id|ref|reg|no)(?:[\s.:#-]+(?:no[\s.:#-]*)?)?[0-9][^)]*\)|(?i)\(\s*(?:id|ref|reg|no)[.:#-][^)]*\)", " ")
+    """Removes identifier tags; a parenthesis that merely begins with such letters, as "(North Wing)", stays."""
+    return F.regexp_replace(text(c), ID_TAGS, " ")
 
 
 _DOMAIN = r"(?i)(?:https?://)?(?:www\.)?([a-z0-9][a-z0-9-]*)\.(?:com|net|org|info|biz|io|fr|us|co\.in|in|co)(?:/[^\s]*)?($|[^a-z0-9.])"
@@ -129,11 +140,15 @@ def normalize_name(df: DataFrame, column: str, out: str = "name") -> DataFrame:
     return step.withColumn(out, value).drop("__raw", "__clean", "__domain", "__parts", "__whole", "__last")
 
 
+# Consonants after which an h falls, and what stands for letters that sound alike.
+ASPIRATED, ALIKE = "bcdfgjkpqrstvxz", ("cqgxjzwbdf", "kkkkksvptp")
+
+
 def skeleton_token(w: Column) -> Column:
-    """What a word sounds like, roughly: h after a consonant falls, voiced consonants become voiceless, later vowels fall, repeats collapse."""
-    w = F.regexp_replace(w, "([bcdfgjklmnpqrstvwxz])h", "$1")
-    w = F.translate(w, "bdgvzjqcw", "ptkfsskkf")
-    return F.regexp_replace(F.concat(F.substring(w, 1, 1), F.regexp_replace(F.substring(w, 2, 2000), "[aeiouy]", "")), "(.)\\1+", "$1")
+    """What a word sounds like, roughly: h after a consonant falls, letters that sound alike become one, later vowels fall, repeats collapse. Numbers stay as they are."""
+    alike = F.translate(F.regexp_replace(w, f"(?<=[{ASPIRATED}])h", ""), *ALIKE)
+    bare = F.concat(F.substring(alike, 1, 1), F.regexp_replace(F.substr(alike, F.lit(2)), "[aeiouy]", ""))
+    return F.when(w.rlike("^[0-9]+$"), w).otherwise(F.regexp_replace(bare, "(.)\\1+", "$1"))
 
 
 def skeleton(clean: Column) -> Column:
@@ -141,11 +156,12 @@ def skeleton(clean: Column) -> Column:
 
 
 def canonical_words() -> dict[str, str]:
-    return {v: k for k, vs in STREETS.items() for v in vs.split() if not v.endswith("0")}
+    groups = (g.split() for g in STREETS.replace("\n", "|").split("|"))
+    return {form: first for first, *forms in groups for form in forms}
 
 
 def canonical(w: Column) -> Column:
-    """Street words in their long form."""
+    """Street words in the form that stands for all."""
     table = F.create_map(*(F.lit(x) for pair in canonical_words().items() for x in pair))
     return F.coalesce(F.try_element_at(table, w), w)
 
@@ -162,21 +178,34 @@ def gazetteer(country: str) -> dict[str, str]:
     if country == "India":
         from re import sub
 
-        return {k: k for k in INDIA_STATES} | {v: k for k, v in INDIA_STATES.items()} | {sub("[^0-9a-z]+", " ", fold(k)).strip(): v for k, v in INDIA_NATIVE.items()}
+        code = {name: forms.split()[0] for name, forms in INDIA_STATES.items()}
+        native = {sub("[^0-9a-z]+", " ", fold(form)).strip(): code[name] for name, forms in INDIA_NATIVE.items() for form in forms.split("|")}
+        return code | {form: code[name] for name, forms in INDIA_STATES.items() for form in forms.split()} | native
     return {}
 
 
+def full_names(country: str) -> str:
+    """A pattern of the names of a country's states that are more than a code, longest first."""
+    return r"\b(" + "|".join(sorted((x for x in gazetteer(country) if len(x) > 2), key=lambda x: (-len(x), x))) + r")\b"
+
+
+def _coded(country: str) -> Callable[[Column], Column]:
+    table = F.create_map(*(F.lit(x) for kv in gazetteer(country).items() for x in kv))
+    return lambda x: F.try_element_at(table, x)
+
+
 def _state_of(chunk: Column, country: Column) -> Column:
     """Code of the state that the digit-free words of an address chunk name; null if none."""
     bare = F.array_join(F.filter(words(chunk), lambda w: ~w.rlike("[0-9]")), " ")
-    tables = [F.when(country == name, F.try_element_at(F.create_map(*(F.lit(x) for kv in gazetteer(name).items() for x in kv)), bare)) for name in ("US", "India")]
+    tables = [F.when(country == name, _coded(name)(bare)) for name in ("US", "India")]
     return F.coalesce(*tables)
 
 
 def normalize_address(df: DataFrame, column: str, country: str = "country", out: str = "address") -> DataFrame:
     """``df`` with ``out``: struct of addr, state, postal, house, city, nums.
 
-    The state is that of the last comma chunk that names one; the city is the digit-free chunk before it, else after it. State and city
+    The state is that of the last comma chunk that names one, else that of the last full name of a state inside the chunks, which its code then
+    replaces; the city is the digit-free chunk before a state's chunk, else after it. State and city
     words are kept in ``addr``; unit designators ("suite") fall, the numbers after them stay. Postal: the first 6-digit number, else the
     first 5-digit number that is not the first number. House: the first other number.
     """
@@ -194,23 +223,34 @@ def normalize_address(df: DataFrame, column: str, country: str = "country", out:
         return F.trim(F.concat_ws(" ", F.get(states, i), F.array_join(F.filter(words(x), lambda w: w.rlike("[0-9]")), " ")))
 
     def other_chunk(x: Column) -> Column:
-        return F.array_join(F.filter(F.transform(words(split_digits(x)), canonical), lambda w: ~w.isin(*UNITS)), " ")
-
+        suite = F.regexp_replace(split_digits(x), "(^| )ste ([0-9])", "$1suite $2")
+        return F.array_join(F.filter(F.transform(words(suite), canonical), lambda w: ~w.isin(*UNITS)), " ")
+
+    # Where no chunk is a state: the text around full names, and the names, of the countries that have a gazetteer.
+    joined, none = F.array_join("__chunks", " "), F.array().cast("array<string>")
+    for name in ("US", "India"):
+        mine = (F.col(country) == name) & (at < 0)
+        found = F.transform(F.regexp_extract_all(joined, F.lit(full_names(name))), _coded(name))
+        step = step.withColumns({f"__in_{name}": F.when(mine, found).otherwise(none), f"__around_{name}": F.when(mine, F.split(joined, full_names(name))).otherwise(none)})
+    inner = F.when(F.size("__in_US") > 0, F.col("__in_US")).otherwise(F.col("__in_India"))
+    around = F.when(F.size("__in_US") > 0, F.col("__around_US")).otherwise(F.col("__around_India"))
+    step = step.withColumns({"__inner": inner, "__around": around}).drop("__in_US", "__in_India", "__around_US", "__around_India")
     body = F.array_join(F.transform(chunks, lambda x, i: F.when(i == at, state_chunk(x, i)).otherwise(other_chunk(x))), " ")
-    step = step.withColumn("__tokens", words(body)).withColumn("__nums", F.filter("__tokens", lambda w: w.rlike("^[0-9]+$")))
+    named = F.array_join(F.transform("__around", lambda x, i: F.concat_ws(" ", other_chunk(x), F.get(F.col("__inner"), i))), " ")
+    step = step.withColumn("__tokens", words(F.when(F.size("__inner") > 0, named).otherwise(body))).withColumn("__nums", F.filter("__tokens", lambda w: w.rlike("^[0-9]+$")))
     nums = F.col("__nums")
-    first, later = F.coalesce(F.get(nums, F.lit(0)), F.lit("")), F.slice(nums, 2, 1000)
+    first, later = F.coalesce(F.get(nums, F.lit(0)), F.lit("")), F.filter(nums, lambda _, i: i > 0)
     postal = F.coalesce(F.get(F.filter(nums, lambda w: F.length(w) == 6), F.lit(0)), F.get(F.filter(later, lambda w: (F.length(w) == 5) & (w != first)), F.lit(0)), F.lit(""))
     step = step.withColumn("__postal", postal)
     value = F.struct(
         F.array_join("__tokens", " ").alias("addr"),
-        F.when(at >= 0, F.get(states, at)).otherwise(F.lit("")).alias("state"),
+        F.when(at >= 0, F.get(states, at)).otherwise(F.coalesce(F.try_element_at("__inner", F.lit(-1)), F.lit(""))).alias("state"),
         F.col("__postal").alias("postal"),
         F.coalesce(F.get(F.filter(nums, lambda w: w != F.col("__postal")), F.lit(0)), F.lit("")).alias("house"),
         F.when(at >= 0, F.coalesce(city_at(at - 1), city_at(at + 1), F.lit(""))).otherwise(F.lit("")).alias("city"),
         F.array_join(nums, " ").alias("nums"),
     )
-    return step.withColumn(out, value).drop("__folded", "__chunks", "__states", "__at", "__tokens", "__nums", "__postal")
+    return step.withColumn(out, value).drop("__folded", "__chunks", "__states", "__at", "__tokens", "__nums", "__postal", "__inner", "__around")
 
 
 def strip_zeros(c: Column) -> Column:
@@ -228,12 +268,30 @@ SIMPLE_LEGAL = ["limited liability company", "private limited", "incorporated",
 SIMPLE_ADDRESS = [("street", "st"), ("road", "rd"), ("avenue", "ave"), ("boulevard", "blvd"), ("drive", "dr"), ("lane", "ln"), ("suite", "ste"), ("apartment", "apt"), ("building", "bldg"), ("floor", "fl"), ("north", "n"), ("south", "s"), ("east", "e"), ("west", "w")]
 
 
+# Fixed values of the older cleaner: what it writes out in names and in addresses, and which legal forms it then removes, longest first.
+NAME_REPLACEMENTS = [("inc", "incorporated"), ("corp", "corporation"), ("ltd", "limited"), ("pvt", "private"), ("llc", "limited liability company"), ("co", "company")]
+ADDRESS_REPLACEMENTS = [("st", "street"), ("rd", "road"), ("ave", "avenue"), ("blvd", "boulevard"), ("dr", "drive"), ("ln", "lane"), ("ct", "court"), ("apt", "apartment"), ("ste", "suite"), ("hwy", "highway")]
+SUFFIXES = ["limited liability company", "incorporated", "corporation", "limited", "private", "company"]
+
+
+@F.arrow_udf(T.StringType())
+def _nfkc(text: pa.Array) -> pa.Array:
+    return pa.array([t if t is None or t.isascii() else unicodedata.normalize("NFKC", t) for t in text.to_pylist()], pa.string())
+
+
 def simple_clean(c: Column | str, replacements: list[tuple[str, str]] = ()) -> Column:
-    """The older cleaner: lower case, & is "and", word replacements, punctuation to spaces; letters of every script stay."""
-    c = F.regexp_replace(F.replace(F.lower(text(c)), F.lit("&"), F.lit(" and ")), r"[^\p{L}\p{N}_\s]", " ")
+    """The older cleaner: lower case, NFKC, & is "and", word replacements, punctuation to spaces; letters of every script stay."""
+    c = F.regexp_replace(F.replace(_nfkc(F.lower(text(c))), F.lit("&"), F.lit(" and ")), r"[^\p{L}\p{N}_\s]", " ")
     c = reduce(lambda x, r: F.regexp_replace(x, rf"(^|\s){r[0]}(?=\s|$)", f"$1{r[1]}"), replacements, c)
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 
 
-def remove_legal_suffixes(clean: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(clean, rf"(?:^|\s)(?:{'|'.join(SIMPLE_LEGAL)})(?=\s|$)", " "), r"\s+", " "))
+def remove_legal_suffixes(clean: Column, forms: list[str] = SIMPLE_LEGAL) -> Column:
+    return F.trim(F.regexp_replace(F.regexp_replace(clean, rf"(?:^|\s)(?:{'|'.join(forms)})(?=\s|$)", " "), r"\s+", " "))
+
+
+def simple_normalised(df: DataFrame, name: str = "business_name", address: str = "business_address") -> DataFrame:
+    """``df`` with norm_name, norm_name_no_suffix and norm_address of the older cleaner; null names and addresses become empty."""
+    filled = df.na.fill("", [name, address])
+    out = filled.withColumn("norm_name", simple_clean(name, NAME_REPLACEMENTS))
+    return out.withColumns({"norm_name_no_suffix": remove_legal_suffixes(F.col("norm_name"), SUFFIXES), "norm_address": simple_clean(address, ADDRESS_REPLACEMENTS)})

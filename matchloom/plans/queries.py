@@ -90,14 +90,22 @@ def _address_sql() -> str:
     india = "'Plot ' || c_custkey || " + pick(", MG Rd", ", Sector 5", ", 2nd Cross") + " || " + pick(", Pune, Maharashtra", ", Mumbai, MH", ", Jaipur, Rajasthan ", ", Kochi") + " || " + pick(" - ", " ") + " || (400000 + c_custkey % 991)"
     other = "c_custkey || " + pick(" rue de l'Église", " Bd Voltaire") + " || ', 75011 Paris'"
     bare = "array_to_string(list_filter(string_split(x, ' '), lambda w: NOT regexp_matches(w, '[0-9]')), ' ')"
+    one, two = chr(92) + "1", chr(92) + "2"
+    parted = f"regexp_replace(regexp_replace(regexp_replace(x, '([0-9])([a-z])', '{one} {two}', 'g'), '([a-z])([0-9])', '{one} {two}', 'g'), '(^| )ste ([0-9])', '{one}suite {two}', 'g')"
+    other_chunk = f"array_to_string(list_filter(list_transform(string_split({parted}, ' '), lambda w: coalesce({canon}[w], w)), lambda w: w NOT IN ({S.quoted(text.UNITS)})), ' ')"
+    state_chunk = "trim(st[i] || ' ' || array_to_string(list_filter(string_split(x, ' '), lambda w: regexp_matches(w, '[0-9]')), ' '))"
+    body = f"""CASE WHEN len(inner_) > 0 THEN array_to_string(list_transform(around, lambda x, i: {other_chunk} || ' ' || coalesce(inner_[i], '')), ' ')
+        ELSE array_to_string(list_transform(ch, lambda x, i: CASE WHEN i = pos THEN {state_chunk} ELSE {other_chunk} END), ' ') END"""
+    within = " ".join(f"WHEN country = '{c}' THEN list_transform(regexp_extract_all(whole, '{text.full_names(c)}', 1), lambda x: {states(c)}[x])" for c in ("US", "India"))
     return f"""
     WITH a0 AS (SELECT c_custkey AS id, {pick("US", "India", "France")} AS country, {us} AS us, {india} AS india, {other} AS other FROM customer),
     a1 AS (SELECT id, country, list_filter(list_transform(string_split(CASE country WHEN 'US' THEN us WHEN 'India' THEN india ELSE other END, ','), lambda x: {S.clean("x")}), lambda x: x <> '') AS ch FROM a0),
     a2 AS (SELECT *, list_transform(ch, lambda x: CASE country WHEN 'US' THEN {states("US")}[{bare}] WHEN 'India' THEN {states("India")}[{bare}] END) AS st FROM a1),
     a3 AS (SELECT *, coalesce(list_max(list_filter(list_transform(st, lambda s, i: CASE WHEN s IS NOT NULL THEN i END), lambda i: i IS NOT NULL)), 0) AS pos FROM a2),
-    a4 AS (SELECT *, CASE WHEN pos > 0 THEN st[pos] ELSE '' END AS state,
+    a3b AS (SELECT *, CASE WHEN pos > 0 THEN [] {within} ELSE [] END AS inner_, CASE country WHEN 'US' THEN regexp_split_to_array(whole, '{text.full_names("US")}') WHEN 'India' THEN regexp_split_to_array(whole, '{text.full_names("India")}') END AS around FROM (SELECT *, array_to_string(ch, ' ') AS whole FROM a3)),
+    a4 AS (SELECT *, CASE WHEN pos > 0 THEN st[pos] ELSE coalesce(inner_[-1], '') END AS state,
         CASE WHEN pos = 0 THEN '' WHEN pos > 1 AND NOT regexp_matches(ch[pos - 1], '[0-9]') AND st[pos - 1] IS NULL THEN ch[pos - 1] WHEN pos < len(ch) AND NOT regexp_matches(ch[pos + 1], '[0-9]') AND st[pos + 1] IS NULL THEN ch[pos + 1] ELSE '' END AS city,
-        {S.words("array_to_string(list_transform(ch, lambda x, i: CASE WHEN i = pos THEN trim(st[i] || ' ' || array_to_string(list_filter(string_split(x, ' '), lambda w: regexp_matches(w, '[0-9]')), ' ')) ELSE array_to_string(list_filter(list_transform(string_split(regexp_replace(regexp_replace(x, '([0-9])([a-z])', '" + chr(92) + "1 " + chr(92) + "2', 'g'), '([a-z])([0-9])', '" + chr(92) + "1 " + chr(92) + "2', 'g'), ' '), lambda w: coalesce(" + canon + "[w], w)), lambda w: w NOT IN (" + S.quoted(text.UNITS) + ")), ' ') END), ' ')")} AS tk FROM a3),
+        {S.words(body)} AS tk FROM a3b),
     a5 AS (SELECT *, list_filter(tk, lambda w: regexp_full_match(w, '[0-9]+')) AS nm FROM a4),
     a6 AS (SELECT *, coalesce(list_filter(nm, lambda w: length(w) = 6)[1], list_filter(nm[2:], lambda w: length(w) = 5 AND w <> nm[1])[1], '') AS postal FROM a5)
     SELECT id, country, array_to_string(tk, ' ') AS addr, state, postal, coalesce(list_filter(nm, lambda w: w <> postal)[1], '') AS house, city, array_to_string(nm, ' ') AS nums FROM a6"""
@@ -110,9 +118,9 @@ def er_address(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-    WITH s AS (SELECT c_custkey AS s, c_nationkey AS country, regexp_extract(c_name, '#(.*)$', 1) AS h FROM customer), t AS (SELECT s_suppkey AS t, s_nationkey AS country, regexp_extract(s_name, '#(.*)$', 1) AS h FROM supplier WHERE s_suppkey % 4 = 0 OR s_suppkey % 4 <> 0)
+    WITH s AS (SELECT c_custkey AS s, c_nationkey AS country, regexp_extract(c_name, '#(.*)$', 1) AS h FROM customer), t AS (SELECT s_suppkey AS t, s_nationkey AS country, regexp_extract(s_name, '#(.*)$', 1) AS h FROM supplier)
     SELECT s, t, CAST(s.h = t.h AS BIGINT) AS equal, CAST(s.h <> t.h AND regexp_replace(s.h, '^0+(.)', '\\1') = regexp_replace(t.h, '^0+(.)', '\\1') AS BIGINT) AS pad FROM s JOIN t USING (country) WHERE right(s.h, 2) = right(t.h, 2)
-""".replace(" WHERE s_suppkey % 4 = 0 OR s_suppkey % 4 <> 0", ""))
+""")
 def er_house_padding(spark: SparkSession, sf: str) -> DataFrame:
     """Customers and suppliers of a nation whose zero-padded numbers end alike."""
     digits = lambda c: F.regexp_extract(c, "#(.*)$", 1)
@@ -124,19 +132,18 @@ def er_house_padding(spark: SparkSession, sf: str) -> DataFrame:
 _SIMPLE = r"""trim(regexp_replace(regexp_replace(replace(lower({0}), '&', ' and '), '[^\p{{L}}\p{{N}}_\s]', ' ', 'g'), '\s+', ' ', 'g'))"""
 
 
-def _simple_words(x: str) -> str:
-    table_ = "MAP {" + ", ".join(f"'{a}': '{b}'" for a, b in text.SIMPLE_ADDRESS) + "}"
+def _simple_words(x: str, replacements: list[tuple[str, str]]) -> str:
+    table_ = "MAP {" + ", ".join(f"'{a}': '{b}'" for a, b in replacements) + "}"
     return f"array_to_string(list_transform(string_split({x}, ' '), lambda w: coalesce({table_}[w], w)), ' ')"
 
 
-_SUFFIX = "trim(regexp_replace(regexp_replace(' ' || replace({0}, ' ', '  ') || ' ', ' (" + "|".join(x.replace(" ", "  ") for x in text.SIMPLE_LEGAL) + ") ', ' ', 'g'), ' +', ' ', 'g'))"
-_SIMPLE_REC = f"{S.RECORDS}, sc AS (SELECT id, src, 'land ' || country AS country, CAST(id AS VARCHAR) AS entity_id, {_SIMPLE.format('name_raw')} AS norm_name, {_simple_words(_SIMPLE.format('addr_raw'))} AS addr FROM rec), sr AS (SELECT *, {_SUFFIX.format('norm_name')} AS name FROM sc)"
+_SUFFIX = "trim(regexp_replace(regexp_replace(' ' || replace({0}, ' ', '  ') || ' ', ' (" + "|".join(x.replace(" ", "  ") for x in text.SUFFIXES) + ") ', ' ', 'g'), ' +', ' ', 'g'))"
+_SIMPLE_REC = f"{S.RECORDS}, sc AS (SELECT id, src, 'land ' || country AS country, CAST(id AS VARCHAR) AS entity_id, {_simple_words(_SIMPLE.format('name_raw'), text.NAME_REPLACEMENTS)} AS norm_name, {_simple_words(_SIMPLE.format('addr_raw'), text.ADDRESS_REPLACEMENTS)} AS addr FROM rec), sr AS (SELECT *, {_SUFFIX.format('norm_name')} AS name FROM sc)"
 
 
 def _simple(spark: SparkSession, sf: str) -> DataFrame:
-    rec = views.records(spark, sf)
-    name = text.simple_clean("name_raw")
-    return rec.select("id", "src", F.concat(F.lit("land "), "country").alias("country"), F.col("id").cast("string").alias("entity_id"), name.alias("norm_name"), text.remove_legal_suffixes(name).alias("name"), text.simple_clean("addr_raw", text.SIMPLE_ADDRESS).alias("addr"))
+    rec = text.simple_normalised(views.records(spark, sf), "name_raw", "addr_raw")
+    return rec.select("id", "src", F.concat(F.lit("land "), "country").alias("country"), F.col("id").cast("string").alias("entity_id"), "norm_name", F.col("norm_name_no_suffix").alias("name"), F.col("norm_address").alias("addr"))
 
 
 @query(f"WITH {_SIMPLE_REC} SELECT id, norm_name, name, addr FROM sr")
@@ -294,21 +301,37 @@ def er_block_address_token(spark: SparkSession, sf: str) -> DataFrame:
     return legacy_blocking.by_address_token(*_sides(spark, sf))
 
 
-@query(f"WITH {_SIMPLE_REC}, u AS ({_UNION}) SELECT sr.entity_id, coalesce(string_agg(t, ',' ORDER BY t), '') AS candidates FROM sr LEFT JOIN u ON u.s = sr.entity_id WHERE sr.src = 1 GROUP BY sr.entity_id")
+def _ngram_sql(column: str, name: str, k: int = 10, distance: float = 0.7) -> str:
+    """CTEs that end in ``name`` (s, t): the k nearest targets on character n-grams of a column, by country."""
+    grams = " UNION ALL ".join(f"SELECT side, entity_id, country, unnest(CASE WHEN length(w) <= {n} THEN [w] ELSE list_transform(range(1, length(w) - {n - 2}), lambda i: w[i : i + {n - 1}]) END) AS g FROM {name}w" for n in (3, 4, 5))
+    return f"""
+    {name}w AS (SELECT CASE WHEN src = 1 THEN 0 ELSE 1 END AS side, entity_id, country, ' ' || unnest(list_filter(string_split({column}, ' '), lambda w: w <> '')) || ' ' AS w FROM sr),
+    {name}f AS (SELECT side, entity_id, country, g, count(*) AS tf FROM ({grams}) GROUP BY ALL),
+    {name}d AS (SELECT country, g, ln((1 + any_value(n)) / (1 + count(*))) + 1 AS idf FROM {name}f JOIN (SELECT country, count(*) AS n FROM sr GROUP BY country) USING (country) GROUP BY country, g HAVING count(*) >= 2 AND count(*) <= 0.9 * any_value(n)),
+    {name}v AS (SELECT side, entity_id, country, g, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY side, entity_id)) AS v FROM {name}f JOIN {name}d USING (country, g)),
+    {name} AS (SELECT s, t FROM (SELECT a.entity_id AS s, b.entity_id AS t, round(sum(a.v * b.v), 9) AS score FROM {name}v a JOIN {name}v b USING (country, g) WHERE a.side = 0 AND b.side = 1 GROUP BY ALL)
+        WHERE score > 1 - {distance} QUALIFY row_number() OVER (PARTITION BY s ORDER BY score DESC, t) <= {k})"""
+
+
+_NEAR = f"{_ngram_sql('name', 'nn')}, {_ngram_sql('addr', 'na')}"
+_ALL = f"{_UNION} UNION SELECT s, t FROM nn UNION SELECT s, t FROM na"
+
+
+@query(f"WITH {_SIMPLE_REC},{_NEAR}, u AS ({_ALL}) SELECT sr.entity_id, coalesce(string_agg(t, ',' ORDER BY t), '') AS candidates FROM sr LEFT JOIN u ON u.s = sr.entity_id WHERE sr.src = 1 GROUP BY sr.entity_id")
 def er_block_lists(spark: SparkSession, sf: str) -> DataFrame:
-    """Union of the SQL-expressible blockers as one list an entity, empty lists included."""
+    """Union of the five blockers as one list an entity, empty lists included."""
     s, t = _sides(spark, sf)
-    return legacy_blocking.candidate_lists(s, legacy_blocking.all_blocks(s, t, neighbours=False))
+    return legacy_blocking.candidate_lists(s, legacy_blocking.all_blocks(s, t))
 
 
-@query(f"WITH {_SIMPLE_REC},{S.TRUTH}, u AS ({_UNION}) SELECT count(*) AS n_true, count(u.t) AS n_found, round(count(u.t) / count(*), 6) AS recall FROM truth LEFT JOIN u ON u.s = CAST(truth.s AS VARCHAR) AND u.t = CAST(truth.t AS VARCHAR)")
+@query(f"WITH {_SIMPLE_REC},{S.TRUTH},{_NEAR}, u AS ({_ALL}) SELECT count(*) AS n_true, count(u.t) AS n_found, round(count(u.t) / count(*), 6) AS recall FROM truth LEFT JOIN u ON u.s = CAST(truth.s AS VARCHAR) AND u.t = CAST(truth.t AS VARCHAR)")
 def er_block_recall(spark: SparkSession, sf: str) -> DataFrame:
     s, t = _sides(spark, sf)
     truth = views.truth(spark, sf).select(F.col("s").cast("string").alias("s"), F.col("t").cast("string").alias("t"))
-    return result(evaluation.block_recall(truth, legacy_blocking.all_blocks(s, t, neighbours=False)))
+    return result(evaluation.block_recall(truth, legacy_blocking.all_blocks(s, t)))
 
 
-@query()
+@query(f"WITH {_SIMPLE_REC},{_NEAR} SELECT s, t, 'name' AS \"by\" FROM nn UNION ALL SELECT s, t, 'addr' FROM na")
 def er_block_tfidf(spark: SparkSession, sf: str) -> DataFrame:
     """Nearest neighbours on character n-grams of name and of address."""
     s, t = _sides(spark, sf)
@@ -478,7 +501,6 @@ def _by_nation(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _NATION = f"WITH {S.SCORED}, sn AS (SELECT sp.*, c_nationkey AS nation FROM sp JOIN orders ON o_orderkey = s JOIN customer ON c_custkey = o_custkey)"
-_EM_STEPS = 10
 
 
 @query(f"{_NATION} SELECT CAST(nation AS BIGINT) AS nation, round(avg(label), 6) AS prior FROM sn GROUP BY nation")
@@ -486,26 +508,27 @@ def er_prior(spark: SparkSession, sf: str) -> DataFrame:
     return result(shift.priors(_by_nation(spark, sf), ["nation"]))
 
 
-def _em_sql() -> str:
-    adj = "({v} / prior * m) / ({v} / prior * m + (1 - {v}) / (1 - prior) * (1 - m))"
-    out = f"""{_NATION}, h AS (SELECT nation, least(floor(p1 * 10000), 9999) AS bin, CAST(count(*) AS DOUBLE) AS n, avg(p1) AS m FROM sn GROUP BY ALL), pr AS (SELECT nation, avg(label) AS prior FROM sn GROUP BY nation), hp AS (SELECT h.*, prior FROM h JOIN pr USING (nation)),
-    e0 AS (SELECT nation, prior AS v, false AS done FROM pr)"""
-    for i in range(1, _EM_STEPS + 1):
-        value = adj.format(v="v")
-        out += f", e{i} AS (SELECT nation, CASE WHEN any_value(done) THEN any_value(v) ELSE sum(n * {value}) / sum(n) END AS v, any_value(done) OR abs(sum(n * {value}) / sum(n) - any_value(v)) < 1e-8 AS done FROM e{i - 1} JOIN hp USING (nation) GROUP BY nation)"
-    return out
+_EM = f"""{_NATION.replace("WITH ", "WITH RECURSIVE ", 1)},
+    h AS (SELECT nation, least(floor(p1 * 10000), 9999) AS bin, CAST(count(*) AS DOUBLE) AS n, avg(p1) AS m FROM sn GROUP BY ALL), pr AS (SELECT nation, avg(label) AS prior FROM sn GROUP BY nation), hp AS (SELECT h.*, prior FROM h JOIN pr USING (nation)),
+    em AS (
+        SELECT nation, 0 AS step, prior AS v, false AS done FROM pr
+        UNION ALL SELECT nation, any_value(step) + 1, sum(n * (v / prior * m) / (v / prior * m + (1 - v) / (1 - prior) * (1 - m))) / sum(n),
+            abs(sum(n * (v / prior * m) / (v / prior * m + (1 - v) / (1 - prior) * (1 - m))) / sum(n) - any_value(v)) < 1e-8
+        FROM em JOIN hp USING (nation) WHERE NOT done AND step < 500 GROUP BY nation
+    ),
+    settled AS (SELECT nation, arg_max(v, step) AS v FROM em GROUP BY nation)"""
 
 
-@query(f"{_em_sql()} SELECT CAST(nation AS BIGINT) AS nation, round(prior, 6) AS prior, round(v, 6) AS target FROM e{_EM_STEPS} JOIN pr USING (nation)")
+@query(f"{_EM} SELECT CAST(nation AS BIGINT) AS nation, round(prior, 6) AS prior, round(v, 6) AS target FROM settled JOIN pr USING (nation)")
 def er_em_prior(spark: SparkSession, sf: str) -> DataFrame:
     rows = _by_nation(spark, sf)
-    return result(shift.em_prior(rows, shift.priors(rows, ["nation"]), ["nation"], "p1", _EM_STEPS))
+    return result(shift.em_prior(rows, shift.priors(rows, ["nation"]), ["nation"], "p1"))
 
 
-@query(f"{_em_sql()} SELECT {_KEYS}, round((v / prior * p1) / (v / prior * p1 + (1 - v) / (1 - prior) * (1 - p1)), 6) AS p_adj FROM sn JOIN e{_EM_STEPS} USING (nation) JOIN pr USING (nation)")
+@query(f"{_EM} SELECT {_KEYS}, round((v / prior * p1) / (v / prior * p1 + (1 - v) / (1 - prior) * (1 - p1)), 6) AS p_adj FROM sn JOIN settled USING (nation) JOIN pr USING (nation)")
 def er_adjusted(spark: SparkSession, sf: str) -> DataFrame:
     rows = _by_nation(spark, sf)
-    return result(shift.corrected(rows, rows, ["nation"], "p1", _EM_STEPS).select("src", "s", "t", "p_adj"))
+    return result(shift.corrected(rows, rows, ["nation"], "p1").select("src", "s", "t", "p_adj"))
 
 
 @query("SELECT o_orderkey AS s, CASE WHEN o_orderkey % 7 = 0 THEN 'noaddr' WHEN o_custkey % 3 = 0 THEN 'house_na' WHEN o_custkey % 3 = 1 THEN 'house_eq' ELSE 'house_ne' END AS segment FROM orders")

@@ -29,13 +29,13 @@ def joined_letters(tokens: str) -> str:
 
 
 def skeleton_token(w: str) -> str:
-    a = f"translate(regexp_replace({w}, '([bcdfgjklmnpqrstvwxz])h', '\\1', 'g'), 'bdgvzjqcw', 'ptkfsskkf')"
+    a = f"translate(regexp_replace({w}, '([{text.ASPIRATED}])h', '\\1', 'g'), '{text.ALIKE[0]}', '{text.ALIKE[1]}')"
     b = f"({a}[1] || regexp_replace({a}[2:], '[aeiouy]', '', 'g'))"
-    return f"array_to_string(list_filter(string_split({b}, ''), lambda c, i: i = 1 OR c <> {b}[i - 1]), '')"
+    return f"CASE WHEN regexp_full_match({w}, '[0-9]+') THEN {w} ELSE array_to_string(list_filter(string_split({b}, ''), lambda c, i: i = 1 OR c <> {b}[i - 1]), '') END"
 
 
 DOMAIN = r"(?i)(?:https?://)?(?:www\.)?([a-z0-9][a-z0-9-]*)\.(?:com|net|org|info|biz|io|fr|us|co\.in|in|co)(?:/[^\s]*)?($|[^a-z0-9.])"
-TAGS = r"(?i)\(\s*(?:id|ref|reg|no)(?:[\s.:#-]+(?:no[\s.:#-]*)?)?[0-9][^)]*\)|\(\s*(?:id|ref|reg|no)[.:#-][^)]*\)"
+TAGS = text.ID_TAGS
 
 RECORDS = r"""
 rec AS (

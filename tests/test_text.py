@@ -80,6 +80,39 @@ def test_skeletons(spark):
     assert got[0] == got[1] and got[2] == got[3] and got[4] == "a" and got[5] == ""
 
 
+def test_skeletons_of_numbers_and_sounds(spark):
+    want = {"1100": "1100", "55": "55", "hospitality": "hsptlt", "hospitailiti": "hsptlt", "xerox": "krk", "john": "khn", "jon": "kn", "whale": "vhl", "a11b": "a1p", "wine": "vn", "f" + "bc" * 2000: "p" + "pk" * 2000}
+    want["f" + "bc" * 2000] = "pk" * 2000
+    df = spark.createDataFrame([(w,) for w in want], "x string")
+    assert {r["x"]: r["k"] for r in df.select("x", text.skeleton(F.col("x")).alias("k")).collect()} == want
+
+
+def test_state_inside_a_chunk(spark):
+    rows = [(1, "US", "5 Main St Boston Massachusetts 02101"), (2, "India", "7 MG Road Pune Maharashtra India"), (3, "US", "9 Oregon Trail near New York city"), (4, "France", "1 rue de Texas"), (5, "US", "9 Oregon Trail, CA"), (6, "US", "ste 400 Elm Road, Puerto Rico"), (7, "India", "1 A, Uttaranchal"), (8, "US", "1 " + "2 " * 1500 + "90210")]
+    got = {r["i"]: r["a"] for r in text.normalize_address(spark.createDataFrame(rows, "i int, country string, raw string"), "raw", "country", "a").collect()}
+    assert (got[1]["state"], got[1]["addr"], got[1]["city"]) == ("ma", "5 main street boston ma 02101", "")
+    assert (got[2]["state"], got[2]["addr"]) == ("mh", "7 mg road pune mh india")
+    assert (got[3]["state"], got[3]["addr"]) == ("ny", "9 or trail near ny city") and got[4]["state"] == ""
+    assert (got[5]["state"], got[5]["addr"]) == ("ca", "9 oregon trail ca") and (got[6]["state"], got[6]["addr"]) == ("pr", "400 elm road pr")
+    assert got[7]["state"] == "uk" and got[8]["postal"] == "90210"
+
+
+@pytest.mark.parametrize("raw,core", [("Acme id 123 Works", "acme works"), ("Acme Ref: 77", "acme"), ("Global a k a Local Shop", "global local shop"), ("प्राइम प्राइवेट लिमिटेड", "praaim"), ("Dupont EURL", "dupont"), ("Idea 5 Lab", "idea 5 lab")])
+def test_tags_and_legal_forms(spark, raw, core):
+    assert text.normalize_name(spark.createDataFrame([(raw,)], "raw string"), "raw", "n").first()["n"]["core"] == core
+
+
+@pytest.mark.parametrize("word,latin", [("गणेश, ग", "ganesha, g"), ("মুম্বই", "mumbai"), ("ಕರ್ನಾಟಕ", "karnaatak"), ("ज्ञान", "jnyaan"), ("अंग", "ang"), ("ൻ ൽ ൿ", "n l k"), ("ଓଡ଼ିଶା", "odishaa"), ("कृष्ण", "krishn"), ("॥ ॐ", " "), ("०९", "09")])
+def test_romanisation_by_names(word, latin):
+    assert transliterate(word) == latin
+
+
+def test_older_normalisation(spark):
+    df = spark.createDataFrame([("Acme Inc. & Co", "12 N St, Apt 4"), (None, None), ("Foo, LLC", "ＡＢ Rd")], "business_name string, business_address string")
+    got = [(r["norm_name"], r["norm_name_no_suffix"], r["norm_address"]) for r in text.simple_normalised(df).collect()]
+    assert got == [("acme incorporated and company", "acme and", "12 n street apartment 4"), ("", "", ""), ("foo limited liability company", "foo", "ab road")]
+
+
 def test_older_cleaner(spark):
     df = spark.createDataFrame([("Foo & Bar, Limited Liability Company",), ("Größe GmbH",), (None,)], "x string")
     clean = text.simple_clean("x")
