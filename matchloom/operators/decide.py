@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.stage import staged
+from .folds import complete_join
+
 #: The grid of rules that are tried.
 THRESHOLDS = [round(0.30 + 0.02 * i, 2) for i in range(33)]
 MISS, ALPHA, MIN_P = (0.0, 0.02, 0.05), (0.8, 1.0, 1.2, 1.5, 2.0), (0.05, 0.2, 0.4)
@@ -66,11 +69,11 @@ def f05(tp: Column, n_true: Column, n_pred: Column) -> Column:
 
 
 def macro_f05(counts: DataFrame, selected: DataFrame, by: list[str] = ()) -> DataFrame:
-    """Mean F-0.5 over all entities of ``counts`` (s, n_true); ``selected``: (s, label) of the chosen pairs. One row, or one for each value of ``by`` that selects something."""
+    """Mean F-0.5 over all entities of ``counts`` (s, n_true); ``selected``: (s, label) of the chosen pairs, whose s must be among them. One row, or one for each value of ``by`` that selects something."""
     got = selected.groupBy(*by, "s").agg(F.sum("label").alias("tp"), F.count(F.lit(1)).alias("n_pred"))
     # Entities without a choice need no row for each rule: their sum is that of all, less those with one.
     empty = counts.agg(F.count(F.lit(1)).alias("n"), F.sum(f05(F.lit(0), F.col("n_true"), F.lit(0))).alias("all_empty"))
-    own = got.join(counts, "s").groupBy(*by).agg(F.sum(f05(F.col("tp"), F.col("n_true"), F.col("n_pred"))).alias("f"), F.sum(f05(F.lit(0), F.col("n_true"), F.lit(0))).alias("instead"))
+    own = complete_join(got, counts, ["s"], "n_true").groupBy(*by).agg(F.sum(f05(F.col("tp"), F.col("n_true"), F.col("n_pred"))).alias("f"), F.sum(f05(F.lit(0), F.col("n_true"), F.lit(0))).alias("instead"))
     return own.join(F.broadcast(empty)).select(*by, ((F.col("f") + F.col("all_empty") - F.col("instead")) / F.col("n")).alias("macro_f05"))  # ``empty`` is one row
 
 
@@ -81,21 +84,64 @@ def rules() -> list[dict]:
 
 
 def rule_grid(pairs: DataFrame, counts: DataFrame) -> DataFrame:
-    """(kind, prob, threshold, miss, alpha, min_p, macro_f05) of every rule, over pairs (src, s, t, p1, p2, label): thresholds in one pass over pairs exploded by the thresholds they pass, expected F in one over the pairs of its 45 rules."""
+    """(kind, prob, threshold, miss, alpha, min_p, macro_f05) of every rule that chooses something, over pairs (src, s, t, p1, p2, label).
+
+    The pairs are read once. No rule needs rows of its own: an entity's choice changes only where its sorted pairs pass a threshold, and
+    rules of expected F differ by sums over one order of an entity's pairs, as those above a least p are its first ones.
+    """
     top = Window.partitionBy("src", "t").orderBy(F.desc("p1"), "s")
-    base = pairs.withColumn("__top", F.row_number().over(top) == 1)
-    steps = F.array(*(F.lit(t) for t in THRESHOLDS))
-    none = F.lit(None).cast("double")
-    parts = []
-    for p in ("p1", "p2"):
-        passed = base.select("s", "label", "__top", F.explode(F.filter(steps, lambda t: F.col(p) >= t)).alias("threshold"))
-        for kind, rows in (("threshold", passed), ("threshold_top", passed.where("__top"))):
-            parts.append(macro_f05(counts, rows, ["threshold"]).select(F.lit(kind).alias("kind"), F.lit(p).alias("prob"), "threshold", none.alias("miss"), none.alias("alpha"), none.alias("min_p"), "macro_f05"))
-    grid = F.array(*(F.struct(F.lit(m).alias("miss"), F.lit(a).alias("alpha"), F.lit(x).alias("min_p")) for m in MISS for a in ALPHA for x in MIN_P))
-    tried = pairs.select("src", "s", "t", "label", "p2", F.explode(F.filter(grid, lambda g: F.col("p2") > g["min_p"])).alias("g")).select("src", "s", "t", "label", "p2", "g.*")
-    chosen = expected_f(tried, F.col("miss"), F.col("alpha"), F.col("min_p"), "p2", ["miss", "alpha", "min_p"])
-    parts.append(macro_f05(counts, chosen, ["miss", "alpha", "min_p"]).select(F.lit("expected_f").alias("kind"), F.lit("p2").alias("prob"), none.alias("threshold"), "miss", "alpha", "min_p", "macro_f05"))
-    return reduce(DataFrame.unionByName, parts)
+    ranked = pairs.select("src", "s", "t", "p1", "p2", "label", (F.row_number().over(top) == 1).alias("top"))
+    base = staged(complete_join(ranked, counts, ["s"], "n_true"), "grid")
+    every = counts.agg(F.count(F.lit(1)).alias("n"), F.sum(f05(F.lit(0), F.col("n_true"), F.lit(0))).alias("empty"))  # one row
+    parts = _threshold_gains(base).unionByName(_expected_gains(base))
+    return parts.join(F.broadcast(every)).select("kind", "prob", "threshold", "miss", "alpha", "min_p", ((F.col("empty") + F.col("gain")) / F.col("n")).alias("macro_f05"))
+
+
+def _gain(tp: Column, n_pred: Column) -> Column:
+    """What a choice is worth more than none."""
+    return f05(tp, F.col("n_true"), n_pred) - f05(F.lit(0), F.col("n_true"), F.lit(0))
+
+
+def _threshold_gains(base: DataFrame) -> DataFrame:
+    """For each threshold the sum of gains. An entity's gain holds from the step that its pair passes down to that of its next pair, so it is added at one and taken away at the other."""
+    steps, none = F.array(*(F.lit(t) for t in THRESHOLDS)), F.lit(None).cast("double")
+
+    def variant(kind: str, p: str) -> Column:
+        passed = F.size(F.filter(steps, lambda t: F.col(p) >= t))
+        return F.struct(F.lit(kind).alias("kind"), F.lit(p).alias("prob"), (F.when(F.col("top"), passed).otherwise(0) if kind == "threshold_top" else passed).alias("k"))
+
+    variants = F.array(*(variant(kind, p) for p in ("p1", "p2") for kind in ("threshold", "threshold_top")))
+    each = base.select("s", "n_true", "label", F.explode(F.filter(variants, lambda v: v["k"] > 0)).alias("v")).select("s", "n_true", "label", "v.*")
+    each = each.groupBy("kind", "prob", "s", "n_true", "k").agg(F.sum("label").alias("tp"), F.count(F.lit(1)).alias("n"))
+    down = Window.partitionBy("kind", "prob", "s").orderBy(F.desc("k"))
+    so_far = down.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = each.select("kind", "prob", "k", F.lead("k", 1, 0).over(down).alias("next"), _gain(F.sum("tp").over(so_far), F.sum("n").over(so_far)).alias("gain"))
+    edges = run.select("kind", "prob", F.explode(F.array(F.struct("k", "gain"), F.struct(F.col("next").alias("k"), (-F.col("gain")).alias("gain")))).alias("e"))
+    edges = edges.groupBy("kind", "prob", F.col("e.k").alias("k")).agg(F.sum("e.gain").alias("gain")).where("k > 0")  # a row a threshold at most
+    each = edges.select("kind", "prob", F.explode(F.sequence(F.lit(1), F.col("k"))).alias("k"), "gain").groupBy("kind", "prob", "k").agg(F.sum("gain").alias("gain"))
+    return each.select("kind", "prob", F.element_at(steps, F.col("k")).alias("threshold"), none.alias("miss"), none.alias("alpha"), none.alias("min_p"), "gain")
+
+
+def _expected_gains(base: DataFrame) -> DataFrame:
+    """For each rule of expected F the sum of gains: one order of an entity's pairs, and one shuffle, serve all of them."""
+    every, order = Window.partitionBy("s"), Window.partitionBy("s").orderBy(F.desc("p2"), "src", "t")
+    combos = [(m, x) for m in MISS for x in MIN_P]
+    p = F.col("p2")
+    rows = base.select("s", "n_true", "label", "p2", F.row_number().over(order).alias("j"), F.sum(p).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("cum"),
+        *(c for i, x in enumerate(MIN_P) for c in (F.sum(F.when(p > x, p)).over(every).alias(f"sum{i}"), F.sum(F.when(p > x, F.log1p(-F.least(p, F.lit(1 - 1e-9))))).over(every).alias(f"log{i}"))))
+    value = {c: F.when(p > x, 1.25 * F.col("cum") / (0.25 * F.col(f"sum{MIN_P.index(x)}") / (1 - m) + F.col("j"))) for c, (m, x) in enumerate(combos)}
+    rows = rows.select("*", *(v.alias(f"ef{c}") for c, v in value.items()))
+    rows = rows.select("*", *(F.max(f"ef{c}").over(every).alias(f"best{c}") for c in value))
+    rows = rows.select("*", *(F.min(F.when(F.col(f"ef{c}") >= F.col(f"best{c}") - 1e-12, F.col("j"))).over(every).alias(f"stop{c}") for c in value))
+    of_s = rows.groupBy("s", "n_true").agg(*(a for c in value for a in (F.sum(F.when(F.col("j") <= F.col(f"stop{c}"), F.col("label"))).alias(f"tp{c}"), F.max(f"stop{c}").alias(f"n{c}"), F.max(f"best{c}").alias(f"best{c}"))), *(F.max(f"log{i}").alias(f"log{i}") for i in range(len(MIN_P))))
+    sums, rules_ = [], []
+    for c, (m, x) in enumerate(combos):
+        for a in ALPHA:
+            chosen = F.col(f"best{c}") > a * F.exp(f"log{MIN_P.index(x)}") * (1 - m)
+            rules_.append(F.struct(F.lit(m).alias("miss"), F.lit(a).alias("alpha"), F.lit(x).alias("min_p"), F.col(f"r{len(sums)}").alias("gain")))
+            sums.append(F.sum(F.when(chosen, _gain(F.col(f"tp{c}"), F.col(f"n{c}")))).alias(f"r{len(sums)}"))
+    got = of_s.agg(*sums).select(F.explode(F.filter(F.array(*rules_), lambda r: r["gain"].isNotNull())).alias("r"))
+    return got.select(F.lit("expected_f").alias("kind"), F.lit("p2").alias("prob"), F.lit(None).cast("double").alias("threshold"), "r.miss", "r.alpha", "r.min_p", "r.gain")
 
 
 def half(key: str = "s") -> Column:

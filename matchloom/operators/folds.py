@@ -24,8 +24,23 @@ def fold(key: Column, shares: dict[str, float] = SHARES, salt: str = "") -> Colu
 
 
 def sample(df: DataFrame, key: str, n: int, salt: str = "sample") -> DataFrame:
-    """``n`` rows by the order of their keys' hashes (a sampling operator)."""
-    return df.orderBy(bucket(F.col(key), salt), key).limit(n)
+    """The ``n`` rows whose keys' hashes are lowest (a sampling operator; of equal hashes the smaller key). The hash up to which they reach follows from counts of its leading bits, so only the rows at that border are sorted."""
+    if n <= 0:
+        return df.limit(0)
+    step = 1 << 20
+    by = df.withColumn("__bucket", bucket(F.col(key), salt))
+    counts = sorted((r["b"], r["count"]) for r in by.groupBy(F.floor(F.col("__bucket") / step).alias("b")).count().collect())  # at most 4,096 rows
+    taken, border = 0, None
+    for b, count in counts:
+        if taken + count > n:
+            border = b
+            break
+        taken += count
+    if border is None:
+        return by.drop("__bucket")
+    below = by.where(F.col("__bucket") < border * step)
+    rest = by.where((F.col("__bucket") >= border * step) & (F.col("__bucket") < (border + 1) * step)).orderBy("__bucket", key).limit(n - taken)
+    return below.unionByName(rest).drop("__bucket")
 
 
 def drop_sample(entities: DataFrame, key: str, share: float = 0.19, salt: str = "drop") -> DataFrame:

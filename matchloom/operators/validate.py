@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -68,6 +68,15 @@ def check_subset(matching: DataFrame, candidates: DataFrame) -> DataFrame:
     return finding(both.where(F.size(extra) > 0), "not_a_candidate", "key", "warning")
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(line, value): the lines of a text file, or of a folder's files in order, numbered from 1. A line's number is its place in its block of the file and the counts of the blocks before it, so any number of tasks may read."""
+    read = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("m"))
+    blocks = read.groupBy("file", "at").agg(F.min("m").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("file", "at").rowsBetween(Window.unboundedPreceding, -1)
+    base = blocks.select("file", "at", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))  # one row a block of a file
+    return read.join(F.broadcast(base), ["file", "at"]).select((F.col("base") + F.col("m") - F.col("first") + 1).alias("line"), "value")
+
+
 def _read(spark: SparkSession, path: str, columns: tuple[str, str]) -> tuple[DataFrame | None, list[DataFrame]]:
     from ..sources.io import exists
 
@@ -76,12 +85,12 @@ def _read(spark: SparkSession, path: str, columns: tuple[str, str]) -> tuple[Dat
 
     if not exists(spark, path):
         return None, [one("no_such_file")]
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("line"), "value")
-    first = lines.orderBy("line").head()
+    lines = numbered_lines(spark, path)
+    first = lines.where("line = 1").head()
     if problem := header_problem(first and first["value"], columns):
         return None, [one(problem, first["value"] if first else "")]
     bad = finding(lines.where(~F.is_valid_utf8("value")), "not_utf8", "line")
-    rows = parse_lists(lines.where((F.col("line") != first["line"]) & (F.trim("value") != "")))
+    rows = parse_lists(lines.where((F.col("line") != 1) & (F.trim("value") != "")))
     return rows, [bad]
 
 
