@@ -303,18 +303,23 @@ def _likeness(a: str, b: str) -> int:
     return n
 
 
+def page_key(host: str, hashes: bytes, marks: bytes) -> bytes:
+    """What tells the pages of all hosts apart, but not the copies on one host."""
+    return xxh3_128_digest(host.encode("utf-8", "surrogatepass") + b"\n" + hashes + marks)
+
+
 def _read(batches):
-    """(id, url, host, path, html) -> lines as hashes, marks, and the texts of what is not furniture; ``key`` tells line lists apart."""
-    packer = zstandard.ZstdCompressor(level=3)
+    """(id, url, host, path, html) -> lines as hashes, marks, and the texts of what is not furniture."""
+    packer = zstandard.ZstdCompressor(level=6)
     for b in batches:
         hashes, marks, texts, keys = [], [], [], []
-        for h in b.column("html").to_pylist():
+        for host, h in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), strict=True):
             page = lines(h)
             own = np.array([xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) for t, _ in page], np.uint64).tobytes()
             states = bytes(s for _, s in page)
             hashes.append(own)
             marks.append(states)
-            keys.append(xxh3_128_digest(own + states))
+            keys.append(page_key(host, own, states))
             texts.append(packer.compress("\n".join(t for t, s in page if s != NOISE).encode("utf-8", "surrogatepass")))  # no line holds a line break
         yield pa.RecordBatch.from_arrays([b.column(c) for c in ("id", "url", "host", "path")] + [pa.array(c, pa.binary()) for c in (keys, hashes, marks, texts)], names=["id", "url", "host", "path", "key", "hashes", "marks", "texts"])
 
@@ -330,7 +335,7 @@ def _counted(batches):
         n += b.num_rows
 
 
-_SHARED = pa.schema([("host", pa.string()), ("key", pa.binary()), ("shared", pa.binary())])
+_SHARED = pa.schema([("key", pa.binary()), ("shared", pa.binary())])
 
 
 def _paired(key, table):
@@ -346,7 +351,7 @@ def _paired(key, table):
         gone = next((g for j in beside if (g := _shared(lists[i], list(marks), lists[j])) is not None), set())
         bits = np.zeros(len(lists[i]), bool)
         bits[list(gone)] = True
-        out.append((host, name, np.packbits(bits).tobytes()))
+        out.append((name, np.packbits(bits).tobytes()))
     return pa.Table.from_pydict({n: [r[c] for r in out] for c, n in enumerate(_SHARED.names)}, schema=_SHARED)
 
 
@@ -382,7 +387,7 @@ def extract_text(pages: DataFrame, html: str = "html", url: str = "url", key: st
         F.col(html).alias("html"),
     )
     read = staged(rows.mapInArrow(_read, _READ), "lines")
-    distinct = read.groupBy("host", "key").agg(F.min("path").alias("path"), F.first("hashes").alias("hashes"), F.first("marks").alias("marks"))
+    distinct = read.groupBy("key").agg(F.first("host").alias("host"), F.min("path").alias("path"), F.first("hashes").alias("hashes"), F.first("marks").alias("marks"))
     order = ["host", "path", "key"]
     kinds = "host string, path string, key binary, hashes binary, marks binary, part int"
     sorted_ = distinct.select(*order, "hashes", "marks").repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
@@ -391,8 +396,8 @@ def extract_text(pages: DataFrame, html: str = "html", url: str = "url", key: st
     base = numbered.groupBy("part").count().select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))  # one row a partition
     ranked = numbered.join(F.broadcast(base), "part").withColumn("rank", F.col("base") + F.col("i")).drop("part", "base", "i")
     blocks = F.array_distinct(F.array(*(F.floor((F.col("rank") + d) / BLOCK) for d in (-NEAR, 0, NEAR))))
-    shared = staged(ranked.withColumn("block", F.explode(blocks)).groupBy("block").applyInArrow(_paired, "host string, key binary, shared binary"), "shared")
+    shared = staged(ranked.withColumn("block", F.explode(blocks)).groupBy("block").applyInArrow(_paired, "key binary, shared binary"), "shared")
     dropped(numbered)
-    both = read.select("id", "url", "host", "key", "marks", "texts").join(shared, ["host", "key"], "left")
+    both = read.select("id", "url", "key", "marks", "texts").join(shared, "key", "left")
     got = both.mapInArrow(_written_out, "page_id long, url string, text string, n_lines int, n_shared int, n_vetoed int, n_furniture int")
     return got.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_lines", "n_shared", "n_vetoed", "n_furniture")

@@ -363,7 +363,7 @@ def brute_texts(pages):
         first[k] = min(first.get(k, "/" + path), "/" + path)
     left = {}
     for (host, page), path in first.items():
-        same = sorted((p, html.xxh3_128_digest(b"".join(html.xxh3_64_intdigest(t.encode()).to_bytes(8, "little") for t, _ in q) + bytes(s for _, s in q)), q) for (h, q), p in first.items() if h == host)
+        same = sorted((p, html.page_key(h, b"".join(html.xxh3_64_intdigest(t.encode()).to_bytes(8, "little") for t, _ in q), bytes(s for _, s in q)), q) for (h, q), p in first.items() if h == host)
         at = next(i for i, x in enumerate(same) if x[2] == page)
         near = sorted((i for i in range(len(same)) if 0 < abs(i - at) <= html.NEAR), key=lambda i: (-html._likeness(same[i][0], path), abs(i - at), i))
         texts, states = [t for t, _ in page], [s for _, s in page]
