@@ -54,7 +54,9 @@ def apply_rule(pairs: DataFrame, rule: dict) -> DataFrame:
     else:
         got = threshold(pairs, rule["threshold"], p)
         if rule["kind"] == "threshold_top":
-            got = got.where("p1_t_rank = 0")
+            best = Window.partitionBy("src", "t").orderBy(F.desc("p1"), "s")
+            ranked = pairs if "p1_t_rank" in pairs.columns else pairs.withColumn("p1_t_rank", F.row_number().over(best) - 1)
+            got = threshold(ranked.where("p1_t_rank = 0"), rule["threshold"], p).select(*pairs.columns)
     return exclusive(got, p) if rule.get("exclusive") else got
 
 
@@ -83,6 +85,12 @@ def rules() -> list[dict]:
     return out + [{"prob": "p2", "kind": "expected_f", "miss": m, "alpha": a, "min_p": x} for m in MISS for a in ALPHA for x in MIN_P]
 
 
+def best_rule(grid: DataFrame) -> dict | None:
+    """The rule of a grid that scores best, as ``apply_rule`` takes it; of equal scores the first by kind and parameters."""
+    row = grid.orderBy(F.desc(F.round("macro_f05", 9)), "kind", "prob", "threshold", "miss", "alpha", "min_p").head()
+    return None if row is None else {k: v for k, v in row.asDict().items() if v is not None}
+
+
 def rule_grid(pairs: DataFrame, counts: DataFrame) -> DataFrame:
     """(kind, prob, threshold, miss, alpha, min_p, macro_f05) of every rule that chooses something, over pairs (src, s, t, p1, p2, label).
 

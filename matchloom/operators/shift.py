@@ -48,5 +48,10 @@ def segment(addr_empty: Column, house_eq: Column) -> Column:
 
 def corrected(rows: DataFrame, labelled: DataFrame, by: list[str], p: str = "p", steps: int = 500) -> DataFrame:
     """``rows`` with p_adj: priors from ``labelled``, target priors from the rows, by group; groups that were never labelled keep p."""
-    shift = em_prior(rows, priors(labelled, by), by, p, steps)
+    return corrected_from(rows, priors(labelled, by), by, p, steps)
+
+
+def corrected_from(rows: DataFrame, known: DataFrame, by: list[str], p: str = "p", steps: int = 500) -> DataFrame:
+    """As ``corrected``, from priors (by..., prior) that were kept."""
+    shift = em_prior(rows, known, by, p, steps)
     return rows.join(F.broadcast(shift), by, "left").withColumn("p_adj", F.coalesce(adjust(F.col(p), F.col("prior"), F.col("target")), F.col(p))).drop("prior", "target")  # one row a group

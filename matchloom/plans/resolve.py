@@ -1,4 +1,4 @@
-"""The end-to-end run: normalise, block, describe, score, correct, decide, write, validate. Steps meet in Parquet tables."""
+"""The end-to-end run: normalise, block, describe, train on one split and score another, correct, decide, write, validate. Steps meet in Parquet tables."""
 
 from __future__ import annotations
 
@@ -6,12 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text, tokens
-from ..operators import context, decide, difference, features, folds, models, retrieval, shift, validate
+from ..operators import context, decide, difference, features, folds, models, retrieval, shift, simulate, validate
+from ..operators.evaluation import truth_pairs
 from ..sources import io
 from ..sources.stage import staged
 
-#: The rule for final matches: expected F-0.5 with these parameters, one owner a target.
+#: The rule where none was tuned: expected F-0.5 with these parameters, one owner a target.
 RULE = {"kind": "expected_f", "prob": "p2", "miss": 0.02, "alpha": 1.5, "min_p": 0.4, "exclusive": True}
+#: Share of all records that the simulation drops.
+DROPPED = 0.19
+_PAIR = ["src", "s", "t"]
+_NO_FEATURE = (*models.KEYS, "miss", "extra", "apply_fold")
 
 
 def normalised(records: DataFrame) -> DataFrame:
@@ -39,45 +44,55 @@ def described(candidates: DataFrame, s: DataFrame, t: DataFrame) -> DataFrame:
     return joined.drop(*(c for c in joined.columns if c[:2] in ("a_", "b_")))
 
 
-def score(rows: DataFrame) -> DataFrame:
-    """``rows`` (features, label, fold, miss, extra) with p1 and p2, every probability from models that did not see its row."""
-    skip = (*models.KEYS, "miss", "extra")
-    first = models.feature_columns(rows, skip)
-    p1 = models.score_two(rows, models.fit_two(rows, first))
-    p1 = staged(p1.withColumn("p1", folds.out_of_fold(F.col("fold"), F.col("p_a"), F.col("p_b"))).drop("p_a", "p_b"), "p1")
-    admitted = staged(context.admitted_context(p1), "admitted")
-    keys = ["src", "s", "t"]
-    tabled = admitted.withColumn("apply_fold", difference.apply_fold())
-    for side in ("miss", "extra"):
-        table = difference.cross_fitted(admitted, side)
-        tabled = difference.apply_log_odds(tabled, table, side, keys, side, ["apply_fold"])
-    tabled = staged(tabled, "second")
-    second = models.feature_columns(tabled, (*skip, "apply_fold"))
-    p2 = models.score_two(tabled, models.fit_two(tabled, second, models.STAGE2))
-    return p2.withColumn("p2", folds.out_of_fold(F.col("fold"), F.col("p_a"), F.col("p_b"))).drop("p_a", "p_b", "apply_fold")
-
-
-def run(spark: SparkSession, paths: io.Paths, split: str = "train", truth: str | None = None, output: bool = True) -> DataFrame:
-    """Resolves one split with a truth table; returns the chosen pairs (src, s, t, p2), and writes and validates the lists."""
-    parts = {n: io.materialised(spark, paths.normalised(split, n), lambda n=n: normalised(io.read_tsv(spark, paths.raw(split, n))), "1") for n in (1, 2, 3)}
-    s, t = parts[1], parts[2].withColumn("src", F.lit(2)).unionByName(parts[3].withColumn("src", F.lit(3)))
-    cand = io.materialised(spark, paths.table("candidates", split), lambda: block(s, t), "1")
-    pairs = described(cand, s, t).withColumn("fold", F.coalesce(folds.fold(F.col("s")), F.lit("none")))
-    known = spark.createDataFrame([], "src int, s string, t string")
-    if truth:
-        from ..operators.evaluation import truth_pairs
+class Split:
+    """The tables of one split, each made once and again when its inputs change."""
+
+    def __init__(self, spark: SparkSession, paths: io.Paths, name: str, truth: str | None = None) -> None:
+        self.spark, self.paths, self.name, self.truth = spark, paths, name, truth
+        self.mark = io.fingerprint(spark, *(paths.raw(name, n) for n in (1, 2, 3)))
+        parts = {n: io.materialised(spark, paths.normalised(name, n), lambda n=n: normalised(io.read_tsv(spark, paths.raw(name, n))), io.fingerprint(spark, paths.raw(name, n))) for n in (1, 2, 3)}
+        self.s, self.t = parts[1], parts[2].withColumn("src", F.lit(2)).unionByName(parts[3].withColumn("src", F.lit(3)))
+
+    def candidates(self) -> DataFrame:
+        return io.materialised(self.spark, self.paths.table("candidates", self.name), lambda: block(self.s, self.t), self.mark)
+
+    def known(self) -> DataFrame:
+        """True pairs; none without a truth file."""
+        if not self.truth:
+            return self.spark.createDataFrame([], "src int, s string, t string")
+        return truth_pairs(io.read_tsv(self.spark, self.truth, io.TRUTH))
+
+    def rows(self) -> DataFrame:
+        """Candidates with features, label and fold. Only a split with a truth has folds: elsewhere no model has seen any row."""
+        fold = F.coalesce(folds.fold(F.col("s")), F.lit("none")) if self.truth else F.lit("none")
+        mark = io.fingerprint(self.spark, *([self.truth] if self.truth else []), before=self.mark)
+        return io.materialised(self.spark, self.paths.table("features", self.name), lambda: folds.labelled(described(self.candidates(), self.s, self.t).withColumn("fold", fold), self.known()), mark)
+
+
+def predicted(rows: DataFrame, two: tuple[models.Scorer, models.Scorer], out: str) -> DataFrame:
+    """``rows`` with a probability from models that did not see them."""
+    return models.score_two(rows, two).withColumn(out, folds.out_of_fold(F.col("fold"), F.col("p_a"), F.col("p_b"))).drop("p_a", "p_b")
+
 
-        known = truth_pairs(io.read_tsv(spark, truth, io.TRUTH))
-    rows = io.materialised(spark, paths.table("features", split), lambda: folds.labelled(pairs, known), "1")
-    scored = io.materialised(spark, paths.table("scored", split), lambda: score(rows), "1")
-    chosen = decide.apply_rule(scored, RULE)
-    if output:
-        entities = s.select("entity_id")
-        io.write_lists(io.match_lists(entities, chosen), f"{paths.output}/{split}_matching.tsv")
-        io.write_lists(io.match_lists(entities, cand, "candidate_entity_ids"), f"{paths.output}/{split}_candidates.tsv")
-        found = validate.validate(spark, f"{paths.output}/{split}_matching.tsv", entities, f"{paths.output}/{split}_candidates.tsv", t.select("entity_id"))
-        io.write_json(spark, f"{paths.output}/{split}_findings", {"exit_code": validate.exit_code(found)})
-    return chosen.select("src", "s", "t", "p2")
+def with_log_odds(rows: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+    out = rows.withColumn("apply_fold", difference.apply_fold())
+    for side, table in tables.items():
+        out = difference.apply_log_odds(out, table, side, _PAIR, side, ["apply_fold"])
+    return out
+
+
+def simulated_rows(rows: DataFrame, s: DataFrame, first: tuple[models.Scorer, models.Scorer], share: float = DROPPED) -> DataFrame:
+    """Rows (with p1) as a target split would have them: some records are dropped, so their targets are orphans; what competed with them is described and scored anew."""
+    dropped = staged(folds.drop_sample(s.select(F.col("id").alias("s")), "s", share), "dropped")
+    touched = rows.join(dropped, "s", "left_semi").select("src", "t").distinct()
+    affected = rows.join(touched, ["src", "t"], "left_semi").join(dropped, "s", "left_anti").select("s").distinct()
+    return simulate.simulated(rows, dropped, lambda df: predicted(df.drop("p1"), first, "p1").select(*_PAIR, "p1"), affected)
+
+
+def evaluated(rows: DataFrame, counts: DataFrame, rule: dict) -> float | None:
+    """Macro F-0.5 of a rule over the entities of ``counts``."""
+    row = decide.macro_f05(counts, decide.apply_rule(rows, rule)).head()
+    return row and row["macro_f05"]
 
 
 def with_country(rows: DataFrame, s: DataFrame) -> DataFrame:
@@ -85,9 +100,108 @@ def with_country(rows: DataFrame, s: DataFrame) -> DataFrame:
     return rows.join(s.select(F.col("id").alias("s"), "country"), "s")
 
 
+def _segmented(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("segment", shift.segment(F.col("addr_empty_b"), F.col("house_eq")))
+
+
 def corrected(scored: DataFrame, labelled: DataFrame, by_segment: bool = True) -> DataFrame:
     """Scores of a target split corrected for priors by country and source, or by country and segment."""
-    keys = ["country", "segment" if by_segment else "src"]
     if by_segment:
-        scored, labelled = (d.withColumn("segment", shift.segment(F.col("addr_empty_b"), F.col("house_eq"))) for d in (scored, labelled))
-    return shift.corrected(scored, labelled, keys, "p2")
+        scored, labelled = _segmented(scored), _segmented(labelled)
+    return shift.corrected(scored, labelled, ["country", "segment" if by_segment else "src"], "p2")
+
+
+def train(spark: SparkSession, paths: io.Paths, truth: str, split: str = "train", ablation: bool = False) -> dict:
+    """Fits both stages, the log odds, the rule and the priors on one split, and keeps them under ``work``/models; returns what was measured.
+
+    Stage 2 learns from the simulation, in which some records are missing as they are in a target split. The rule is the best of the grid on fold
+    EVAL of the simulated rows; its honest value comes from two halves of that fold. ``ablation`` also fits stage 2 without the differences.
+    """
+    own = Split(spark, paths, split, truth)
+    rows = own.rows()
+    columns = models.feature_columns(rows, _NO_FEATURE)
+    first = models.fit_two(rows, columns, models.STAGE1)
+    p1 = staged(predicted(rows, first, "p1"), "p1")
+    table = staged(simulated_rows(p1, own.s, first), "simulated")
+    tables = {}
+    for side in ("miss", "extra"):
+        io.write_table(difference.cross_fitted(table, side), paths.table("models", f"log_odds_{side}"))
+        tables[side] = spark.read.parquet(paths.table("models", f"log_odds_{side}"))
+    tabled = staged(with_log_odds(table, tables), "second")
+    second = models.feature_columns(tabled, _NO_FEATURE)
+    last = models.fit_two(tabled, second, models.STAGE2)
+    scored = staged(predicted(tabled, last, "p2"), "p2")
+    for name, scorers in (("stage1", first), ("stage2", last)):
+        for half, scorer in zip("ab", scorers, strict=True):
+            scorer.save(paths.table("models", f"{name}_{half}"))
+    io.write_table(shift.priors(_segmented(with_country(scored, own.s)), ["country", "segment"]), paths.table("models", "priors"))
+    kept = own.s.select(F.col("id").alias("s")).where(folds.fold(F.col("s")) == "EVAL")
+    counts = staged(decide.true_counts(kept, own.known().join(kept, "s", "left_semi")), "counts")
+    held = staged(scored.where("fold = 'EVAL'"), "held")
+    rule = decide.best_rule(decide.rule_grid(held, counts))
+    score = rule and rule.pop("macro_f05")
+    half = decide.honest_half_split(held, counts).head()
+    decision = (rule or {k: v for k, v in RULE.items() if k != "exclusive"}) | {"exclusive": True}
+    measured = {"tuned": score, "honest": half and half["honest"], "exclusive": evaluated(held, counts, decision), "importances": last[0].importances()[:20]}
+    if ablation:
+        plain = [c for c in second if c not in DIFFERENCES]
+        other = staged(predicted(tabled, models.fit_two(tabled, plain, models.STAGE2), "p2").where("fold = 'EVAL'"), "plain")
+        measured["without_differences"] = evaluated(other, counts, decision)
+    io.write_json(spark, paths.table("models", "splits"), {"shares": folds.SHARES, "dropped": DROPPED})
+    io.write_json(spark, paths.table("models", "features"), {"stage1": columns, "stage2": second})
+    io.write_json(spark, paths.table("models", "decision"), decision)
+    io.write_json(spark, paths.table("models", "measured"), measured)
+    return measured
+
+
+#: Features of stage 2 that say how two records differ.
+DIFFERENCES = frozenset("n_miss n_extra miss_frac extra_frac legal_n_a legal_n_b legal_jacc h_digits_eq h_substr h_ndiff h_logdist nums_miss nums_extra miss_lo_min miss_lo_sum extra_lo_min extra_lo_sum".split())
+
+
+def score(spark: SparkSession, paths: io.Paths, split: str, truth: str | None = None, correct: bool = True) -> DataFrame:
+    """A split's admitted pairs with p1, p2 and p_adj, from the models under ``work``. ``truth`` says that the models were fitted on this split, whose rows then take the model that did not see them. Corrected scores take the place of p2 in the rule; a group without a known prior keeps its scores."""
+    own = Split(spark, paths, split, truth)
+    load = lambda name: tuple(models.Scorer.load(spark, paths.table("models", f"{name}_{half}")) for half in "ab")
+    rows = own.rows()
+    mark = io.fingerprint(spark, *(paths.table("models", n) for n in ("stage1_a", "stage1_b", "stage2_a", "stage2_b", "log_odds_miss", "log_odds_extra", "priors")), paths.table("features", split), correct=correct)
+
+    def make() -> DataFrame:
+        p1 = staged(predicted(rows, load("stage1"), "p1"), "p1")
+        admitted = staged(context.admitted_context(p1), "admitted")
+        tabled = staged(with_log_odds(admitted, {side: spark.read.parquet(paths.table("models", f"log_odds_{side}")) for side in ("miss", "extra")}), "second")
+        p2 = staged(_segmented(with_country(predicted(tabled, load("stage2"), "p2"), own.s)), "p2")
+        if not correct:
+            return p2.withColumn("p_adj", F.col("p2"))
+        return shift.corrected_from(p2, spark.read.parquet(paths.table("models", "priors")), ["country", "segment"], "p2")
+
+    return io.materialised(spark, paths.table("scored", split), make, mark)
+
+
+def output(spark: SparkSession, paths: io.Paths, split: str, chosen: DataFrame, matching_only: bool = False, single: bool = False) -> int:
+    """Writes the matches (and, unless ``matching_only``, the candidates) as lists, validates them, and returns the exit code."""
+    own = Split(spark, paths, split)
+    entities, matching, among = own.s.select("entity_id"), f"{paths.output}/{split}_matching.tsv", f"{paths.output}/{split}_candidates.tsv"
+    io.write_lists(io.match_lists(entities, chosen), matching, single)
+    if not matching_only:
+        io.write_lists(io.match_lists(entities, own.candidates(), "candidate_entity_ids"), among, single)
+    found = staged(validate.validate(spark, matching, entities, None if matching_only else among, own.t.select("entity_id")), "findings")
+    code = validate.exit_code(found)
+    io.write_json(spark, f"{paths.output}/{split}_findings", {"exit_code": code, "findings": [r.asDict() for r in found.collect()]})  # at most a row a rule
+    return code
+
+
+def resolve(spark: SparkSession, paths: io.Paths, split: str, truth: str | None = None, correct: bool = True) -> DataFrame:
+    """The chosen pairs (src, s, t, p2) of a split, by the models and the rule that were kept."""
+    scored = score(spark, paths, split, truth, correct)
+    rule = io.read_json(spark, paths.table("models", "decision"))
+    return decide.apply_rule(scored.drop("p2").withColumnRenamed("p_adj", "p2"), rule).select(*_PAIR, "p2")
+
+
+def run(spark: SparkSession, paths: io.Paths, split: str = "train", truth: str | None = None, output_: bool = True, matching_only: bool = False) -> DataFrame:
+    """Resolves a split. With a truth table it trains on that split first, and no row is scored by a model that saw it; without one the models of an earlier training are used."""
+    if truth:
+        train(spark, paths, truth, split)
+    chosen = resolve(spark, paths, split, truth, correct=not truth)
+    if output_:
+        output(spark, paths, split, chosen, matching_only)
+    return chosen

@@ -186,6 +186,59 @@ def test_empty_sides(spark):
     assert [tuple(r) for r in legacy_blocking.candidate_lists(some, spark.createDataFrame([], "s string, t string")).collect()] == [("1", "")]
 
 
+def made_split(folder, split, seed, n, orphans):
+    """TSV files of records with typical noise; the share ``orphans`` of targets belongs to records that are not there. Returns the truth's lines."""
+    r = random.Random(seed)
+    names = ["".join(r.choice("bcdfglmnprst") + r.choice("aeiou") for _ in range(3)) for _ in range(200)]
+    files, truth = {1: [], 2: [], 3: []}, []
+    for i in range(n):
+        name, street = f"{r.choice(names)} {r.choice(names)}", f"{r.randrange(1, 900)} {r.choice(names)} street, {r.choice(names)}, CA {90000 + i}"
+        there = r.random() >= orphans
+        if there:
+            files[1].append(f"S1-{i}\tUS\t{name.title()} Inc\t{street}")
+            truth.append(f"S1-{i}\tS2-{i},S3-{i}")
+        files[2].append(f"S2-{i}\tUS\t{name.upper()} LLC\t{street.replace('street', 'st')}")
+        files[3].append(f"S3-{i}\tUS \tThe {name}\t{'' if i % 9 == 0 else street}")
+    for k, rows in files.items():
+        (folder / f"{split}_source{k}.tsv").write_text("entity_id\tcountry\tbusiness_name\tbusiness_address\n" + "\n".join(rows) + "\n")
+    return truth
+
+
+def test_models_of_one_split_resolve_another(spark, tmp_path, monkeypatch):
+    """Train, keep, load, score a split with more orphans, correct, decide by the tuned rule, write, validate, by the command line too."""
+    from matchloom import __main__ as cli
+
+    (tmp_path / "truth.tsv").write_text(HEAD + "\n".join(made_split(tmp_path, "train", 1, 90, 0.0)) + "\n")
+    want = {(line.split("\t")[0], t) for line in made_split(tmp_path, "test", 2, 80, 0.4) for t in line.split("\t")[1].split(",")}
+    paths = io.Paths(str(tmp_path), str(tmp_path / "work"), str(tmp_path / "out"))
+    small = {"maxIter": 10, "maxDepth": 3, "stepSize": 0.6}  # sharp enough for the priors to be told
+    for settings_ in (models.STAGE1, models.STAGE2):
+        for k in list(settings_):
+            monkeypatch.delitem(settings_, k)
+        for k, v in small.items():
+            monkeypatch.setitem(settings_, k, v)
+    measured = resolve.train(spark, paths, str(tmp_path / "truth.tsv"), ablation=True)
+    assert 0 <= measured["tuned"] <= 1 and 0 <= measured["honest"] <= 1 and 0 <= measured["without_differences"] <= 1
+    rule = io.read_json(spark, paths.table("models", "decision"))
+    assert rule["exclusive"] and rule["kind"] in ("threshold", "threshold_top", "expected_f")
+    assert spark.read.parquet(paths.table("models", "priors")).count() > 0 and spark.read.parquet(paths.table("models", "log_odds_miss")).columns == ["apply_fold", "word", "lo"]
+    assert set(io.read_json(spark, paths.table("models", "features"))) == {"stage1", "stage2"}
+    before = (tmp_path / "work" / "features" / "train.fingerprint").stat().st_mtime
+    chosen = {(r["s"], r["t"]) for r in resolve.resolve(spark, paths, "test").collect()}
+    assert len(chosen & want) / len(chosen) > 0.8 and len(chosen & want) / len(want) > 0.6
+    assert cli.main(["score", "--data", paths.data, "--work", paths.work, "--output", paths.output, "--split", "test", "--matching-only"]) == 0
+    assert not (tmp_path / "out" / "test_candidates.tsv").exists()
+    lists = {(r[0], t) for r in io.read_tsv(spark, f"{paths.output}/test_matching.tsv", io.TRUTH).collect() for t in r[1].split(",") if t}
+    assert lists == chosen
+    checked = ["validate", f"{paths.output}/test_matching.tsv", "--source1", paths.raw("test", 1), "--targets", paths.raw("test", 2), paths.raw("test", 3)]
+    assert cli.main(checked) == 0 and cli.main([*checked[:3], paths.raw("train", 2)]) == 1
+    # Other inputs in the same folders are seen, unchanged ones are not read anew.
+    made_split(tmp_path, "test", 3, 30, 0.4)
+    again = {r["s"] for r in resolve.resolve(spark, paths, "test").collect()}
+    assert again and all(int(s[3:]) < 30 for s in again)
+    assert (tmp_path / "work" / "features" / "train.fingerprint").stat().st_mtime == before
+
+
 def test_end_to_end(spark, tmp_path):
     """TSV files to validated lists: copies of a record with typical noise find each other."""
     r = random.Random(0)
