@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 
 from ..sources.stage import dropped, staged
 
-__all__ = ["cutoff", "dropped", "hash_spans", "mix", "staged", "window_hashes", "word_hashes"]
+__all__ = ["cutoff", "dropped", "hash_spans", "mix", "short", "staged", "window_hashes", "word_hashes"]
+
+
+def short(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Batches in parts of at most so many rows: Spark bounds a batch by bytes, this what a worker makes of it at a time."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
 
 
 def cutoff(n: int, wanted: int) -> int:

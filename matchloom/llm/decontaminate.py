@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import hash_spans, staged, window_hashes
+from ._util import hash_spans, short, staged, window_hashes
 
 WORDS, SIMILARITY = 5, 0.8
 #: Most benchmark windows that are broadcast: 48 bytes each.
@@ -278,7 +278,7 @@ def _slots(kind: np.ndarray, value: np.ndarray, at: int, reading: int = 0) -> li
 
 def _emit(batches):
     """(k, d, t) -> all template windows: for a benchmark, and for documents where the benchmark is too large to share."""
-    for b in batches:
+    for b in short(batches):
         for i, t in enumerate(b.column("t").to_pylist()):
             h, at, reading, kind, value = windows(t)
             n = len(at)
@@ -303,7 +303,7 @@ def _local(shared, similarity: float):
         h, item, place, slots, firm, total, keys = shared.value
         sieve = np.zeros(1 << 20, bool)
         sieve[h >> np.uint64(44)] = True
-        for b in batches:
+        for b in short(batches):
             out = []
             for k, t in zip(b.column("k").to_pylist(), b.column("t").to_pylist(), strict=True):
                 own, at, reading, kind, value = windows(t)

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
-from ._util import dropped, staged
+from ._util import dropped, short, staged
 
 #: Elements by what they are in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -311,7 +311,7 @@ def page_key(host: str, hashes: bytes, marks: bytes) -> bytes:
 def _read(batches):
     """(id, url, host, path, html) -> lines as hashes, marks, and the texts of what is not furniture."""
     packer = zstandard.ZstdCompressor(level=6)
-    for b in batches:
+    for b in short(batches):
         hashes, marks, texts, keys = [], [], [], []
         for host, h in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), strict=True):
             page = lines(h)
@@ -361,7 +361,7 @@ _TEXT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.st
 def _written_out(batches):
     """Marks, shared lines and texts -> the text that is left, and how many lines there were, a pair shared, marks kept though shared, marks deleted though not shared."""
     unpacker = zstandard.ZstdDecompressor()
-    for b in batches:
+    for b in short(batches):
         text, counts = [], []
         for marks, bits, blob in zip(*(b.column(c).to_pylist() for c in ("marks", "shared", "texts")), strict=True):
             states = list(marks)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._util import cutoff
+from ._util import cutoff, short
 
 BUCKETS = 1 << 14
 UND = "und"
@@ -175,7 +175,7 @@ def fit_language_id(df: DataFrame, text: str = "text", lang: str = "lang", key:
     chosen = rows.where(F.col("y").isin(list(top))).join(F.broadcast(keys), "k")
 
     def count(batches):
-        for b in batches:
+        for b in short(batches):
             h, y, t = (b.column(n).to_pylist() for n in ("h", "y", "t"))
             got = [(i, x) for i, s in enumerate(t) if (x := counts(s)) is not None]
             yield pa.RecordBatch.from_pydict({"h": [h[i] for i, _ in got], "y": [y[i] for i, _ in got], "at": pa.array([x[0] for _, x in got], pa.list_(pa.int32())), "n": pa.array([x[1] for _, x in got], pa.list_(pa.int32()))}, schema=_COUNTED)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._util import dropped, mix, staged, window_hashes, word_hashes
+from ._util import dropped, mix, short, staged, window_hashes, word_hashes
 from .components import components
 
 SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.9995
@@ -88,7 +88,7 @@ def _signed(bands: int, rows: int):
     """(k, t) -> (k, x, y: marks of the set, size, bands); texts without a word give nothing."""
 
     def run(batches):
-        for b in batches:
+        for b in short(batches):
             marks, sig, size, keep = [], [], [], []
             for i, t in enumerate(b.column("t").to_pylist()):
                 s = shingles(t)
@@ -108,7 +108,7 @@ _SIGNED = "k long, x long, y long, size long, bands array<long>"
 
 def _exploded(batches):
     """(k, t) -> (k, g, x, y): each shingle with its marks."""
-    for b in batches:
+    for b in short(batches):
         for i, t in enumerate(b.column("t").to_pylist()):
             s = shingles(t)
             if len(s):
@@ -120,7 +120,7 @@ def _lowest(n: int):
     """(k, t) -> (k, low): the minima of each row."""
 
     def run(batches):
-        for b in batches:
+        for b in short(batches):
             low = [minima(shingles(t), n).astype(np.int64) for t in b.column("t").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("k"), pa.array(low, pa.list_(pa.int64()))], names=["k", "low"])
 
@@ -142,7 +142,7 @@ def _merged(rows_: DataFrame, grams: DataFrame, bands: int, rows: int) -> DataFr
 
 def _packed(batches):
     """(k, ..., t) -> the same with the sorted shingle hashes of the text in place of it."""
-    for b in batches:
+    for b in short(batches):
         s = pa.array([shingles(t).tobytes() for t in b.column("t").to_pylist()], pa.binary())
         yield pa.RecordBatch.from_arrays([*(b.column(n) for n in b.schema.names if n != "t"), s], names=[*(n for n in b.schema.names if n != "t"), "s"])
 

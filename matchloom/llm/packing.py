@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._util import staged
+from ._util import short, staged
 
 SEQUENCE, END = 2048, 1
 TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
@@ -118,7 +118,7 @@ def pieces(docs: DataFrame, tokenizer: str, ranks: str, text: str = "text", key:
 
     def cut(batches):
         rows = 0
-        for b in batches:
+        for b in short(batches):
             doc, start, length, crc, total = [], [], [], [], []
             for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 ids = token_ids(t or "", tokenizer, ranks, end)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import cutoff
+from ._util import cutoff, short
 
 #: Bound of the training sample: the labelled rows whose key hashes lowest.
 TRAIN_ROWS = 12_000
@@ -127,7 +127,7 @@ _STATS = pa.schema([("h", pa.int64()), ("y", pa.int32()), ("x", pa.list_(pa.floa
 
 
 def _stats(batches):
-    for b in batches:
+    for b in short(batches):
         yield pa.RecordBatch.from_pydict({"h": b.column("h"), "y": b.column("y"), "x": pa.array([statistics(t) for t in b.column("t").to_pylist()], pa.list_(pa.float32()))}, schema=_STATS)
 
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import dropped, staged, window_hashes, word_hashes
+from ._util import dropped, short, staged, window_hashes, word_hashes
 
 #: Words of a window, and of the shortest level.
 WINDOW, SHORTEST = 13, 7
@@ -76,7 +76,7 @@ def _rows(emit: Callable[[dict], tuple[np.ndarray, ...] | None], names: list[str
     """A function over batches: what ``emit`` says of each row (hashes, then places), with the row's k and d."""
 
     def run(batches):
-        for b in batches:
+        for b in short(batches):
             parts, row = [], []
             columns = {n: (b.column(n).cast(pa.binary()).to_pylist() if n == "t" else b.column(n)) for n in b.schema.names if n not in ("k", "d")}
             for i in range(b.num_rows):
@@ -199,7 +199,7 @@ def _cut(length: int, all_words: bool):
     """(k, d, t, starts) -> what is left of the text."""
 
     def run(batches):
-        for b in batches:
+        for b in short(batches):
             n, cut, sha = [], [], []
             lists = [None] * b.num_rows if all_words else b.column("starts")
             for t, s in zip(b.column("t").cast(pa.binary()).to_pylist(), lists, strict=True):
