@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import words
+from ..sources.stage import staged
 
 PREFIXES, PREFIX_CAP, NAME_CAP, ADDRESS_CAP = (3, 4, 5), 500, 200, 300
 
@@ -67,11 +68,18 @@ def tfidf_neighbours(s: DataFrame, t: DataFrame, column: str, k: int = 10, dista
     w = tf.join(df, ["country", "g"]).withColumn("w", F.col("tf") * F.col("idf"))
     norm = w.groupBy("side", "entity_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     w = w.join(norm, ["side", "entity_id"]).withColumn("w", F.col("w") / F.col("norm"))
-    a = w.where("side = 0").select("country", "g", F.col("entity_id").alias("s"), F.col("w").alias("ws"))
+    least = 1 - distance
+    # A pair within reach shares an n-gram outside the common tail of s: the n-grams of s that come last, commonest ones, whose lengths together stay
+    # below the least score, can't make it alone. So only the others are looked up; what they find is then scored over all n-grams.
+    rarest = Window.partitionBy("side", "entity_id").orderBy(F.desc("df"), "g").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    w = staged(w.select("side", "country", "entity_id", "g", "w", F.sqrt(F.sum(F.col("w") * F.col("w")).over(rarest)).alias("tail")), "ngrams")
+    a = w.where("side = 0").select("country", "g", F.col("entity_id").alias("s"), F.col("w").alias("ws"), "tail")
     b = w.where("side = 1").select("country", "g", F.col("entity_id").alias("t"), F.col("w").alias("wt"))
-    scores = a.join(b, ["country", "g"]).groupBy("s", "t").agg(F.round(F.sum(F.col("ws") * F.col("wt")), 9).alias("score"))
+    pairs = staged(a.where(F.col("tail") >= least - 1e-9).join(b, ["country", "g"]).select("country", "s", "t").distinct(), "near")
+    whole = pairs.join(a.drop("tail"), ["country", "s"]).join(b, ["country", "t", "g"])
+    scores = whole.groupBy("s", "t").agg(F.round(F.sum(F.col("ws") * F.col("wt")), 9).alias("score"))
     best = Window.partitionBy("s").orderBy(F.desc("score"), "t")
-    return scores.where(F.col("score") > 1 - distance).withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).select("s", "t")
+    return scores.where(F.col("score") > least).withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).select("s", "t")
 
 
 def all_blocks(s: DataFrame, t: DataFrame, neighbours: bool = True) -> DataFrame:

@@ -49,23 +49,21 @@ def _products(p: Postings) -> DataFrame:
 
 
 def forward(p: Postings) -> DataFrame:
-    """(src, s, t, hit): the best targets of each s by name, by address and by all channels."""
+    """(src, s, t, hit): the best targets of each s by name, by address and by all channels. Products are dealt by (src, s), so that sums and all three rankings need no other shuffle."""
     lean = Postings(p.s, p.t.where(F.col("df_t") <= weights.cap(F.col("n_t"))))
-    w = F.col("ws") * F.col("wt")
-    scores = _products(lean).groupBy("src", "s", "t").agg(*(_round(F.sum(F.when(F.col("channel").isin(*c), w))).alias(n) for n, c in (("name", NAME), ("addr", ADDRESS), ("comb", tuple(WEIGHTS)))))
-    scores = staged(scores, "scores")
-    out = None
-    for search, k in TOP.items():
-        best = Window.partitionBy("src", "s").orderBy(F.desc(search), "t")
-        hits = scores.where(F.col(search) > FORWARD).withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).select("src", "s", "t", F.lit(HIT[search]).alias("hit"))
-        out = hits if out is None else out.unionByName(hits)
-    return out
+    products = _products(lean).select("src", "s", "t", "channel", (F.col("ws") * F.col("wt")).alias("w")).repartition("src", "s")
+    sums = (_round(F.sum(F.when(F.col("channel").isin(*c), F.col("w")))).alias(n) for n, c in (("name", NAME), ("addr", ADDRESS), ("comb", tuple(WEIGHTS))))
+    scores = products.groupBy("src", "s", "t").agg(*sums)
+    ranked = scores.select("*", *(F.row_number().over(Window.partitionBy("src", "s").orderBy(F.desc(search), "t")).alias(f"r_{search}") for search in TOP))
+    found = F.array(*(F.when((F.col(search) > FORWARD) & (F.col(f"r_{search}") <= k), F.lit(HIT[search])) for search, k in TOP.items()))
+    return ranked.select("src", "s", "t", F.explode(F.array_compact(found)).alias("hit"))
 
 
 def reverse(p: Postings, top: int = REVERSE_TOP, keep: int = REVERSE_KEEP) -> DataFrame:
     """(src, s, t, rrank): the s records that each target finds, best first."""
     lean = Postings(p.s.where(F.col("df_s") <= weights.cap(F.col("n_s"))), p.t)
-    scores = _products(lean).groupBy("src", "s", "t").agg(_round(F.sum(F.col("ws") * F.col("wt"))).alias("score"))
+    products = _products(lean).select("src", "s", "t", (F.col("ws") * F.col("wt")).alias("w")).repartition("src", "t")
+    scores = products.groupBy("src", "s", "t").agg(_round(F.sum("w")).alias("score"))
     best = Window.partitionBy("src", "t").orderBy(F.desc("score"), "s")
     return scores.where(F.col("score") > REVERSE).withColumn("r", F.row_number().over(best)).where(F.col("r") <= min(top, keep)).select("src", "s", "t", (F.col("r") - 1).alias("rrank"))
 
