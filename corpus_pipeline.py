@@ -13,8 +13,9 @@ from matchloom.llm import decontaminate, language, neardup, packing, pii
 from matchloom.llm._util import dropped, staged
 from matchloom.llm.queries import table, tokenizer_paths
 
-#: A document whose most likely language is less likely than this is rejected, as is one without a letter.
-LEAST_LANGUAGE_SCORE = 0.4
+#: A document is rejected if its most likely language is not this many times as likely as chance (1 / number of languages), or if it has no letter. Scores are
+#: calibrated, so a short text in one language can lie well below 1, and stays.
+OVER_CHANCE = 1.2
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +25,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     while out in docs.columns:
         out += "_"
     got = language.predict_language(docs, model, out=out)
-    sure = (F.col(out)["lang"] != language.UND) & (F.col(out)["score"] >= LEAST_LANGUAGE_SCORE)
+    sure = (F.col(out)["lang"] != language.UND) & (F.col(out)["score"] * len(model.languages) >= (OVER_CHANCE if len(model.languages) > 1 else 1))
     return got.where(sure).select(*docs.columns)
 
 
