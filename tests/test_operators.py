@@ -42,6 +42,70 @@ def test_ratios(a, b):
         assert f(a, a) == 1.0
 
 
+def plain_ratio(a, b):
+    return 2 * lcs(a, b) / (len(a) + len(b)) if a + b else 1.0
+
+
+def plain_stretch(a, b):
+    """The shorter string against each window of the longer, at the ends shorter windows too."""
+    out = []
+    for x, y in ((a, b), (b, a)):
+        if len(x) <= len(y):
+            windows = {y[i:j] for i in range(len(y) + 1) for j in range(i + 1, len(y) + 1) if j - i == len(x) or j - i < len(x) and (i == 0 or j == len(y))}
+            out += [plain_ratio(x, w) for w in windows] if x else [float(not y)]
+    return max(out)
+
+
+def plain_kernels(a, b):
+    """Each kernel from its definition, on sorted words and sets of words."""
+    x, y = sorted(a.split()), sorted(b.split())
+    both, only_x, only_y = (" ".join(sorted(s)) for s in (set(x) & set(y), set(x) - set(y), set(y) - set(x)))
+    joined = [" ".join(filter(None, (both, s))) for s in (only_x, only_y)]
+    out = {"ratio": plain_ratio(a, b), "partial": plain_stretch(a, b), "tsort": plain_ratio(" ".join(x), " ".join(y)), "ptset": 1.0 if both else plain_stretch(only_x, only_y)}
+    out["tset"] = float(not x and not y) if not x or not y else 1.0 if both and not (only_x and only_y) else max([plain_ratio(*joined), *(plain_ratio(both, j) for j in joined if both)])
+    if not a or not b:
+        out["wratio"] = float(a == b)
+    else:
+        far = max(len(a), len(b)) / min(len(a), len(b))
+        scale = 0.9 if far < 8 else 0.6
+        out["wratio"] = max(out["ratio"], 0.95 * out["tsort"], 0.95 * out["tset"]) if far < 1.5 else max(out["ratio"], scale * out["partial"], 0.95 * scale * max(plain_stretch(" ".join(x), " ".join(y)), out["ptset"]))
+    return out
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["ab", "b", "abc", "ca", "acb", "bb"]), max_size=4).map(" ".join), st.lists(st.sampled_from(["ab", "b", "abc", "ca", "cab", "bb"]), max_size=4).map(" ".join))
+def test_kernels_follow_their_definitions(a, b):
+    want = plain_kernels(a, b)
+    assert {k: sim.KERNELS[k](a, b) for k in want} == pytest.approx(want)
+
+
+def test_string_features_by_brute_force(spark):
+    """The 21 string features of random pairs of records, from the definitions of fields and kernels."""
+    from matchloom.operators import features
+
+    r = random.Random(3)
+    words = ["acme", "blue", "store", "stores", "main", "12", "7", "street", "x"]
+    fields = ("name_core", "name_full", "name_dba", "name_skel", "addr", "nums", "city", "state", "postal", "house")
+    sides = [[{f: " ".join(r.choices(words, k=r.randrange(4))) for f in fields} | {"is_domain": False, "name_indic": False} for _ in range(60)] for _ in "ab"]
+    rows = [{"i": i} | {f"a_{k}": v for k, v in a.items()} | {f"b_{k}": v for k, v in b.items()} for i, (a, b) in enumerate(zip(*sides))]
+    got = {g["i"]: g for g in features.pair_features(spark.createDataFrame(rows)).collect()}
+    for i, (a, b) in enumerate(zip(*sides)):
+        run = lambda kernel, x, y: (sim.jaro_winkler(x, y) if kernel == "jw" else plain_kernels(x, y)[kernel])
+        address = lambda kernel, f: run(kernel, a[f], b[f]) if b["addr"] else None
+        name = {k: run(k, a["name_core"], b["name_core"]) for k in ("ratio", "partial", "tset", "tsort", "jw", "wratio")}
+        packed = [s["name_core"].replace(" ", "") for s in (a, b)]
+        first = [(s["name_core"].split() or [""])[0] for s in (a, b)]
+        dba = [x for x in (run("tset", a["name_dba"], b["name_core"]) if a["name_dba"] else None, run("tset", a["name_core"], b["name_dba"]) if b["name_dba"] else None) if x is not None]
+        want = {f"name_{k}": v for k, v in name.items()} | {
+            "namecat_ratio": run("ratio", *packed), "namecat_partial": run("partial", *packed), "skel_ratio": run("ratio", a["name_skel"], b["name_skel"]), "skel_tset": run("tset", a["name_skel"], b["name_skel"]),
+            "namefull_tset": run("tset", a["name_full"], b["name_full"]), "first_tok_jw": run("jw", *first), "dba_tset": max(dba) if dba else None,
+            "addr_ratio": address("ratio", "addr"), "addr_tset": address("tset", "addr"), "addr_tsort": address("tsort", "addr"), "addr_partial": address("ptset", "addr"),
+            "nums_tset": address("tset", "nums"), "nums_tsort": address("tsort", "nums"), "city_jw": run("jw", a["city"], b["city"]) if a["city"] and b["city"] else None,
+        }
+        want["name_x_addr"] = name["tset"] * (0.5 if want["addr_tset"] is None else want["addr_tset"])
+        assert len(want) == 21 and {k: got[i][k] for k in want} == pytest.approx(want, nan_ok=True)
+
+
 def test_published_examples():
     assert sim.jaro_winkler("martha", "marhta") == pytest.approx(0.9611, abs=1e-4)
     assert sim.jaro_winkler("dixon", "dicksonx") == pytest.approx(0.8133, abs=1e-4)
