@@ -9,7 +9,9 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_CLEANUP, _ARROW = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Bytes of an Arrow batch that a write sends to a Python worker, or one row if that is longer.
+ARROW_BYTES = str(4 << 20)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,7 +43,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back: cuts the lineage. The write's shuffle files go when it ends; the table goes with ``dropped``, or when the session's JVM ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/matchloom-{name}-{uuid.uuid4().hex}"
-    with option(spark, _CLEANUP, "true"):
+    with option(spark, _CLEANUP, "true"), option(spark, _ARROW, ARROW_BYTES):
         df.write.option("compression", "zstd").parquet(path)
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
