@@ -9,7 +9,7 @@ import pyarrow as pa
 
 from ..sources.stage import dropped, staged
 
-__all__ = ["cutoff", "dropped", "hash_spans", "mix", "short", "staged", "window_hashes", "word_hashes"]
+__all__ = ["cutoff", "dropped", "each", "hash_spans", "mix", "short", "staged", "window_hashes", "word_hashes"]
 
 
 def short(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
@@ -19,6 +19,12 @@ def short(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Rec
             yield b.slice(i, rows)
 
 
+def each(column: pa.Array, rows: int = 512) -> Iterator:
+    """The values of a column, of which no more than so many are Python objects at a time."""
+    for i in range(0, len(column), rows):
+        yield from column.slice(i, rows).to_pylist()
+
+
 def cutoff(n: int, wanted: int) -> int:
     """The 64-bit hash up to which some 2 * ``wanted`` + 1000 of ``n`` rows have theirs. A sample of the lowest hashes need look no higher, so that what is sorted for it doesn't grow with the data."""
     share = (2 * wanted + 1000) / max(n, 1)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._util import cutoff, short
+from ._util import cutoff, each, short
 
 BUCKETS = 1 << 14
 UND = "und"
@@ -194,7 +194,7 @@ def predict_language(df: DataFrame, model: LanguageModel, text: str = "text", ou
 
     @F.arrow_udf("struct<lang:string,score:double>")
     def predict(t: pa.Array) -> pa.Array:
-        got = [shared.value.predict(s) for s in t.to_pylist()]
+        got = [shared.value.predict(s) for s in each(t)]
         return pa.StructArray.from_arrays([pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], ["lang", "score"])
 
     return df.withColumn(out, predict(F.col(text)))

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._util import each
 
 #: Kinds in the order in which spans are listed; the first four are the base kinds.
 BASE = ("email", "ip", "card", "phone")
@@ -211,12 +212,12 @@ _TYPE = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.Struc
 
 @F.arrow_udf(_TYPE)
 def _scan_column(text: pa.Array) -> pa.Array:
-    return pa.array([[dict(zip(("kind", "start", "end", "score"), s, strict=True)) for s in scan(t)] for t in text.to_pylist()], _SPANS)
+    return pa.array([[dict(zip(("kind", "start", "end", "score"), s, strict=True)) for s in scan(t)] for t in each(text)], _SPANS)
 
 
 @F.arrow_udf(T.StringType())
 def _redact_column(text: pa.Array) -> pa.Array:
-    return pa.array([redact(t) for t in text.to_pylist()], pa.string())
+    return pa.array((redact(t) for t in each(text)), pa.string(), size=len(text))
 
 
 def find_pii(df: DataFrame, text: str = "text", spans: str = "pii") -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import cutoff, short
+from ._util import cutoff, each, short
 
 #: Bound of the training sample: the labelled rows whose key hashes lowest.
 TRAIN_ROWS = 12_000
@@ -147,7 +147,7 @@ def score_quality(df: DataFrame, trees: Trees, text: str = "text", out: str = "s
 
     @F.arrow_udf("double")
     def score(t: pa.Array) -> pa.Array:
-        x = np.array([statistics(s) for s in t.to_pylist()], np.float32).reshape(-1, N_FEATURES)
+        x = np.array([statistics(s) for s in each(t)], np.float32).reshape(-1, N_FEATURES)
         return pa.array(shared.value.predict(x), pa.float64())
 
     return df.withColumn(out, score(F.col(text)))

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._util import each
 from .pii import joined, of_kinds
 
 BASE = ("assign", "access", "hex")
@@ -126,7 +127,7 @@ _TYPE = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.Struc
 
 @F.arrow_udf(_TYPE)
 def _scan_column(text: pa.Array) -> pa.Array:
-    return pa.array([[{"kind": k, "start": a, "end": b} for k, a, b in scan(t)] for t in text.to_pylist()], _SPANS)
+    return pa.array([[{"kind": k, "start": a, "end": b} for k, a, b in scan(t)] for t in each(text)], _SPANS)
 
 
 def find_secrets(df: DataFrame, text: str = "text", spans: str = "secrets") -> DataFrame:
