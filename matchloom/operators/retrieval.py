@@ -48,24 +48,36 @@ def _products(p: Postings) -> DataFrame:
     return p.s.select(*POST, F.col("id").alias("s"), F.col("w").alias("ws"), "df_s", "n_s").join(p.t.select(*POST, F.col("id").alias("t"), F.col("w").alias("wt"), "df_t", "n_t"), POST)
 
 
-def forward(p: Postings) -> DataFrame:
-    """(src, s, t, hit): the best targets of each s by name, by address and by all channels. Products are dealt by (src, s), so that sums and all three rankings need no other shuffle."""
-    lean = Postings(p.s, p.t.where(F.col("df_t") <= weights.cap(F.col("n_t"))))
-    products = _products(lean).select("src", "s", "t", "channel", (F.col("ws") * F.col("wt")).alias("w")).repartition("src", "s")
-    sums = (_round(F.sum(F.when(F.col("channel").isin(*c), F.col("w")))).alias(n) for n, c in (("name", NAME), ("addr", ADDRESS), ("comb", tuple(WEIGHTS))))
-    scores = products.groupBy("src", "s", "t").agg(*sums)
-    ranked = scores.select("*", *(F.row_number().over(Window.partitionBy("src", "s").orderBy(F.desc(search), "t")).alias(f"r_{search}") for search in TOP))
+def scores(p: Postings, searches: tuple[str, ...] = (*TOP, "reverse")) -> DataFrame:
+    """(src, s, t, and a score for each search): sums of products under the cap of the side that is looked up, null where there are none. One join serves all searches; products are dealt by (src, s), so that sums and the rankings of s need no other shuffle."""
+    of = {"name": NAME, "addr": ADDRESS}
+    ahead, back = F.col("df_t") <= weights.cap(F.col("n_t")), F.col("df_s") <= weights.cap(F.col("n_s"))
+    if "reverse" not in searches:
+        p = Postings(p.s, p.t.where(ahead))
+    elif len(searches) == 1:
+        p = Postings(p.s.where(back), p.t)
+    products = _products(p).select("src", "s", "t", "channel", (F.col("ws") * F.col("wt")).alias("w"), ahead.alias("ahead"), back.alias("back")).where("ahead or back")
+    sums = (_round(F.sum(F.when(F.col("back") if n == "reverse" else F.col("ahead") & F.col("channel").isin(*of.get(n, tuple(WEIGHTS))), F.col("w")))).alias(n) for n in searches)
+    return products.repartition("src", "t" if searches == ("reverse",) else "s").groupBy("src", "s", "t").agg(*sums)
+
+
+def forward(scored: DataFrame) -> DataFrame:
+    """(src, s, t, hit): the best targets of each s by name, by address and by all channels."""
+    ranked = scored.select("src", "s", "t", *TOP, *(F.row_number().over(Window.partitionBy("src", "s").orderBy(F.desc(search), "t")).alias(f"r_{search}") for search in TOP))
     found = F.array(*(F.when((F.col(search) > FORWARD) & (F.col(f"r_{search}") <= k), F.lit(HIT[search])) for search, k in TOP.items()))
     return ranked.select("src", "s", "t", F.explode(F.array_compact(found)).alias("hit"))
 
 
-def reverse(p: Postings, top: int = REVERSE_TOP, keep: int = REVERSE_KEEP) -> DataFrame:
+def reverse(scored: DataFrame, top: int = REVERSE_TOP, keep: int = REVERSE_KEEP) -> DataFrame:
     """(src, s, t, rrank): the s records that each target finds, best first."""
-    lean = Postings(p.s.where(F.col("df_s") <= weights.cap(F.col("n_s"))), p.t)
-    products = _products(lean).select("src", "s", "t", (F.col("ws") * F.col("wt")).alias("w")).repartition("src", "t")
-    scores = products.groupBy("src", "s", "t").agg(_round(F.sum("w")).alias("score"))
-    best = Window.partitionBy("src", "t").orderBy(F.desc("score"), "s")
-    return scores.where(F.col("score") > REVERSE).withColumn("r", F.row_number().over(best)).where(F.col("r") <= min(top, keep)).select("src", "s", "t", (F.col("r") - 1).alias("rrank"))
+    best = Window.partitionBy("src", "t").orderBy(F.desc("reverse"), "s")
+    return scored.where(F.col("reverse") > REVERSE).withColumn("r", F.row_number().over(best)).where(F.col("r") <= min(top, keep)).select("src", "s", "t", (F.col("r") - 1).alias("rrank"))
+
+
+def searched(p: Postings) -> DataFrame:
+    """The union of both searches."""
+    found = staged(scores(p), "scores")
+    return merged(forward(found), reverse(found))
 
 
 def merged(fwd: DataFrame, rev: DataFrame) -> DataFrame:
@@ -104,4 +116,4 @@ def prune(scored: DataFrame) -> DataFrame:
 
 
 def candidates(p: Postings) -> DataFrame:
-    return prune(cosines(staged(merged(forward(p), reverse(p)), "pairs"), p))
+    return prune(cosines(staged(searched(p), "pairs"), p))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.tokens import WEIGHTS
@@ -29,9 +29,9 @@ def idf(df: DataFrame, sizes: DataFrame) -> DataFrame:
 
 def weighted(tokens: DataFrame, idfs: DataFrame) -> DataFrame:
     """Postings of one side: w = channel weight x idf / length of the record's channel vector. The length counts every token, capped or not."""
-    got = tokens.join(idfs, POST)
-    norms = got.groupBy(*PART, "id", "channel").agg(F.sqrt(F.sum(F.col("idf") * F.col("idf"))).alias("norm"))
-    return got.join(norms, [*PART, "id", "channel"]).withColumn("w", channel_weight(F.col("channel")) * F.col("idf") / F.col("norm"))
+    own = Window.partitionBy(*PART, "id", "channel")
+    norm = F.sqrt(F.sum(F.col("idf") * F.col("idf")).over(own))
+    return tokens.join(idfs, POST).withColumn("w", channel_weight(F.col("channel")) * F.col("idf") / norm)
 
 
 def cap(side: Column) -> Column:

@@ -178,12 +178,12 @@ def er_postings(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {S.FORWARD} SELECT src, s, t, CAST(hit AS BIGINT) AS hit FROM fwd")
 def er_forward(spark: SparkSession, sf: str) -> DataFrame:
-    return retrieval.forward(views.postings(spark, sf)).withColumn("hit", F.col("hit").cast("long"))
+    return retrieval.forward(retrieval.scores(views.postings(spark, sf), tuple(retrieval.TOP))).withColumn("hit", F.col("hit").cast("long"))
 
 
 @query(f"WITH {S.POSTINGS},{S.REVERSE} SELECT src, s, t, CAST(rrank AS BIGINT) AS rrank FROM rev")
 def er_reverse(spark: SparkSession, sf: str) -> DataFrame:
-    return retrieval.reverse(views.postings(spark, sf)).withColumn("rrank", F.col("rrank").cast("long"))
+    return retrieval.reverse(retrieval.scores(views.postings(spark, sf), ("reverse",))).withColumn("rrank", F.col("rrank").cast("long"))
 
 
 _CAND = {"src": "l", "s": "p", "t": "p", "hit": "l", "rrank": "l"} | {f"cos_{c}": "d" for c in WEIGHTS} | {"score": "d"}
@@ -192,7 +192,7 @@ _CAND = {"src": "l", "s": "p", "t": "p", "hit": "l", "rrank": "l"} | {f"cos_{c}"
 @query(f"WITH {S.CANDIDATES} {cast_sql(_CAND, 'cs')}")
 def er_cosines(spark: SparkSession, sf: str) -> DataFrame:
     p = views.postings(spark, sf)
-    return result(retrieval.cosines(staged(retrieval.merged(retrieval.forward(p), retrieval.reverse(p)), "pairs"), p))
+    return result(retrieval.cosines(staged(retrieval.searched(p), "pairs"), p))
 
 
 @query(f"WITH {S.CANDIDATES} {cast_sql(_CAND | {'rank': 'l'}, 'cand')}")
