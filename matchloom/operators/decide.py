@@ -111,23 +111,20 @@ def _gain(tp: Column, n_pred: Column) -> Column:
 
 
 def _threshold_gains(base: DataFrame) -> DataFrame:
-    """For each threshold the sum of gains. An entity's gain holds from the step that its pair passes down to that of its next pair, so it is added at one and taken away at the other."""
-    steps, none = F.array(*(F.lit(t) for t in THRESHOLDS)), F.lit(None).cast("double")
-
-    def variant(kind: str, p: str) -> Column:
-        passed = F.size(F.filter(steps, lambda t: F.col(p) >= t))
-        return F.struct(F.lit(kind).alias("kind"), F.lit(p).alias("prob"), (F.when(F.col("top"), passed).otherwise(0) if kind == "threshold_top" else passed).alias("k"))
-
-    variants = F.array(*(variant(kind, p) for p in ("p1", "p2") for kind in ("threshold", "threshold_top")))
-    each = base.select("s", "n_true", "label", F.explode(F.filter(variants, lambda v: v["k"] > 0)).alias("v")).select("s", "n_true", "label", "v.*")
-    each = each.groupBy("kind", "prob", "s", "n_true", "k").agg(F.sum("label").alias("tp"), F.count(F.lit(1)).alias("n"))
-    down = Window.partitionBy("kind", "prob", "s").orderBy(F.desc("k"))
+    """For each threshold the sum of gains. An entity's gain holds from the step that its pair passes down to that of its next pair, so gains are summed by both steps first."""
+    kinds = [(kind, p) for p in ("p1", "p2") for kind in ("threshold", "threshold_top")]
+    passed = [reduce(Column.__add__, ((F.col(p) >= t).cast("int") for t in THRESHOLDS)).alias(f"k_{p}") for p in ("p1", "p2")]
+    variants = F.array(*(F.struct(F.lit(i).alias("v"), (F.when(F.col("top"), F.col(f"k_{p}")).otherwise(0) if kind == "threshold_top" else F.col(f"k_{p}")).alias("k")) for i, (kind, p) in enumerate(kinds)))
+    each = base.select("s", "n_true", "label", "top", *passed).select("s", "n_true", "label", F.inline(variants)).where("k > 0")
+    each = each.groupBy("s", "v", "k").agg(F.sum("label").alias("tp"), F.count(F.lit(1)).alias("n"), F.first("n_true").alias("n_true"))
+    down = Window.partitionBy("s", "v").orderBy(F.desc("k"))
     so_far = down.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    run = each.select("kind", "prob", "k", F.lead("k", 1, 0).over(down).alias("next"), _gain(F.sum("tp").over(so_far), F.sum("n").over(so_far)).alias("gain"))
-    edges = run.select("kind", "prob", F.explode(F.array(F.struct("k", "gain"), F.struct(F.col("next").alias("k"), (-F.col("gain")).alias("gain")))).alias("e"))
-    edges = edges.groupBy("kind", "prob", F.col("e.k").alias("k")).agg(F.sum("e.gain").alias("gain")).where("k > 0")  # a row a threshold at most
-    each = edges.select("kind", "prob", F.explode(F.sequence(F.lit(1), F.col("k"))).alias("k"), "gain").groupBy("kind", "prob", "k").agg(F.sum("gain").alias("gain"))
-    return each.select("kind", "prob", F.element_at(steps, F.col("k")).alias("threshold"), none.alias("miss"), none.alias("alpha"), none.alias("min_p"), "gain")
+    run = each.select("v", "k", F.lead("k", 1, 0).over(down).alias("next"), _gain(F.sum("tp").over(so_far), F.sum("n").over(so_far)).alias("gain"))
+    edges = run.groupBy("v", "k", "next").agg(F.sum("gain").alias("gain"))  # at most 34 x 33 rows a variant
+    edges = edges.select("v", "gain", F.explode(F.sequence(F.col("next") + 1, "k")).alias("k")).groupBy("v", "k").agg(F.sum("gain").alias("gain"))
+    name = lambda i: F.element_at(F.array(*(F.lit(x[i]) for x in kinds)), F.col("v") + 1)
+    none = F.lit(None).cast("double")
+    return edges.select(name(0).alias("kind"), name(1).alias("prob"), F.element_at(F.array(*(F.lit(t) for t in THRESHOLDS)), F.col("k")).alias("threshold"), none.alias("miss"), none.alias("alpha"), none.alias("min_p"), "gain")
 
 
 def _expected_gains(base: DataFrame) -> DataFrame:
