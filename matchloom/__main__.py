@@ -1,4 +1,4 @@
-"""Command line: python -m matchloom train | score | run | validate."""
+"""Command line: python -m matchloom train | score | run | blocking | older-blocking | validate."""
 
 from __future__ import annotations
 
@@ -35,6 +35,12 @@ def _arguments(argv: list[str] | None) -> argparse.Namespace:
         if name == "run":
             one.add_argument("--truth", required=True)
             one.add_argument("--train-split", default="train")
+    one = job("blocking", "measure the candidates of a split against its truth file")
+    one.add_argument("--truth", required=True)
+    one.add_argument("--split", default="train")
+    one = job("older-blocking", "candidate lists of the older blockers")
+    one.add_argument("--split", default="train")
+    one.add_argument("--single", action="store_true", help="one file")
     one = jobs.add_parser("validate", help="check a matching file, and a candidate file", description="Check a matching file, and a candidate file.")
     one.add_argument("matching")
     one.add_argument("--source1", required=True, help="TSV whose first column has the ids that need a row")
@@ -61,6 +67,9 @@ def main(argv: list[str] | None = None) -> int:
     if a.job == "train":
         print(resolve.train(spark, paths, a.truth, a.split, a.ablation))
         return 0
+    if a.job in ("blocking", "older-blocking"):
+        print(resolve.blocking_report(spark, paths, a.split, a.truth) if a.job == "blocking" else resolve.older_blocking(spark, paths, a.split, a.single))
+        return 0
     if a.job == "run":
         resolve.train(spark, paths, a.truth, a.train_split)
     chosen = resolve.resolve(spark, paths, a.split, correct=not a.uncorrected)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text, tokens
-from ..operators import context, decide, difference, features, folds, models, retrieval, shift, simulate, validate
+from ..operators import context, decide, difference, evaluation, features, folds, legacy_blocking, models, retrieval, shift, simulate, validate
 from ..operators.evaluation import truth_pairs
 from ..sources import io
 from ..sources.stage import staged
@@ -95,6 +97,29 @@ def evaluated(rows: DataFrame, counts: DataFrame, rule: dict) -> float | None:
     return row and row["macro_f05"]
 
 
+def blocking_report(spark: SparkSession, paths: io.Paths, split: str, truth: str) -> dict:
+    """How many true pairs the candidates of a split hold: recall by search and rank, quantiles of true pairs' scores, and the pruning sweep; kept under ``work``/reports."""
+    own = Split(spark, paths, split, truth)
+    known, cand = own.known(), own.candidates()
+    tables = {"recall": evaluation.recall(known, cand), "quantiles": evaluation.score_quantiles(known, cand), "sweep": evaluation.prune_sweep(known, cand)}
+    out = {name: [r.asDict() for r in df.collect()] for name, df in tables.items()}  # a few rows a source
+    io.write_json(spark, paths.table("reports", f"blocking_{split}"), out)
+    return out
+
+
+def older_blocking(spark: SparkSession, paths: io.Paths, split: str, single: bool = False) -> dict:
+    """The older blockers on one split: candidates of both target sources as one list a record, and how many there are."""
+    def side(n: int) -> DataFrame:
+        rows = text.simple_normalised(io.read_tsv(spark, paths.raw(split, n)))
+        return rows.select("entity_id", "country", F.col("norm_name_no_suffix").alias("name"), F.col("norm_address").alias("addr"))
+
+    s, parts = staged(side(1), "older"), [staged(side(n), "older") for n in (2, 3)]
+    pairs = staged(reduce(DataFrame.unionByName, (legacy_blocking.all_blocks(s, t) for t in parts)), "older-pairs")
+    lists = legacy_blocking.candidate_lists(s, pairs).withColumnsRenamed({"entity_id": "source1_entity_id", "candidates": "candidate_entity_ids"})
+    io.write_lists(lists, f"{paths.output}/{split}_older_candidates.tsv", single)
+    return evaluation.output_summary(pairs, s.select(F.col("entity_id").alias("s"))).head().asDict()
+
+
 def with_country(rows: DataFrame, s: DataFrame) -> DataFrame:
     """Pairs with the country of their record ``s``."""
     return rows.join(s.select(F.col("id").alias("s"), "country"), "s")

@@ -303,6 +303,23 @@ def test_models_of_one_split_resolve_another(spark, tmp_path, monkeypatch):
     assert (tmp_path / "work" / "features" / "train.fingerprint").stat().st_mtime == before
 
 
+def test_blocking_reports(spark, tmp_path, capsys):
+    from matchloom import __main__ as cli
+
+    truth = made_split(tmp_path, "train", 4, 60, 0.1)
+    (tmp_path / "truth.tsv").write_text(HEAD + "\n".join(truth) + "\n")
+    folders = ["--data", str(tmp_path), "--work", str(tmp_path / "work"), "--output", str(tmp_path / "out")]
+    assert cli.main(["blocking", *folders, "--truth", str(tmp_path / "truth.tsv")]) == 0
+    report = io.read_json(spark, f"{tmp_path}/work/reports/blocking_train")
+    assert {r["value"] for r in report["recall"] if r["metric"] == "union"} == {1.0} and len(report["sweep"]) == 32 and len(report["quantiles"]) == 2
+    capsys.readouterr()
+    assert cli.main(["older-blocking", *folders]) == 0
+    assert "n_pairs" in capsys.readouterr().out
+    lists = spark.read.csv(str(tmp_path / "out" / "train_older_candidates.tsv"), sep="\t", header=True).collect()
+    found = {(r["source1_entity_id"], t) for r in lists for t in (r["candidate_entity_ids"] or "").split(",")}
+    assert len(lists) == len(truth) and all((f"S1-{r['source1_entity_id'][3:]}", f"S2-{r['source1_entity_id'][3:]}") in found for r in lists)
+
+
 def test_end_to_end(spark, tmp_path):
     """TSV files to validated lists: copies of a record with typical noise find each other."""
     r = random.Random(0)
