@@ -657,7 +657,7 @@ def _jw(a: str, b: str) -> str:
 def er_jaro_winkler(spark: SparkSession, sf: str) -> DataFrame:
     joined = _joined(spark, sf)
     wanted = {k: v for k, v in features.string_features(joined).items() if v[0] == "jw"}
-    got = joined.withColumn("j", similarity.similarities(wanted))
+    got = similarity.with_similarities(joined, wanted, "j")
     return result(got.select("src", "s", "t", "j.name_jw", "j.first_tok_jw", "j.city_jw"))
 
 
