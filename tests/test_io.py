@@ -56,3 +56,49 @@ def test_scores_are_corrected_by_country_and_segment(spark):
         got = resolve.corrected(known, known.where("country = 'US'"), by_segment).collect()
         assert len(got) == 200 and all(0 <= r["p_adj"] <= 1 for r in got)
         assert all(r["p_adj"] == r["p2"] for r in got if r["country"] == "FR")
+
+
+def test_staged_tables_leave_the_session_as_it_was(spark):
+    from types import SimpleNamespace
+
+    import pytest
+
+    from matchloom.sources import stage
+
+    before = dict(spark.sparkContext._conf.getAll()), {k: spark.conf.get(k, None) for k in (stage._CLEANUP, stage._ARROW)}
+    table = stage.staged(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "test")
+    assert table.count() == 7 and before == (dict(spark.sparkContext._conf.getAll()), {k: spark.conf.get(k, None) for k in (stage._CLEANUP, stage._ARROW)})
+    stage.dropped(table)
+    assert not io.exists(spark, table._staged)
+    with pytest.raises(ValueError), stage.option(spark, stage._ARROW, "1000"):
+        raise ValueError
+    assert spark.conf.get(stage._ARROW, None) == before[1][stage._ARROW]
+    away = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master="spark://there:7077"))
+    with pytest.raises(RuntimeError, match="share"):
+        stage.shared_dir(away)
+
+
+def test_lines_are_numbered_over_blocks_and_files(spark, tmp_path):
+    from matchloom.operators import validate
+
+    folder = tmp_path / "parts"
+    folder.mkdir()
+    lines = [f"line {i} " + "x" * (i % 50) for i in range(5000)]
+    (folder / "part-0.tsv").write_text("\n".join(lines[:3000]) + "\n")
+    (folder / "part-1.tsv").write_text("\n".join(lines[3000:]) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+        got = {r["line"]: r["value"] for r in validate.numbered_lines(spark, str(folder)).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == dict(enumerate(lines, 1))
+
+
+def test_a_sample_is_the_lowest_hashes(spark):
+    from matchloom.operators import folds
+
+    df = spark.range(3000).withColumnRenamed("id", "s")
+    for n in (0, 1, 700, 3000, 5000):
+        want = {r["s"] for r in df.orderBy(folds.bucket(F.col("s"), "sample"), "s").limit(n).collect()}
+        assert {r["s"] for r in folds.sample(df, "s", n).collect()} == want
