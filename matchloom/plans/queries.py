@@ -11,7 +11,6 @@ from ..functions import similarity, text, tokens
 from ..functions.tokens import WEIGHTS
 from ..operators import context, decide, difference, evaluation, features, folds, legacy_blocking, models, retrieval, shift, simulate, validate, weights
 from ..sources import io
-from ..sources.stage import staged
 from . import sqltext as S
 from . import views
 from .views import table
@@ -178,12 +177,14 @@ def er_postings(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {S.FORWARD} SELECT src, s, t, CAST(hit AS BIGINT) AS hit FROM fwd")
 def er_forward(spark: SparkSession, sf: str) -> DataFrame:
-    return retrieval.forward(retrieval.scores(views.postings(spark, sf), tuple(retrieval.TOP))).withColumn("hit", F.col("hit").cast("long"))
+    hits = retrieval.forward(retrieval.best(views.postings(spark, sf)))
+    each = F.array(*(F.when(F.col("hit").bitwiseAND(retrieval.HIT[search]) > 0, F.lit(retrieval.HIT[search]).cast("long")) for search in retrieval.TOP))
+    return hits.select("src", "s", "t", F.explode(F.array_compact(each)).alias("hit"))
 
 
 @query(f"WITH {S.POSTINGS},{S.REVERSE} SELECT src, s, t, CAST(rrank AS BIGINT) AS rrank FROM rev")
 def er_reverse(spark: SparkSession, sf: str) -> DataFrame:
-    return retrieval.reverse(retrieval.scores(views.postings(spark, sf), ("reverse",))).withColumn("rrank", F.col("rrank").cast("long"))
+    return retrieval.reverse(retrieval.best(views.postings(spark, sf))).withColumn("rrank", F.col("rrank").cast("long"))
 
 
 _CAND = {"src": "l", "s": "p", "t": "p", "hit": "l", "rrank": "l"} | {f"cos_{c}": "d" for c in WEIGHTS} | {"score": "d"}
@@ -191,8 +192,7 @@ _CAND = {"src": "l", "s": "p", "t": "p", "hit": "l", "rrank": "l"} | {f"cos_{c}"
 
 @query(f"WITH {S.CANDIDATES} {cast_sql(_CAND, 'cs')}")
 def er_cosines(spark: SparkSession, sf: str) -> DataFrame:
-    p = views.postings(spark, sf)
-    return result(retrieval.cosines(staged(retrieval.searched(p), "pairs"), p))
+    return result(retrieval.searched(retrieval.best(views.postings(spark, sf))))
 
 
 @query(f"WITH {S.CANDIDATES} {cast_sql(_CAND | {'rank': 'l'}, 'cand')}")
@@ -201,7 +201,7 @@ def er_candidates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _candidates(spark: SparkSession, sf: str) -> DataFrame:
-    return staged(retrieval.candidates(views.postings(spark, sf)), "candidates")
+    return retrieval.staged_candidates(views.postings(spark, sf))
 
 
 _ASKED = "asked AS (SELECT DISTINCT src, s FROM cand), fd AS (SELECT truth.src, truth.s, truth.t, hit, rank, score FROM truth SEMI JOIN asked USING (src, s) LEFT JOIN cand USING (src, s, t))"
