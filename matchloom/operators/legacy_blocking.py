@@ -6,15 +6,23 @@ by a count, which is their own definition of a block, so no block's pairs grow w
 
 from __future__ import annotations
 
-from functools import reduce
+from collections import Counter
+from collections.abc import Callable, Iterator
+from functools import lru_cache, reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import words
 from ..sources.stage import staged
+from .retrieval import S_BLOCK, T_BLOCK, borders, spread
 
 PREFIXES, PREFIX_CAP, NAME_CAP, ADDRESS_CAP = (3, 4, 5), 500, 200, 300
+#: The n-grams that a search for neighbours leaves for later have this part of the least score together. A matter of speed only.
+REST = 0.5
 
 
 def _capped_join(s: DataFrame, t: DataFrame, most: int) -> DataFrame:
@@ -48,38 +56,109 @@ def by_address_token(s: DataFrame, t: DataFrame, most: int = ADDRESS_CAP) -> Dat
     return _capped_join(_keyed(s, tokens, "s").distinct(), _keyed(t, tokens, "t"), most)
 
 
-def char_ngrams(c: Column, low: int = 3, high: int = 5) -> Column:
-    """n-grams of each word with a space on either side, repeats included."""
-
-    def of(w: Column, n: int) -> Column:
-        w = F.concat(F.lit(" "), w, F.lit(" "))
-        return F.when(F.length(w) <= n, F.array(w)).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - n + 1, F.lit(1))), lambda i: F.substr(w, i, F.lit(n))))
-
-    return F.flatten(F.transform(words(c), lambda w: F.flatten(F.array(*(of(w, n) for n in range(low, high + 1))))))
+def char_ngrams(word: str, low: int = 3, high: int = 5) -> list[str]:
+    """n-grams of a word with a space on either side, repeats included."""
+    w = f" {word} "
+    return [g for n in range(low, high + 1) for g in ([w] if len(w) <= n else [w[i : i + n] for i in range(len(w) - n + 1)])]
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(country, g, n): in how many of the records n-grams occur."""
+    grams, counts = lru_cache(1 << 16)(lambda w: tuple(char_ngrams(w))), Counter()
+
+    def rows() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([c for c, _ in counts], pa.string()), pa.array([g for _, g in counts], pa.string()), pa.array(counts.values(), pa.int64())], ["country", "g", "n"])
+
+    for batch in batches:
+        for country, text in zip(batch["country"].to_pylist(), batch["text"].to_pylist(), strict=True):
+            counts.update({(country, g) for w in (text or "").split(" ") if w for g in grams(w)})
+            if len(counts) > 200_000:
+                yield rows()
+                counts.clear()
+    yield rows()
+
+
+class _Grams:
+    """Records in the order of their ids: row, n-gram (the rarest first) and weight of each posting, of length 1."""
+
+    def __init__(self, records: pa.Table, place: dict[str, int], idf: np.ndarray) -> None:
+        records = records.take(pc.sort_indices(records["id"]))
+        self.ids, self.n = records["id"].combine_chunks(), len(records)
+        of = lru_cache(1 << 16)(lambda w: np.array([place[g] for g in char_ngrams(w) if g in place], np.int32))
+        found = [np.unique(np.concatenate([np.empty(0, np.int32), *(of(w) for w in (text or "").split(" ") if w)]), return_counts=True) for text in records["text"].to_pylist()]
+        self.row = np.repeat(np.arange(self.n, dtype=np.int32), [len(g) for g, _ in found])
+        self.gram = np.concatenate([g for g, _ in found])
+        w = np.concatenate([n for _, n in found]) * idf[self.gram]
+        self.w = w / np.sqrt(np.bincount(self.row, w * w, self.n))[self.row]
+
+
+def _nearest(k: int, least: float) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The k nearest targets, above a score, of each s of a cell: (s, t, score). Targets and the n-grams of the country with their idf come as one table."""
+
+    def cell(s: pa.Table, t: pa.Table) -> pa.Table:
+        known = t.filter(pc.is_valid(t["g"])).sort_by([("df", "ascending"), ("g", "ascending")])
+        t = t.filter(pc.is_null(t["g"]))
+        if not len(s) or not len(t) or not len(known):
+            return pa.table({"s": pa.array([], pa.string()), "t": pa.array([], pa.string()), "score": pa.array([], pa.float64())})
+        place, idf = {g: i for i, g in enumerate(known["g"].to_pylist())}, known["idf"].to_numpy()
+        s, t = _Grams(s, place, idf), _Grams(t, place, idf)
+        by = np.argsort(t.gram, kind="stable")
+        of_t, of_w, start = t.row[by], t.w[by], borders(t.gram, len(place))
+        first, own_t, weight = borders(s.row, s.n), borders(t.row, t.n), np.zeros(len(place))
+        rows, found, scores = [], [], []
+        for i in range(s.n):
+            own = slice(first[i], first[i + 1])
+            gram, w = s.gram[own], s.w[own]
+            # The commonest n-grams of s come last. Together they add at most their length to a score, so they are summed only where the others leave that open.
+            rest = np.sqrt(np.cumsum((w * w)[::-1]))[::-1]
+            cut = np.count_nonzero(rest >= REST * least)
+            n = start[gram[:cut] + 1] - start[gram[:cut]]
+            at = spread(start[gram[:cut]], n)
+            part = np.bincount(of_t[at], of_w[at] * np.repeat(w[:cut], n), t.n)
+            most = part + (rest[cut] if cut < len(w) else 0)
+            near = np.flatnonzero(most > least - 1e-8)
+            if len(near) > k:
+                near = near[most[near] > np.partition(part[near], len(near) - k)[len(near) - k] - 1e-8]
+            if not len(near):
+                continue
+            weight[gram] = w
+            count = own_t[near + 1] - own_t[near]
+            at = spread(own_t[near], count)
+            score = np.round(np.bincount(np.repeat(np.arange(len(near)), count), t.w[at] * weight[t.gram[at]], len(near)), 9)
+            weight[gram] = 0
+            best = np.argsort(-score, kind="stable")[:k]
+            best = best[score[best] > least]
+            rows.append(np.full(len(best), i))
+            found.append(near[best])
+            scores.append(score[best])
+        join = lambda x, kind: np.concatenate([np.empty(0, kind), *x])
+        return pa.table({"s": s.ids.take(pa.array(join(rows, np.int64))), "t": t.ids.take(pa.array(join(found, np.int64))), "score": pa.array(join(scores, np.float64))})
+
+    return cell
 
 
 def tfidf_neighbours(s: DataFrame, t: DataFrame, column: str, k: int = 10, distance: float = 0.7, min_df: int = 2, max_df: float = 0.9) -> DataFrame:
-    """(s, t): the k nearest targets of each s on character n-grams of one column, within a cosine distance, by country. n-grams of fewer than ``min_df`` records or more than the share ``max_df`` are left out."""
-    both = s.select(F.lit(0).alias("side"), "entity_id", "country", char_ngrams(F.col(column)).alias("g")).unionByName(t.select(F.lit(1).alias("side"), "entity_id", "country", char_ngrams(F.col(column)).alias("g")))
-    tf = both.select("side", "entity_id", "country", F.explode("g").alias("g")).groupBy("side", "entity_id", "country", "g").agg(F.count(F.lit(1)).alias("tf"))
-    n = both.groupBy("country").agg(F.count(F.lit(1)).alias("n"))
-    df = tf.groupBy("country", "g").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(n), "country")  # one row a country
-    df = df.where((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("n"))).withColumn("idf", F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)
-    w = tf.join(df, ["country", "g"]).withColumn("w", F.col("tf") * F.col("idf"))
-    norm = w.groupBy("side", "entity_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    w = w.join(norm, ["side", "entity_id"]).withColumn("w", F.col("w") / F.col("norm"))
-    least = 1 - distance
-    # A pair within reach shares an n-gram outside the common tail of s: the n-grams of s that come last, commonest ones, whose lengths together stay
-    # below the least score, can't make it alone. So only the others are looked up; what they find is then scored over all n-grams.
-    rarest = Window.partitionBy("side", "entity_id").orderBy(F.desc("df"), "g").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    w = staged(w.select("side", "country", "entity_id", "g", "w", F.sqrt(F.sum(F.col("w") * F.col("w")).over(rarest)).alias("tail")), "ngrams")
-    a = w.where("side = 0").select("country", "g", F.col("entity_id").alias("s"), F.col("w").alias("ws"), "tail")
-    b = w.where("side = 1").select("country", "g", F.col("entity_id").alias("t"), F.col("w").alias("wt"))
-    pairs = staged(a.where(F.col("tail") >= least - 1e-9).join(b, ["country", "g"]).select("country", "s", "t").distinct(), "near")
-    whole = pairs.join(a.drop("tail"), ["country", "s"]).join(b, ["country", "t", "g"])
-    scores = whole.groupBy("s", "t").agg(F.round(F.sum(F.col("ws") * F.col("wt")), 9).alias("score"))
+    """(s, t): the k nearest targets of each s on character n-grams of one column, within a cosine distance, by country (both sides are read twice: give tables). n-grams of fewer than ``min_df`` records or more than the share ``max_df`` are left out."""
+    side = lambda df: df.select(F.col("country").alias("country"), F.col("entity_id").alias("id"), F.col(column).alias("text"))  # noqa: E731  country by a new name, since s and t may come from one table
+    size = lambda df, n: df.groupBy("country").agg(F.count(F.lit(1)).alias(n))
+    sizes = staged(size(s, "n_s").join(size(t, "n_t"), "country"), "sizes")
+    counts = side(s).unionByName(side(t)).select("country", "text").mapInArrow(_counted, "country string, g string, n long").groupBy("country", "g").agg(F.sum("n").alias("df"))
+    n = F.col("n_s") + F.col("n_t")
+    known = counts.join(F.broadcast(sizes), "country").where((F.col("df") >= min_df) & (F.col("df") <= max_df * n))  # one row a country
+    grams = staged(known.select("country", "g", "df", (F.log((1 + n) / (1 + F.col("df"))) + 1).alias("idf"), "n_s", "n_t"), "ngrams")
+    blocks = {"s": F.ceil(F.col("n_s") / S_BLOCK).cast("int"), "t": F.ceil(F.col("n_t") / T_BLOCK).cast("int")}
+    own = lambda x: F.array(F.pmod(F.xxhash64("id"), blocks[x]).cast("int"))
+    every = lambda x: F.sequence(F.lit(0), blocks[x] - 1)
+
+    def dealt(df: DataFrame, b_s: Column, b_t: Column) -> DataFrame:
+        return df.withColumn("b_s", F.explode(b_s)).withColumn("b_t", F.explode(b_t)).drop("n_s", "n_t")
+
+    left, right = (side(x).join(F.broadcast(sizes), "country") for x in (s, t))
+    cell = ["country", "b_s", "b_t"]
+    right = dealt(right, every("s"), own("t")).unionByName(dealt(grams, every("s"), every("t")), allowMissingColumns=True)
+    scores = dealt(left, own("s"), every("t")).groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(_nearest(k, 1 - distance), "s string, t string, score double")
     best = Window.partitionBy("s").orderBy(F.desc("score"), "t")
-    return scores.where(F.col("score") > least).withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).select("s", "t")
+    return staged(scores, "near").withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).select("s", "t")
 
 
 def all_blocks(s: DataFrame, t: DataFrame, neighbours: bool = True) -> DataFrame:

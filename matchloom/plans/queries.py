@@ -11,6 +11,7 @@ from ..functions import similarity, text, tokens
 from ..functions.tokens import WEIGHTS
 from ..operators import context, decide, difference, evaluation, features, folds, legacy_blocking, models, retrieval, shift, simulate, validate, weights
 from ..sources import io
+from ..sources.stage import staged
 from . import sqltext as S
 from . import views
 from .views import table
@@ -268,7 +269,7 @@ def er_labels(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    rec = _simple(spark, sf)
+    rec = staged(_simple(spark, sf).select("src", "country", "entity_id", "name", "addr"), "simple")  # each blocker reads it again
     return rec.where("src = 1"), rec.where("src > 1")
 
 
