@@ -205,6 +205,12 @@ def _candidates(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.staged_candidates(views.postings(spark, sf))
 
 
+def _judged(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Candidates, the true pairs among them, and the number of all true pairs (src, n_true), which are never rows."""
+    found, copies = _candidates(spark, sf), views.copies(spark, sf)
+    return found, views.true_among(copies, found), views.true_numbers(copies, found)
+
+
 _ASKED = "asked AS (SELECT DISTINCT src, s FROM cand), fd AS (SELECT truth.src, truth.s, truth.t, hit, rank, score FROM truth SEMI JOIN asked USING (src, s) LEFT JOIN cand USING (src, s, t))"
 _METRICS = {"union": "rank IS NOT NULL"} | {f"by_{n}": f"coalesce(hit, 0) & {b} > 0" for n, b in evaluation.BITS.items()} | {f"at_{k}": f"coalesce(rank < {k}, false)" for k in evaluation.AT}
 
@@ -262,7 +268,8 @@ def er_hit_bits(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {S.CANDIDATES},{S.TRUTH} SELECT CAST(cand.src AS BIGINT) AS src, cand.s, cand.t, CAST(truth.t IS NOT NULL AS BIGINT) AS label FROM cand LEFT JOIN (SELECT DISTINCT * FROM truth) truth ON truth.src = cand.src AND truth.s = cand.s AND truth.t = cand.t")
 def er_labels(spark: SparkSession, sf: str) -> DataFrame:
-    return longs(folds.labelled(_candidates(spark, sf), views.truth(spark, sf)).select("src", "s", "t", "label"))
+    found, true, _ = _judged(spark, sf)
+    return longs(folds.labelled(found, true).select("src", "s", "t", "label"))
 
 
 # --- older blockers -------------------------------------------------------------------------------------------------------------------
