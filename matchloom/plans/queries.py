@@ -241,7 +241,8 @@ def _sweep_sql() -> str:
 
 @query(_sweep_sql())
 def er_prune_sweep(spark: SparkSession, sf: str) -> DataFrame:
-    return result(evaluation.prune_sweep(views.truth(spark, sf), _candidates(spark, sf)))
+    found, true, numbers = _judged(spark, sf)
+    return result(evaluation.prune_sweep(true, found, numbers))
 
 
 _CTX = {c: "d" for c in ("grp_gap", "grp_gap2", "grp_gap_a", "grp_gap_n", "rev_gap", "rev_gap2")} | {c: "l" for c in ("grp_rank", "grp_n", "grp_rank_a", "grp_rank_n", "rev_rank", "rev_n")}
