@@ -217,7 +217,8 @@ _METRICS = {"union": "rank IS NOT NULL"} | {f"by_{n}": f"coalesce(hit, 0) & {b}
 
 @query(f"WITH {S.CANDIDATES},{S.TRUTH}, {_ASKED} " + " UNION ALL ".join(f"SELECT CAST(src AS BIGINT) AS src, '{n}' AS metric, round(avg(CAST({c} AS INTEGER)), 6) AS value FROM fd GROUP BY src" for n, c in _METRICS.items()))
 def er_recall(spark: SparkSession, sf: str) -> DataFrame:
-    return result(evaluation.recall(views.truth(spark, sf), _candidates(spark, sf)))
+    found, true, numbers = _judged(spark, sf)
+    return result(evaluation.recall(true, found, numbers))
 
 
 @query(f"WITH {S.CANDIDATES},{S.TRUTH} SELECT CAST(src AS BIGINT) AS src, " + ", ".join(f"round(quantile_cont(score, {q}), 6) AS q{int(100 * q):02d}" for q in (0.01, 0.05, 0.1, 0.5)) + " FROM truth JOIN cand USING (src, s, t) GROUP BY src")
