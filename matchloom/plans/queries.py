@@ -223,7 +223,8 @@ def er_recall(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {S.CANDIDATES},{S.TRUTH} SELECT CAST(src AS BIGINT) AS src, " + ", ".join(f"round(quantile_cont(score, {q}), 6) AS q{int(100 * q):02d}" for q in (0.01, 0.05, 0.1, 0.5)) + " FROM truth JOIN cand USING (src, s, t) GROUP BY src")
 def er_score_quantiles(spark: SparkSession, sf: str) -> DataFrame:
-    return result(evaluation.score_quantiles(views.truth(spark, sf), _candidates(spark, sf)))
+    found, true, _ = _judged(spark, sf)
+    return result(evaluation.score_quantiles(true, found))
 
 
 def _sweep_sql() -> str:
