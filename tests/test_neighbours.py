@@ -52,3 +52,22 @@ def test_neighbours_by_brute_force(spark, monkeypatch, rest, block):
     assert {tuple(r) for r in got.collect()} == brute(*rows, 3, 0.3)
     # No pair is written but the nearest of each cell.
     assert written["near"] <= 3 * len(rows[0]) * math.ceil(len(rows[1]) / block)
+
+
+def test_copies_are_compared_once(spark, monkeypatch):
+    rng, written = random.Random(8), {}
+
+    def counted(df, name):
+        out = stage.staged(df, name)
+        written[name] = out.count()
+        return out
+
+    monkeypatch.setattr(legacy_blocking, "staged", counted)
+    texts = ["acme stores main", "acme store oak", "river bank", "", "rivers bank union", "elm north street"]
+    rows = [[(str(i), "x", rng.choice(texts)) for i in range(a, a + 60)] for a in (0, 60)]
+    s, t = (spark.createDataFrame(x, "entity_id string, country string, name string") for x in rows)
+    got = legacy_blocking.tfidf_neighbours(s, t, "name", k=3)
+    pairs = [tuple(r) for r in got.collect()]
+    assert len(pairs) == len(set(pairs)) and set(pairs) == brute(*rows, 3, 0.3)
+    # Neighbours are written for distinct texts, not for each copy.
+    assert 0 < written["near"] <= 3 * len(texts)
