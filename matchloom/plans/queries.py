@@ -338,8 +338,8 @@ def er_block_lists(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH {_SIMPLE_REC},{S.TRUTH},{_NEAR}, u AS ({_ALL}) SELECT count(*) AS n_true, count(u.t) AS n_found, round(count(u.t) / count(*), 6) AS recall FROM truth LEFT JOIN u ON u.s = CAST(truth.s AS VARCHAR) AND u.t = CAST(truth.t AS VARCHAR)")
 def er_block_recall(spark: SparkSession, sf: str) -> DataFrame:
     s, t = _sides(spark, sf)
-    truth = views.truth(spark, sf).select(F.col("s").cast("string").alias("s"), F.col("t").cast("string").alias("t"))
-    return result(evaluation.block_recall(truth, legacy_blocking.all_blocks(s, t)))
+    copies = views.copies(spark, sf).withColumn("id", F.col("id").cast("string"))
+    return result(evaluation.block_recall(copies, legacy_blocking.all_blocks(s, t)))
 
 
 @query(f"WITH {_SIMPLE_REC},{_NEAR} SELECT s, t, 'name' AS \"by\" FROM nn UNION ALL SELECT s, t, 'addr' FROM na")

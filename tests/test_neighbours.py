@@ -6,7 +6,7 @@ from collections import Counter
 
 import pytest
 
-from matchloom.operators import legacy_blocking
+from matchloom.operators import evaluation, legacy_blocking
 from matchloom.sources import stage
 
 WORDS = "acme acmes store stores main street north oak elm river rivers bank union a of".split()
@@ -71,3 +71,15 @@ def test_copies_are_compared_once(spark, monkeypatch):
     assert len(pairs) == len(set(pairs)) and set(pairs) == brute(*rows, 3, 0.3)
     # Neighbours are written for distinct texts, not for each copy.
     assert 0 < written["near"] <= 3 * len(texts)
+
+
+def test_block_recall_counts_true_pairs_by_class(spark):
+    rows = [(1 if i % 3 == 0 else 2 + i % 2, str(i), i % 4 == 3) for i in range(40)]
+    copies = spark.createDataFrame([(src, i, int(c)) for src, i, c in rows], "src int, id string, class long")
+    true = {(i, j) for a, i, c in rows for b, j, d in rows if a == 1 and b > 1 and c == d}
+    blocks = [(i, j) for a, i, _ in rows for b, j, _ in rows if a == 1 and b > 1 and (int(i) + int(j)) % 5 == 0]
+    pairs = spark.createDataFrame(blocks, "s string, t string")
+    got = evaluation.block_recall(copies, pairs).first()
+    n = len(true & set(blocks))
+    assert tuple(got) == (len(true), n, n / len(true)) and 0 < n < len(true)
+    assert tuple(evaluation.block_recall(copies.limit(0), pairs).first()) == (0, 0, None)
